@@ -70,6 +70,18 @@ def bag_features(texts: list[str | None]):
     return np.concatenate(feats).astype(np.int64), np.concatenate(owner), doc, raw, starts[first], ends[last]
 
 
+def _pieces(texts: list[str], limit: int = 500_000) -> list[tuple[int, list[str]]]:
+    """The texts in runs of about ``limit`` characters, with the number of the first."""
+    out, held = [], limit
+    for i, t in enumerate(texts):
+        if held >= limit:
+            out.append((i, []))
+            held = 0
+        out[-1][1].append(t)
+        held += len(t)
+    return out
+
+
 def train(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1, penalty: float = 2e-4) -> Model | None:
     """Fits the noisy-or model; None without bags of both labels.
 
@@ -79,17 +91,28 @@ def train(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0
     y = np.asarray(labels, bool)
     if not y.any() or y.all():
         return None
-    feats, owner, doc, *_ = bag_features(texts)
-    bag = doc[owner]
-    seen = np.unique(bag * (1 << BITS) + feats)
-    toxic = y[seen >> BITS]
-    code = seen & ((1 << BITS) - 1)
-    pos, neg = np.bincount(code[toxic], minlength=1 << BITS), np.bincount(code[~toxic], minlength=1 << BITS)
-    keep = (pos >= 3) & ((pos / y.sum()) >= 3 * (neg + 0.5) / (~y).sum())
-    known = keep[feats]
-    names, local = np.unique(feats[known], return_inverse=True)
-    pairs = np.unique(owner[known] * max(1, len(names)) + local)
-    row, col = pairs // max(1, len(names)), pairs % max(1, len(names))
+    # Two passes over pieces of the sample: counts, then the occurrences of what is kept.
+    pieces = _pieces(texts)
+    pos, neg = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for at, part in pieces:
+        feats, owner, doc, *_ = bag_features(part)
+        seen = np.unique(doc[owner] * (1 << BITS) + feats)
+        toxic, code = y[at + (seen >> BITS)], seen & ((1 << BITS) - 1)
+        pos += np.bincount(code[toxic], minlength=1 << BITS)
+        neg += np.bincount(code[~toxic], minlength=1 << BITS)
+    names = np.flatnonzero((pos >= 3) & ((pos / y.sum()) >= 3 * (neg + 0.5) / (~y).sum()))
+    number = np.full(1 << BITS, -1)
+    number[names] = np.arange(len(names))
+    docs, rows, cols, before = [], [], [], 0
+    for at, part in pieces:
+        feats, owner, doc, *_ = bag_features(part)
+        local = number[feats]
+        pairs = np.unique(owner[local >= 0] * max(1, len(names)) + local[local >= 0])
+        rows.append(before + pairs // max(1, len(names)))
+        cols.append(pairs % max(1, len(names)))
+        docs.append(at + doc)
+        before += len(doc)
+    doc, row, col = (np.concatenate(x).astype(np.int32) for x in (docs, rows, cols))
     w, b = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
