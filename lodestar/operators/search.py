@@ -77,16 +77,23 @@ def score_bricks(bricks: DataFrame, words: list[str]) -> DataFrame:
     30, else its fields 20 each shape; emits 20, config 20, description 15.  Shapes are
     (name, fields).  Components with a positive score, best first, then by name.
     """
-    total = F.lit(0)
-    for word in (w.lower() for w in words if w):
+    def of(word: str) -> Column:
         w = F.lit(word)
-        has = lambda c, w=w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w)
-        some = lambda c, has=has: F.coalesce(F.exists(c, lambda x: has(x)), F.lit(False))
-        shape = lambda acc, s, w=w, has=has: acc + F.when(F.lower(s["name"]) == w, 50).when(has(s["name"]), 30).when(F.coalesce(F.exists(s["fields"], lambda f: has(f)), F.lit(False)), 20).otherwise(0)
-        total = total + F.when(F.lower("name") == w, 100).when(has(F.col("name")), 60).otherwise(0)
-        total = total + F.aggregate(F.col("shapes"), F.lit(0), shape)
-        total = total + F.when(some(F.col("emits")), 20).otherwise(0) + F.when(some(F.col("config")), 20).otherwise(0)
-        total = total + F.when(has(F.col("description")), 15).otherwise(0)
+
+        def has(c: Column) -> Column:
+            return F.contains(F.lower(F.coalesce(c, F.lit(""))), w)
+
+        def some(c: Column) -> Column:
+            return F.coalesce(F.exists(c, has), F.lit(False))
+
+        def shape(acc: Column, s: Column) -> Column:
+            return acc + F.when(F.lower(s["name"]) == w, 50).when(has(s["name"]), 30).when(some(s["fields"]), 20).otherwise(0)
+
+        name = F.when(F.lower("name") == w, 100).when(has(F.col("name")), 60).otherwise(0)
+        lists = F.when(some(F.col("emits")), 20).otherwise(0) + F.when(some(F.col("config")), 20).otherwise(0)
+        return name + F.aggregate("shapes", F.lit(0), shape) + lists + F.when(has(F.col("description")), 15).otherwise(0)
+
+    total = sum((of(w.lower()) for w in words if w), F.lit(0))
     return bricks.withColumn("score", total).where("score > 0").orderBy(F.desc("score"), "name")
 
 

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by section."""
 
-from lodestar.plans import relational
+from lodestar.plans import advanced, relational
 from lodestar.plans.standins import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "relational"]
+__all__ = ["ORACLE", "QUERIES", "advanced", "relational"]

@@ -51,10 +51,10 @@ def flt4(spark, sf):
     return P.list_annotations(a, severity="1-URGENT", unresolved_only=True).select("id", "node")
 
 
-@query("flt4_approvals", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_custkey % 10 = 7")
+@query("flt4_approvals", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'")
 def flt4b(spark, sf):
-    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 10).cast("string").alias("assignee"))
-    return P.list_approvals(a, "O", "7").select("id")
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("assignee"))
+    return P.list_approvals(a, "O", "2-HIGH").select("id")
 
 
 @query("flt5_path_predicate", r"SELECT page_id, url FROM pages WHERE contains(replace(url, '\', '/'), 'example.com/en') OR contains(replace(url, '\', '/'), '/fr/')")
@@ -469,17 +469,17 @@ def sort1(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(by).cast("long").alias("place"))
 
 
-@query("sort2_risk_order", "SELECT source AS file, n AS dep_count, CASE WHEN n >= 8 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT source, count(DISTINCT target) AS n FROM calls GROUP BY source) ORDER BY CASE WHEN n >= 8 THEN 0 WHEN n >= 3 THEN 1 ELSE 2 END, n DESC, source LIMIT 100", "calls")
+@query("sort2_risk_order", "SELECT source AS file, n AS dep_count, CASE WHEN n >= 8 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT source, count(DISTINCT target) AS n FROM calls GROUP BY source)", "calls")
 def sort2(spark, sf):
     n = role(spark, sf, "calls").groupBy(F.col("source").alias("file")).agg(F.count_distinct("target").alias("dep_count"))
-    return W.sort_impact(n.withColumns({"risk": S.risk_by_degree(F.col("dep_count")), "depth": F.lit(1)})).limit(100).drop("depth")
+    return W.sort_impact(n.withColumns({"risk": S.risk_by_degree(F.col("dep_count")), "depth": F.lit(1)})).drop("depth")
 
 
-@query("sort3_deviations", "SELECT seq, CASE op WHEN 'remove' THEN 0 WHEN 'writefile' THEN 1 WHEN 'cleanup' THEN 2 ELSE 3 END AS place FROM probes ORDER BY place, seq LIMIT 500", "probes")
+@query("sort3_deviations", "SELECT seq, CASE op WHEN 'remove' THEN 0 WHEN 'writefile' THEN 1 WHEN 'cleanup' THEN 2 ELSE 3 END AS place FROM probes", "probes")
 def sort3(spark, sf):
     op = F.col("op")
     kind = F.when(op == "remove", "unobserved").when(op == "writefile", "violated").when(op == "cleanup", "undesigned").otherwise("other")
-    return W.sort_deviations(role(spark, sf, "probes").select("seq", kind.alias("kind"), F.col("seq").alias("ordinal"))).limit(500).select("seq", "place")
+    return W.sort_deviations(role(spark, sf, "probes").select("seq", kind.alias("kind"), F.col("seq").alias("ordinal"))).select("seq", "place")
 
 
 @query("topk1_hubs", "SELECT node, dependents, dependencies FROM (SELECT coalesce(i.node, o.node) AS node, coalesce(dependents, 0) AS dependents, coalesce(dependencies, 0) AS dependencies FROM (SELECT target AS node, count(DISTINCT source) AS dependents FROM calls GROUP BY 1) i FULL OUTER JOIN (SELECT source AS node, count(DISTINCT target) AS dependencies FROM calls GROUP BY 1) o ON i.node = o.node) ORDER BY dependents DESC, dependencies DESC, node LIMIT 20", "calls")

@@ -9,6 +9,7 @@ import re
 import tomllib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,14 +89,14 @@ def parse(files: DataFrame, parsers=None) -> DataFrame:
     """
     table = parsers or PARSERS
 
+    kinds = pa.schema([(n, {"int": pa.int32(), "boolean": pa.bool_()}.get(t, pa.string())) for n, t in (c.split() for c in PARSED.split(", "))])
+
     def run(batches):
-        cols = [c.split()[0] for c in PARSED.split(", ")]
-        for pdf in batches:
-            rows = [{"path": p, **r} for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in table.get(p.rsplit(".", 1)[-1], parse_text)(p, c or "")]
-            out = pd.DataFrame(rows, columns=cols)
-            yield out.astype({"line": "Int32", "end_line": "Int32"}).where(out.notna(), None) if len(out) else out
+        for batch in batches:
+            rows = [{"path": p, **r} for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for r in table.get(p.rsplit(".", 1)[-1], parse_text)(p, c or "")]
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return files.select("path", "content").mapInPandas(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED)
 
 
 def parse_manifest(name: str, content: str) -> list[tuple[str, str, str]]:
