@@ -93,9 +93,9 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     swept = parts.distinct().withColumns(cols)
 
     def near(label: str) -> Column:
-        gap_p = F.greatest(F.col("start") - F.col(f"p_{label}.end"), F.lit(0))
-        gap_n = F.greatest(F.col(f"n_{label}.start") - F.col("end"), F.lit(0))
-        p, n = F.when(gap_p <= scope, gap_p), F.when(gap_n <= scope, gap_n)
+        gap_p, gap_n = F.col("start") - F.col(f"p_{label}.end"), F.col(f"n_{label}.start") - F.col("end")
+        # Overlapping parts have a gap of 0; without a part there is no gap at all.
+        p, n = F.when(gap_p <= scope, F.greatest(gap_p, F.lit(0))), F.when(gap_n <= scope, F.greatest(gap_n, F.lit(0)))
         at = F.when(p.isNotNull() & (n.isNull() | (p <= n)), F.col(f"p_{label}.start")).when(n.isNotNull(), F.col(f"n_{label}.start"))
         return F.when(F.col("role") != label.removesuffix("_sure"), at)
 

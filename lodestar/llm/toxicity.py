@@ -20,7 +20,7 @@ from lodestar.llm import kernels as K
 BITS = 18
 PREFIXES = range(4, 10)
 #: The training sample: bags of each label, and the longest text that is taken.
-MAX_BAGS, MAX_CHARS = 2500, 20_000
+MAX_BAGS, MAX_CHARS = 2000, 20_000
 THRESHOLD = 0.7
 
 _SEP = np.ones(256, bool)
@@ -70,7 +70,7 @@ def bag_features(texts: list[str | None]):
     return np.concatenate(feats).astype(np.int64), np.concatenate(owner), doc, raw, starts[first], ends[last]
 
 
-def _pieces(texts: list[str], limit: int = 500_000) -> list[tuple[int, list[str]]]:
+def _pieces(texts: list[str], limit: int = 250_000) -> list[tuple[int, list[str]]]:
     """The texts in runs of about ``limit`` characters, with the number of the first."""
     out, held = [], limit
     for i, t in enumerate(texts):
@@ -82,7 +82,7 @@ def _pieces(texts: list[str], limit: int = 500_000) -> list[tuple[int, list[str]
     return out
 
 
-def train(texts: list[str], labels: list[int], steps: int = 300, rate: float = 0.1, penalty: float = 2e-4) -> Model | None:
+def train(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0.1, penalty: float = 2e-5) -> Model | None:
     """Fits the noisy-or model; None without bags of both labels.
 
     Candidate features stand in at least three toxic bags and at least three times as
