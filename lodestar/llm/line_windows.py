@@ -31,7 +31,8 @@ def repeated_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"), F.struct("id", "row_key", "line").alias("at")
     )
     first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hashed.join(first, ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("first")))
+    # Neither this table nor the covered lines have a size bound, so they never broadcast.
+    later = hashed.join(first.hint("merge"), ["h1", "h2"]).where(~F.col("at").eqNullSafe(F.col("first")))
     return later.select("at.row_key", "at.line").groupBy("row_key").agg(
         F.array_distinct(F.flatten(F.collect_list(F.sequence("line", F.col("line") + (window - 1))))).alias("covered")
     )
@@ -57,7 +58,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbers = F.sequence(F.lit(0), F.size(F.split(text, "\n", -1)) - 1)
     left = F.transform(F.array_except(numbers, "covered"), lambda i: F.get(F.split(text, "\n", -1), i))
     changed = F.when(F.col("covered").isNull(), text).otherwise(F.array_join(left, "\n"))
-    return rows.join(covered, "row_key", "left").select(
+    return rows.join(covered.hint("merge"), "row_key", "left").select(
         *[changed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != "n_lines_removed"],
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_lines_removed"),
     )
