@@ -10,6 +10,8 @@ which a lost executor cannot leave half-written.
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import zlib
 
@@ -23,9 +25,9 @@ from lodestar.llm.scratch import Scratch
 
 MAGIC, HEAD = b"LSTOKEN1", "<8sIIQQ"
 BLOCK = 4096
-SHARD_TOKENS = 1 << 21
-#: Words whose ids a task remembers; then it forgets all.
-CACHE = 300_000
+SHARD_TOKENS = 1 << 20
+#: Pieces whose ids a worker remembers; then it forgets all.
+CACHE = 1_000_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -104,11 +106,20 @@ class Shard:
         return self.tokens(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+#: A word of small Latin letters before a blank, point, comma or the end; a point or
+#: comma before a blank or the end; or all up to the next blank.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]++(?=[ \t\n\r\f\v.,]|\Z)|[.,](?=[ \t\n\r\f\v]|\Z)|[^ \t\n\r\f\v]+")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_FOREIGN = re.compile(r"<\||[^\u0000-\u024f]")
+
+
 class WordEncoder:
-    """Encodes texts word by word and remembers the words.
+    """Encodes texts by pieces and remembers the pieces' ids.
 
-    Valid for tokenizers that never join characters across a blank, as those that
-    split on white space first: the ids of a text are those of its pieces in turn.
+    Valid for tokenizers that lower-case, split on white space and keep runs of letters
+    apart from points and commas: the ids of a text are then those of its pieces in
+    turn.  Texts with characters beyond Latin, or that may hold special tokens, are not
+    lower-cased here but left to the tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -120,14 +131,48 @@ class WordEncoder:
 
     def _forget(self) -> None:
         class Known(dict):
-            def __missing__(known, word: str) -> int:
-                known[word] = at = len(known)
-                new.append(word)
+            def __missing__(known, piece: str) -> int:
+                known[piece] = at = len(known)
+                new.append(piece)
                 return at
 
         self.new = new = []
         self.known = Known()
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _store(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Appends the ids of pieces; ``numbers`` are the pieces' own, ``counts`` their ids."""
+        need, top = self.used + len(ids), len(self.known)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
+        if top > len(self.starts):
+            more = np.zeros(max(top, len(self.starts)), np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+        self.flat[self.used : need] = ids
+        self.starts[numbers] = self.used + np.cumsum(counts) - counts
+        self.sizes[numbers] = counts
+        self.used = need
+
+    def _learn(self) -> None:
+        """Ids of the new pieces: words of letters many at once, others one by one."""
+        first = len(self.known) - len(self.new)
+        letters = np.fromiter((_LETTERS.fullmatch(w) is not None for w in self.new), bool, len(self.new))
+        plain, alone = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            e = self.tokenizer.encode(" ".join([self.new[i] for i in part]), add_special_tokens=False)
+            counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
+            if len(counts) != len(part) or not counts.all():
+                alone += part.tolist()
+            else:
+                self._store(first + part, counts, np.array(e.ids, np.uint32))
+        for at in range(0, len(alone), 500):
+            part = alone[at : at + 500]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([self.new[i] for i in part], add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._store(first + np.array(part), counts, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())))
+        self.new.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text ended by the end id, and the number of each text."""
@@ -136,16 +181,13 @@ class WordEncoder:
         words: list[str] = []
         ends = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            words += (t or "").replace("\n", " ").split(" ")
+            if t:
+                words += _PIECE.findall(t if _FOREIGN.search(t) else t.lower())
             ends[i] = len(words)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.new:
-            got = [e.ids for e in self.tokenizer.encode_batch(self.new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for g in got for x in g), np.uint32, int(sizes.sum()))])
-            self.new.clear()
-        size = self.starts[at + 1] - self.starts[at]
+            self._learn()
+        size = self.sizes[at]
         total = np.zeros(len(words) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], size)]
@@ -154,11 +196,21 @@ class WordEncoder:
         return np.insert(ids, last, self.end_id), counts
 
 
+_CODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def coder_for(path: str, end_id: int) -> WordEncoder:
+    """The encoder of this worker process, kept from task to task."""
+    if (path, end_id) not in _CODERS:
+        _CODERS[path, end_id] = WordEncoder(path, end_id)
+    return _CODERS[path, end_id]
+
+
 def _encode(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        coder = WordEncoder(path, end_id)
+        coder = coder_for(path, end_id)
         bits, part, seq = bits_for(max(coder.vocab, end_id + 1)), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
@@ -170,7 +222,7 @@ def _encode(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([total]), pa.array([data], pa.binary())], ["part", "seq", "n_tokens", "data"])
 
         for batch in batches:
-            for piece, texts in K.slices(batch, "text", 1_000_000):
+            for piece, texts in K.slices(batch, "text", 500_000):
                 ids, sizes = coder.encode(texts)
                 names += piece.column(0).to_pylist()
                 held.append(ids)
