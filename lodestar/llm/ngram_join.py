@@ -7,8 +7,8 @@ above the threshold must share.  Postings meet on the shingle; length, positiona
 and suffix filters prune them; each pair that is left is verified once on the two
 texts.
 
-Near copies by the thousand share postings, so pairs are made in rounds: first
-every posting with one leader of its list, then, after the links found so far have
+Near copies by the thousand share postings, so pairs are made in two rounds: first
+every posting with two leaders of its list, then, after the links found so far have
 merged classes into components, all remaining pairs of classes in different
 components.  A pair inside one component cannot change the components, so the
 result equals that of all pairs.
@@ -59,14 +59,14 @@ def _summaries(width: int):
                 s1, s2 = _signature(values, sizes)
                 counts += np.bincount((K.mix(values, 3) >> K.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.diff(sizes)), _long(s1), _long(s2), pa.nulls(piece.num_rows, pa.int32()), pa.nulls(piece.num_rows, pa.binary())],
-                    ["id", "n", "c", "c2", "block", "counts"],
+                    [piece.column(0), piece.column(2), pa.array(np.diff(sizes)), _long(s1), _long(s2), pa.nulls(piece.num_rows, pa.int32()), pa.nulls(piece.num_rows, pa.binary())],
+                    ["id", "h", "n", "c", "c2", "block", "counts"],
                 )
         size = (1 << SKETCH_BITS) // BLOCKS
         none = pa.nulls(BLOCKS, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(range(BLOCKS), pa.int32()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())],
-            ["id", "n", "c", "c2", "block", "counts"],
+            [none, none, none, none, none, pa.array(range(BLOCKS), pa.int32()), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())],
+            ["id", "h", "n", "c", "c2", "block", "counts"],
         )
 
     return run
@@ -180,29 +180,31 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null, empty and blank texts have the empty set and link with nothing; texts of
     fewer words than ``width`` have one shingle, the whole sequence; rows of equal
-    text are in one component; a null id keeps a null component unless linked with
-    another; other columns of ``docs`` are not read.  An empty table gives none.
+    sets are in one component, and so are the groups of rows that share an id; rows
+    without id link through equal sets only and have no component unless one with an id
+    is among those; other columns of ``docs`` are not read.  An empty table gives none.
     """
     spark = docs.sparkSession
     box = Scratch(spark, "ngram")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    told = box.keep(rows.mapInArrow(_summaries(width), "id long, n long, c long, c2 long, block int, counts binary"), "told")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    told = box.keep(rows.mapInArrow(_summaries(width), "id long, h long, n long, c long, c2 long, block int, counts binary"), "told")
     sketch = spark.sparkContext.broadcast(_sketch(told.where("block is not null").select("block", "counts")))
-    told = told.where("block is null").select("id", "n", "c", "c2")
-    classes = told.where("n > 0").groupBy("c", "c2").agg(F.min("id").alias("rep"))
+    told = told.where("block is null").select("id", "h", "n", "c", "c2")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h")))
+    classes = told.where("n > 0").groupBy("c", "c2").agg(first.alias("f")).select("c", "c2", F.col("f.id").alias("rep"), "f.h")
 
-    posted = box.keep(rows.mapInArrow(_postings(width, pct, sketch), "c long, n long, w array<long>, hot array<boolean>, hist binary"), "posted")
+    posted = box.keep(rows.select("id", "text").mapInArrow(_postings(width, pct, sketch), "c long, n long, w array<long>, hot array<boolean>, hist binary"), "posted")
     flat = posted.select("c", "n", F.posexplode(F.arrays_zip("w", "hot")).alias("pos", "x")).select("c", "n", "pos", "x.w", "x.hot")
     shared = _shared(flat)
     lists = box.keep(shared, "lists")
     hist = posted.select("c", "hist").dropDuplicates(["c"])
 
     # Everything below concerns only classes that share a prefix shingle.
-    wanted = lists.select("c").distinct().join(classes, "c").select("c", F.col("rep").alias("id"))
-    texts = box.keep(rows.join(wanted, "id").dropDuplicates(["c", "id"]).select("c", "id", "text"), "texts")
+    wanted = lists.select("c").distinct().join(classes, "c").select("c", F.col("rep").alias("id"), "h")
+    texts = box.keep(rows.join(wanted, ["id", "h"]).dropDuplicates(["c", "id"]).select("c", "id", "text"), "texts")
 
     links, tested, roots = None, None, None
-    for step in ("cleanest", "other", "all"):
+    for step in ("leaders", "all"):
         pairs = _pairs(lists, roots, step, pct)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -246,16 +248,16 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, step: str, pct: int) -> Da
         lists = lists.withColumn("root", F.lit(None).cast("long"))
     # A class without links is its own component; c and root may not be mixed up.
     lists = lists.withColumn("part", F.when(F.col("root").isNull(), F.struct(F.lit(0).alias("k"), F.col("c").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("root").alias("v"))))
-    mixed = lists.groupBy("w").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *_leader(step)).where("lo <> hi")
+    mixed = lists.groupBy("w").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *(_leaders() if step == "leaders" else [])).where("lo <> hi")
     # Overlap must reach pct * (n + m) / (100 + pct). All of it lies at or after the
     # first common shingle, which both prefixes hold, so a linked pair passes there.
     fits = (
         f"x.part <> y.part and 100 * least(x.n, y.n) >= {pct} * greatest(x.n, y.n)"
         f" and {100 + pct} * least(x.n - x.pos, y.n - y.pos) >= {pct} * (x.n + y.n)"
     )
-    if step != "all":
+    if step == "leaders":
         x = lists.alias("x")
-        y = mixed.select("w", "y.*").alias("y")
+        y = mixed.select("w", F.inline(F.array_distinct(F.array("y1", F.struct("y2.pos", "y2.c", "y2.n", "y2.part"))))).alias("y")
     else:
         lists = lists.join(mixed.select("w"), "w", "left_semi")
         x, y, fits = lists.alias("x"), lists.alias("y"), fits + " and x.c < y.c"
@@ -263,8 +265,7 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, step: str, pct: int) -> Da
     return found.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
-def _leader(step: str) -> list:
-    if step == "all":
-        return []
-    order = F.col("pos") if step == "cleanest" else F.pmod(F.xxhash64("c"), F.lit(1 << 20)).cast("int")
-    return [F.min(F.struct(order.alias("o"), "pos", "c", "n", "part")).alias("y")]
+def _leaders() -> list:
+    """Of a list the posting nearest to the front of its set, and one by a hash."""
+    order = F.pmod(F.xxhash64("c"), F.lit(1 << 20)).cast("int")
+    return [F.min(F.struct("pos", "c", "n", "part")).alias("y1"), F.min(F.struct(order.alias("o"), "pos", "c", "n", "part")).alias("y2")]

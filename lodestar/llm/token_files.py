@@ -109,7 +109,6 @@ class Shard:
 #: A word of small Latin letters before a blank, point, comma or the end; a point or
 #: comma before a blank or the end; or all up to the next blank.
 _PIECE = re.compile(r"[a-zß-öø-ÿ]++(?=[ \t\n\r\f\v.,]|\Z)|[.,](?=[ \t\n\r\f\v]|\Z)|[^ \t\n\r\f\v]+")
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _FOREIGN = re.compile(r"<\||[^\u0000-\u024f]")
 
 
@@ -157,11 +156,13 @@ class WordEncoder:
     def _learn(self) -> None:
         """Ids of the new pieces: words of letters many at once, others one by one."""
         first = len(self.known) - len(self.new)
-        letters = np.fromiter((_LETTERS.fullmatch(w) is not None for w in self.new), bool, len(self.new))
+        letters = np.fromiter(map(str.isalpha, self.new), bool, len(self.new))
         plain, alone = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
-        for at in range(0, len(plain), 2000):
+        words = list(itertools.compress(self.new, letters))
+        for at in range(0, len(words), 2000):
             part = plain[at : at + 2000]
-            e = self.tokenizer.encode(" ".join([self.new[i] for i in part]), add_special_tokens=False)
+            e = self.tokenizer.encode(" ".join(words[at : at + 2000]), add_special_tokens=False)
+            # A word of letters is one unit of the tokenizer; if not, these go one by one.
             counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))
             if len(counts) != len(part) or not counts.all():
                 alone += part.tolist()
