@@ -89,7 +89,7 @@ def bucket_accepts(times: list[int], rate: float, burst: float, tokens: float, a
 
 def rate_limit(events: DataFrame, rate: float = 200.0, burst: float | None = None) -> DataFrame:
     """STR-8 on a stream (probe, time_ms)."""
-    return events.groupBy("probe").transformWithStateInPandas(TokenBucket(rate, burst), "probe string, time_ms long", "append", "none")
+    return events.groupBy("probe").transformWithStateInPandas(TokenBucket(rate, burst), "probe string, time_ms long", "append", "processingTime")
 
 
 def limit_batch(events: DataFrame, rate: float, burst: float) -> DataFrame:
