@@ -24,6 +24,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and reread; the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex[:12]}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
