@@ -151,3 +151,14 @@ def condition(text: str, scope: dict[str, Column]) -> Column:
             ands = test if ands is None else ands & test
         ors = ands if ors is None else ors | ands
     return ors
+
+
+def fits_schema(text: Column, schema: str) -> Column:
+    """Whether a JSON text is an object whose fields have the types of a schema; absent fields may be."""
+    parsed = F.from_json(text, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return text.isNotNull() & F.coalesce(parsed["_bad"].isNull(), F.lit(False)) & F.startswith(F.trim(text), F.lit("{"))
+
+
+def json_path(text: Column, path: str) -> Column:
+    """The value at a path a.b[0].c of a JSON text, as text; null where there is none."""
+    return F.get_json_object(text, "$." + path)

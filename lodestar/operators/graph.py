@@ -404,3 +404,17 @@ def structure_gaps(files: DataFrame, domains: DataFrame, allowed: list[str], fla
     misplaced = loose.select(F.when(F.col("path").isin(allowed), "unlisted").otherwise("misplaced").alias("kind"), "path")
     under = exploded.select("folder").distinct().withColumn("up", F.regexp_extract("folder", "^(.*)/[^/]+$", 1)).where(F.col("up").isin(flat)).join(full, "folder", "left_anti")
     return missing.union(misplaced).union(under.select(F.lit("unlisted"), F.col("folder")))
+
+
+def demand_tile(edges: DataFrame, seeds: DataFrame, max_depth: int, max_files: int, keep: Keep = checkpointed) -> tuple[DataFrame, str]:
+    """STR-6: files to index around the seeds, and why the walk stopped.
+
+    Breadth first, by name within a depth, until ``max_files`` are taken ("files"), the
+    depth is spent with files left beyond it ("depth"), or nothing is left ("complete").
+    """
+    found = keep(bfs(edges, seeds, max_depth + 1, "out", keep).select("node", "depth"), "tile")
+    within = found.where(F.col("depth") <= max_depth)
+    counts = {bool(r.inside): r["count"] for r in found.groupBy((F.col("depth") <= max_depth).alias("inside")).count().collect()}
+    if counts.get(True, 0) > max_files:
+        return within.orderBy("depth", "node").limit(max_files), "files"
+    return within, "depth" if counts.get(False) else "complete"

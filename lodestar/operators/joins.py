@@ -55,7 +55,7 @@ def resolve_unique(calls: DataFrame, bindings: DataFrame, definitions: DataFrame
     dotted = F.contains("name", F.lit("."))
     one = bindings.groupBy("file_path", "prefix").agg(F.count_distinct("provider").alias("n"), F.min("provider").alias("target")).where("n = 1").drop("n")
     left = calls.where(dotted).withColumn("prefix", F.substring_index("name", ".", 1)).join(one, ["file_path", "prefix"], "left").select("call_id", "target")
-    per = definitions.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("id").alias("id2"), F.min("file_path").alias("f1"), F.max("file_path").alias("f2"))
+    per = definitions.groupBy("name").agg(F.count("*").alias("n"))
     mine = definitions.groupBy("name", "file_path").agg(F.count("*").alias("here"))
     plain = calls.where(~dotted).join(per, "name", "left").join(mine, ["name", "file_path"], "left")
     # Definitions elsewhere are all but the own file's; only one may be left.
@@ -127,14 +127,42 @@ def reconcile_effects(observed: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def enclosing(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
-    """SRCH-8, JOIN-9: for each point (file, line) the span with the greatest start at or before it.
+    """SRCH-8, JOIN-9: for each point (key, file, line) the span with the greatest start at or before it.
 
-    An as-of join without a range join: spans are cut into buckets of ``width`` lines by
-    their start, each bucket's last start is carried forward, and a point looks into its
-    own bucket or takes the carried one.
+    An as-of join without a range join.  Lines are cut into buckets of ``width``; points
+    and spans of one bucket meet in a running window, and where a bucket has no span
+    before the point the last one of earlier buckets is carried to it, one row for each
+    bucket.  A file with very many points is so dealt by buckets.
     """
-    by = Window.partitionBy("file").orderBy("line", "side", "start", "name").rowsBetween(Window.unboundedPreceding, 0)
-    s = spans.select("file", F.col("start").alias("line"), F.lit(0).alias("side"), "start", "name", F.lit(None).cast("string").alias("key"))
-    p = points.select("file", "line", F.lit(1).alias("side"), F.lit(None).cast(spans.schema["start"].dataType).alias("start"), F.lit(None).cast("string").alias("name"), F.col("key").cast("string"))
-    last = F.last(F.when(F.col("side") == 0, F.struct("start", "name")), ignorenulls=True).over(by)
-    return s.unionByName(p).withColumn("at", last).where("side = 1").select("key", "file", "line", F.col("at.start").alias("start"), F.col("at.name").alias("name"))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long").alias("bucket")
+    s = spans.select("file", bucket("start"), F.col("start").alias("line"), F.lit(0).alias("side"), "start", "name", F.lit(None).cast("string").alias("key"))
+    p = points.select("file", bucket("line"), "line", F.lit(1).alias("side"), F.lit(None).cast(spans.schema["start"].dataType).alias("start"), F.lit(None).cast("string").alias("name"), F.col("key").cast("string"))
+    run = Window.partitionBy("file", "bucket").orderBy("line", "side", "start", "name").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last(F.when(F.col("side") == 0, F.struct("start", "name")), ignorenulls=True).over(run)
+    inside = s.unionByName(p).withColumn("at", here).where("side = 1").select("key", "file", "bucket", "line", "at")
+    marks = s.groupBy("file", "bucket").agg(F.max(F.struct("start", "name")).alias("last"))
+    wanted = p.select("file", "bucket").distinct().join(marks, ["file", "bucket"], "full_outer")
+    before = Window.partitionBy("file").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = wanted.select("file", "bucket", F.last("last", ignorenulls=True).over(before).alias("prior"))
+    found = F.coalesce("at", "prior")
+    return inside.join(carried, ["file", "bucket"]).select("key", "file", "line", found["start"].alias("start"), found["name"].alias("name"))
+
+
+def changed_names(diffs: DataFrame) -> DataFrame:
+    """STR-5: short names that a stored diff (added, removed, changed) mentions, each once."""
+    names = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("added", "removed", "changed")])
+    return diffs.select(F.explode(F.transform(names, lambda n: F.substring_index(n, ".", -1))).alias("name")).where("name <> ''").distinct()
+
+
+def reopen_refs(refs: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """STR-5: references to changed names become pending again.
+
+    Resolved ones do; failed ones only if the name exists in the index now.  Adds
+    ``reopened``; the files of those rows are the scope of the resolution that follows.
+    """
+    there = nodes.select("name").distinct().withColumn("exists", F.lit(True))
+    marks = names.select("name").distinct().join(there, "name", "left").select(F.col("name").alias("reference_name"), F.coalesce("exists", F.lit(False)).alias("exists"), F.lit(True).alias("hit"))
+    joined = refs.join(marks, "reference_name", "left")
+    again = F.coalesce("hit", F.lit(False)) & ((F.col("status") == "resolved") | ((F.col("status") == "failed") & F.col("exists")))
+    status = F.when(again, "pending").otherwise(F.col("status")).alias("status")
+    return joined.select(*[status if c == "status" else F.col(c) for c in refs.columns], again.alias("reopened"))

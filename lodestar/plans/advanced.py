@@ -564,3 +564,22 @@ def src3(spark, sf):
     # A broken line keeps no probe; its type is counted from the table.
     good = rows.where("not bad").groupBy("probe").agg(F.count("*").alias("good"))
     return e.groupBy(F.col("event_type").alias("probe")).agg(F.count("*").alias("n")).join(good, "probe").select("probe", "n", (F.col("n") - F.col("good")).alias("bad"))
+
+
+@query("str5_reopen", """
+WITH refs AS (SELECT o_orderkey AS id, o_custkey AS name, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'failed' ELSE 'external' END AS status FROM orders),
+names AS (SELECT c_custkey AS name FROM customer WHERE c_acctbal > 7000), live AS (SELECT c_custkey AS name FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT id, CASE WHEN hit THEN 'pending' ELSE status END AS status, hit AS reopened FROM (SELECT *, name IN (SELECT name FROM names) AND (status = 'resolved' OR (status = 'failed' AND name IN (SELECT name FROM live))) AS hit FROM refs)""")
+def str5(spark, sf):
+    from lodestar.operators.joins import reopen_refs
+
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "O", "failed").otherwise("external")
+    refs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("reference_name"), status.alias("status"))
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "name")
+    return reopen_refs(refs, c.where("c_acctbal > 7000"), c.where("c_mktsegment <> 'BUILDING'")).select("id", "status", "reopened")
+
+
+@query("str6_demand_tile", f"WITH {SEED}, {TRADE}, {BFS.format(d=3)}, m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), n AS (SELECT count(*) FILTER (depth <= 2) AS inside, count(*) FILTER (depth > 2) AS beyond FROM m) SELECT node, depth, CASE WHEN inside > 8 THEN 'files' WHEN beyond > 0 THEN 'depth' ELSE 'complete' END AS stopped FROM m, n WHERE depth <= 2 ORDER BY depth, node LIMIT 8", "flows", recursive=True)
+def str6(spark, sf):
+    tile, why = G.demand_tile(_trade(spark, sf), _seed(spark, sf), 2, 8)
+    return tile.withColumn("stopped", F.lit(why))

@@ -350,3 +350,35 @@ def test_resolution(spark, rows):
 def test_health_of_nothing(spark):
     r = A.health_score(spark.createDataFrame([], "kind string"), spark.createDataFrame([], "path string")).first()
     assert (r.score, r.grade) == (0, "N/A")
+
+
+def test_reopened_references(spark, rows):
+    diffs = frame(spark, [(["C.load"], ["gone"], None)], "added array<string>, removed array<string>, changed array<string>")
+    assert rows(J.changed_names(diffs)) == [("gone",), ("load",)]
+    refs = frame(spark, [(1, "load", "failed"), (2, "gone", "failed"), (3, "gone", "resolved"), (4, "load", "external"), (5, "x", "resolved")], "id int, reference_name string, status string")
+    nodes = frame(spark, [("load",), ("x",)], "name string")
+    got = J.reopen_refs(refs, J.changed_names(diffs), nodes)
+    assert rows(got, "id", "status", "reopened") == [(1, "pending", True), (2, "failed", False), (3, "pending", True), (4, "external", False), (5, "resolved", False)]
+
+
+def test_demand_tile(spark, rows):
+    e = frame(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("d", "e")], "source string, target string")
+    seed = frame(spark, [("a",)], "node string")
+    of = lambda d, n: (lambda t: (rows(t[0], "node"), t[1]))(G.demand_tile(e, seed, d, n))
+    assert of(1, 9) == ([("a",), ("b",), ("c",)], "depth")
+    assert of(9, 9)[1] == "complete" and len(of(9, 9)[0]) == 5
+    assert of(9, 2) == ([("a",), ("b",)], "files")
+
+
+def test_json_checks(spark):
+    df = frame(spark, [('{"a": 1, "b": {"c": [5]}}',), ('{"a": "x"}',), ("{",), (None,), ("3",)], "t string")
+    assert [r[0] for r in df.select(S.fits_schema(F.col("t"), "a int, b struct<c:array<int>>")).collect()] == [True, False, False, False, False]
+    assert [r[0] for r in df.select(S.json_path(F.col("t"), "b.c[0]")).collect()] == ["5", None, None, None, None]
+
+
+def test_enclosing_symbol(spark):
+    spans = [("f", s, f"n{s}") for s in (5, 40, 41, 200, 1000)] + [("g", 10, "only")]
+    points = [(f"{f}{n}", f, n) for f, n in [("f", 1), ("f", 5), ("f", 39), ("f", 41), ("f", 63), ("f", 64), ("f", 199), ("f", 500), ("f", 5000), ("g", 9), ("g", 900), ("h", 3)]]
+    got = J.enclosing(frame(spark, points, "key string, file string, line int"), frame(spark, spans, "file string, start int, name string"))
+    want = {k: max((s for g, s, _ in spans if g == f and s <= n), default=None) for k, f, n in points}
+    assert {r.key: r.start for r in got.collect()} == want
