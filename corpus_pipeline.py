@@ -40,8 +40,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.ngram_jaccard(docs, width=5, pct=80)
     first = groups.where("component_id = doc_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id", "h").orderBy("h")
-    kept = docs.withColumn("h", F.xxhash64("text")).join(first, "doc_id", "left_semi")
-    kept = kept.withColumn("n", F.row_number().over(once)).where("n = 1").select(docs.columns)
+    # Packed in one column, the documents' own columns cannot clash with those made here.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
     return kept.union(docs.where("doc_id is null"))
 
 

@@ -70,6 +70,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * inverse[starts])
 
 
+def hashed_words(data: np.ndarray, sep: np.ndarray, size: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, in chunks that end with a separator.
+
+    Working memory is that of one chunk, however long the text.
+    """
+    parts, at = [], 0
+    while at < len(data):
+        to = min(at + size, len(data))
+        while to < len(data) and not sep[data[to - 1]]:
+            more = np.flatnonzero(sep[data[to : to + size]])
+            to = to + int(more[0]) + 1 if len(more) else min(to + size, len(data))
+        part = data[at:to]
+        s, e = words(part, sep)
+        parts.append((s + at, e + at, word_hashes(part, s, e)))
+        at = to
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the shingles of ``width`` words of each text.
 
@@ -79,8 +99,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     """
     data, offsets = join_texts(texts)
     data = LOWER[data]
-    starts, ends = words(data, BLANK)
-    h = word_hashes(data, starts, ends)
+    starts, _, h = hashed_words(data, BLANK)
     first = np.searchsorted(starts, offsets)
     count = np.diff(first)
     with np.errstate(over="ignore"):
@@ -109,7 +128,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(out) if out else h[:0]), np.cumsum(sizes)
 
 
-def slices(batch, column: str, limit: int = 2_000_000):
+def slices(batch, column: str, limit: int = 1_000_000):
     """Cuts an Arrow batch into pieces of about ``limit`` characters of text.
 
     Yields (piece, texts); a single text over the limit is a piece of its own, whole.

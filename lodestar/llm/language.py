@@ -179,27 +179,36 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
     return langs, scores
 
 
-def training_rows(docs: DataFrame, usable: Column, max_docs: int = MAX_DOCS) -> DataFrame:
+def training_rows(docs: DataFrame, usable: Column, id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
     """(text, lang): at most ``max_docs`` rows of each of the MAX_LANGS most frequent languages.
 
-    Rows come by a hash of the text; null and letterless texts and null languages are
-    left out, so are texts of over 20,000 characters.
+    Rows come by a hash of the id; null and empty texts, texts of over 20,000 characters
+    and null languages are left out.  A language's rows are first thinned by the hash to
+    about four times what is needed, so one scan and a bounded top suffice.
     """
-    rows = docs.where(usable).select("text", "lang").where("lang is not null and length(text) between 1 and 20000")
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    parts = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("text"), "text").limit(max_docs) for x in common]
-    out = rows.limit(0)
-    for p in parts:
-        out = out.union(p)
+    rows = docs.where(usable).where("lang is not null and length(text) between 1 and 20000")
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    if not counts:
+        return []
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    upto = F.lit(-1.0)
+    for lang, n in counts.items():
+        upto = F.when(F.col("lang") == lang, min(1.0, (4 * max_docs + 100) / n) * (1 << 30)).otherwise(upto)
+    thin = rows.select("text", "lang", place.alias("place"), upto.alias("upto")).where("place < upto")
+    # Ranks relative to the language's share keep the languages even in the bounded top.
+    top = thin.orderBy(F.col("place") / F.col("upto"), F.xxhash64("text")).limit(6 * max_docs * len(counts)).toArrow()
+    out, held = [], dict.fromkeys(counts, 0)
+    for text, lang in zip(top.column("text").to_pylist(), top.column("lang").to_pylist(), strict=True):
+        if held[lang] < max_docs and _LETTER.search(text):
+            held[lang] += 1
+            out.append((text, lang))
     return out
 
 
-def fit(docs: DataFrame, usable: Column | None = None, max_docs: int = MAX_DOCS) -> Network | None:
+def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> Network | None:
     """Trains on a bounded sample of the documents that ``usable`` allows."""
-    rows = training_rows(docs, F.lit(True) if usable is None else usable, max_docs).toArrow()
-    texts, langs = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-    keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
-    return train([texts[i] for i in keep], [langs[i] for i in keep])
+    rows = training_rows(docs, F.lit(True) if usable is None else usable, id_col, max_docs)
+    return train([r[0] for r in rows], [r[1] for r in rows])
 
 
 def language_id(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,14 +160,17 @@ def _verify(width: int, pct: int):
     def run(batches):
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                n = piece.num_rows
+            size = sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            ends, at = np.cumsum(size), 0
+            while at < batch.num_rows:  # about a million bytes at a time, one pair at least
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")) - at)
+                piece = batch.slice(at, n)
                 values, o = K.shingle_sets(piece.column(2).to_pylist() + piece.column(3).to_pylist(), width)
                 for i in range(n):
                     x, y = values[o[i] : o[i + 1]], values[o[n + i] : o[n + i + 1]]
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     found[at + i] = 100 * both >= pct * (len(x) + len(y) - both)
+                at += n
             yield batch.select(["a", "b"]).filter(pa.array(found))
 
     return run
@@ -197,7 +201,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flat = posted.select("c", "n", F.posexplode(F.arrays_zip("w", "hot")).alias("pos", "x")).select("c", "n", "pos", "x.w", "x.hot")
     shared = _shared(flat)
     lists = box.keep(shared, "lists")
-    hist = posted.select("c", "hist").dropDuplicates(["c"])
+    hist = box.keep(posted.select("c", "hist").dropDuplicates(["c"]), "hist")
+    box.drop("posted")
 
     # Everything below concerns only classes that share a prefix shingle.
     wanted = lists.select("c").distinct().join(classes, "c").select("c", F.col("rep").alias("id"), "h")

@@ -5,8 +5,9 @@ It is posted, with that order, to the inverted file of each of its nearest pivot
 query visits the files of its own nearest pivots, ranks their entries by the footrule
 distance between the orders, and scores the best by the true cosine.
 
-Files are cut into pieces of bounded size, so a pivot that many vectors share is dealt
-over many tasks, and a query meets each piece on its own.
+Files are cut into pieces of bounded size, and so are a file's queries: a pivot that
+many vectors share is dealt over many tasks, and each block of queries meets each
+piece on its own.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ORDER, POSTED, VISITED = 64, 8, 24
 #: Entries of a piece of a file that are scored exactly for a query: a least number and a
 #: share, and the size of a piece.
 RERANK, RERANK_SHARE, PIECE = 128, 0.15, 4096
+#: Queries that meet a piece in one task; more of them meet it in several.
+QUERY_PIECE = 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -138,14 +141,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     share = spark.sparkContext.broadcast(pivots)
     schema = f"pivot int, id long, vector {rows.schema['vector'].dataType.simpleString()}, order binary"
     index = box.keep(rows.mapInArrow(_post(share, min(POSTED, len(pivots))), schema), "index")
-    sizes = index.groupBy("pivot").count()
-    pieces = sizes.select("pivot", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    looks = box.keep(asked.mapInArrow(_post(share, min(visited, len(pivots))), schema), "looks")
+    cut = lambda df, size, name: df.groupBy("pivot").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     # One row for each pivot, at most MAX_PIVOTS.
-    pieces = F.broadcast(pieces)
-    entries = index.join(pieces, "pivot").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
-    looks = asked.mapInArrow(_post(share, min(visited, len(pivots))), schema).join(pieces, "pivot")
-    looks = looks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    found = looks.groupBy("pivot", "piece").cogroup(entries.groupBy("pivot", "piece")).applyInPandas(_search(len(pivots), k, rerank), kinds)
+    cuts = F.broadcast(cut(index, PIECE, "pieces").join(cut(looks, QUERY_PIECE, "parts"), "pivot"))
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    entries = index.join(cuts, "pivot").withColumn("piece", part("pieces")).withColumn("part", every("parts")).drop("pieces", "parts")
+    looks = looks.join(cuts, "pivot").withColumn("part", part("parts")).withColumn("piece", every("pieces")).drop("pieces", "parts")
+    block = ["pivot", "piece", "part"]
+    found = looks.groupBy(*block).cogroup(entries.groupBy(*block)).applyInPandas(_search(len(pivots), k, rerank), kinds)
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -8,6 +8,7 @@ trained scores also locate the offending ones.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,7 @@ THRESHOLD = 0.7
 
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_SENTENCE = re.compile(r"[.!?\n]")
 _END = np.zeros(256, bool)
 _END[[0x0A, *b".!?"]] = True
 
@@ -130,20 +132,44 @@ def train(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0
     return Model(weights, float(b))
 
 
+def _cut(texts: list[str | None], limit: int = 500_000) -> tuple[list[str], np.ndarray]:
+    """Texts cut after sentences into pieces of about ``limit`` characters, and their numbers.
+
+    Sentences count alone, so cutting changes nothing, and a text of any length is
+    scored a piece at a time.
+    """
+    pieces, source = [], []
+    for i, t in enumerate(texts):
+        t, at = t or "", 0
+        while at == 0 or at < len(t):
+            to = at + limit
+            if to < len(t):
+                end = _SENTENCE.search(t, to)
+                to = end.end() if end else len(t)
+            pieces.append(t[at:to])
+            source.append(i)
+            at = max(to, 1)
+    return pieces, np.array(source, np.int64)
+
+
 def score_batch(model: Model | None, texts: list[str | None], locate: float = 0.5):
     """Document scores and, for each, its sentences scored at least ``locate``."""
     n = len(texts)
     spans: list[list[dict]] = [[] for _ in texts]
     if model is None:
         return np.zeros(n), spans
-    feats, owner, doc, raw, starts, ends = bag_features(texts)
-    z = model.bias + np.bincount(owner, model.weights[feats], minlength=len(doc))
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    score = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
-    for s in np.flatnonzero(p >= locate):
-        sentence = raw[starts[s] : ends[s]].tobytes().decode("utf-8", "replace")
-        spans[doc[s]].append({"text": sentence, "score": float(p[s])})
-    return np.clip(score, 0, 1), spans
+    pieces, source = _cut(texts)
+    logs = np.zeros(n)
+    for at, part in _pieces(pieces, 1_000_000):
+        feats, owner, doc, raw, starts, ends = bag_features(part)
+        doc = source[at + doc]
+        z = model.bias + np.bincount(owner, model.weights[feats], minlength=len(doc))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        logs += np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+        for s in np.flatnonzero(p >= locate):
+            sentence = raw[starts[s] : ends[s]].tobytes().decode("utf-8", "replace")
+            spans[doc[s]].append({"text": sentence, "score": float(p[s])})
+    return np.clip(-np.expm1(logs), 0, 1), spans
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", max_bags: int = MAX_BAGS) -> DataFrame:

@@ -33,6 +33,8 @@ def test_noisy_or_is_the_product():
     weights = np.zeros(1 << toxicity.BITS, np.float32)
     model = toxicity.Model(weights, -2.0)
     p = 1 / (1 + np.exp(2.0))
+    cut, source = toxicity._cut(["one. two! three\nfour", None, "", "x" * 50], 6)
+    assert (cut, list(source)) == (["one. two!", " three\n", "four", "", "", "x" * 50], [0, 0, 0, 1, 2, 3])
     score, _ = toxicity.score_batch(model, ["a b. c d! e"])
     assert abs(score[0] - (1 - (1 - p) ** 3)) < 1e-9
 

@@ -26,6 +26,8 @@ def test_near_stage_keeps_one_of_each_group(spark):
     got = Counter(r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, DATA).collect())
     assert {k for k in got if k is not None} == {k for k in keep if k is not None}
     assert got[1] == 1 and got[None] == 2
+    same = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in same for r in corpus_pipeline.dedup_near(spark, docs, DATA).collect())
 
 
 def test_whole_run(spark):
