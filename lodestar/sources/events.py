@@ -69,7 +69,7 @@ def save_documents(docs: DataFrame, root: str) -> None:
 def load_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """SRC-6: (manifests, one row of corrupt ones) of root/*/manifest.json."""
     raw = spark.read.schema(MANIFEST + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{root}/*/manifest.json")
-    return raw.where("_corrupt is null").drop("_corrupt"), raw.agg(F.count("_corrupt").alias("corrupt"))
+    return raw.where("_corrupt is null").drop("_corrupt"), raw.agg(F.count(F.when(F.col("_corrupt").isNotNull(), F.coalesce("name", F.lit("")))).alias("corrupt"))
 
 
 def sink_events(events: DataFrame, path: str, checkpoint: str):
