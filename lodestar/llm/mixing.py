@@ -5,16 +5,19 @@ slot floor(i / w) and must be used before slot ceil((i + 1) / w).  Serving the r
 block with the earliest deadline at each slot meets all deadlines, so after any number
 of slots each source is less than one block from its target.
 
-Weights are multiples of 1 / PERIOD.  Releases and deadlines repeat with that period,
-so one period is scheduled on the driver, whatever the number of blocks, and block i
-of a source is in slot (i div a) * PERIOD + slot of block (i mod a), with a blocks a
-period.
+Weights are exact: the targets as they are, brought to integers over their sum.  All
+blocks are scheduled in one pass, which holds a few numbers for each source and takes a
+step for each block (16 rows), in one task that writes the plan as it goes.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,12 @@ from lodestar.llm.scratch import Scratch
 PERIOD, BLOCK_ROWS = 5040, 16
 #: Sources are few by nature; more than this is refused rather than collected.
 MAX_SOURCES = 2000
+#: Slots are 64-bit: blocks due beyond FAR (extreme weights) are released there, due by LAST.
+FAR, LAST = 1 << 62, (1 << 63) - 1
+#: Rows of the plan written at once.
+PLAN_ROWS = 1 << 16
+PLAN = "s string, block long, slot long, release long, due long, on boolean"
+PLAN_NAMES = [c.split()[0] for c in PLAN.split(", ")]
 
 
 def shares(sizes: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -46,33 +55,80 @@ def shares(sizes: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
+def exact(values: list[float]) -> list[int]:
+    """Integers in just the proportions of positive floats."""
+    ratios = [float(v).as_integer_ratio() for v in values]
+    over = max((d for _, d in ratios), default=1)
+    whole = [a * (over // d) for a, d in ratios]
+    by = math.gcd(*whole) or 1
+    return [v // by for v in whole]
+
+
+def serve(weights: list[int], blocks: list[int], total: int | None = None) -> Iterator[tuple[int, int, int, int, int, bool]]:
+    """(source, block, slot, release, deadline, on target) of all blocks, by slot.
+
+    Earliest deadline first, equal ones by the source's number; its weight is
+    weights[k] / ``total`` (by default their sum), 1 at most in all.  A source that has
+    run out keeps its place until its turn comes: from that slot on nothing is on target.
+    Slots without a released block stay idle.
+    """
+    n, total = len(weights), total or sum(weights)
+    if sum(weights) > total:
+        raise ValueError("weights exceed one")
+    done, left, t, on = [0] * n, sum(blocks), 0, True
+    # Heaps of release * n + source and of deadline * n + source.
+    waiting, ready = [k for k in range(n) if blocks[k]], []
+    while left:
+        if not ready:
+            t = max(t, waiting[0] // n)
+        while waiting and waiting[0] < (t + 1) * n:
+            k = heapq.heappop(waiting) % n
+            due = -(-(done[k] + 1) * total // weights[k])
+            heapq.heappush(ready, (due if due <= FAR else LAST) * n + k)
+        due, k = divmod(heapq.heappop(ready), n)
+        i = done[k]
+        if i == blocks[k]:
+            on = False
+            continue
+        if t >= due:
+            raise AssertionError("a deadline was missed")
+        yield k, i, t, min(i * total // weights[k], FAR), due, on
+        done[k] = i + 1
+        left -= 1
+        if on or i + 1 < blocks[k]:
+            heapq.heappush(waiting, min((i + 1) * total // weights[k], FAR) * n + k)
+        t += 1
+
+
 def schedule(blocks: dict[str, int], period: int = PERIOD) -> dict[str, list[int]]:
     """Slots of each source's blocks in one period, earliest deadline first.
 
     ``blocks`` must not exceed ``period`` in all; slots left over stay idle.  Equal
     deadlines go to the smaller name.
     """
-    if sum(blocks.values()) > period:
-        raise ValueError("weights exceed one")
+    names = sorted(k for k, a in blocks.items() if a)
     slots: dict[str, list[int]] = {k: [] for k in blocks}
-    waiting = [(0, k, 0) for k, a in sorted(blocks.items()) if a]
-    ready: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // blocks[k]), k, i))
-        if ready:
-            due, k, i = heapq.heappop(ready)
-            if t >= due:
-                raise AssertionError("a deadline was missed")
-            slots[k].append(t)
-            if i + 1 < blocks[k]:
-                heapq.heappush(waiting, ((i + 1) * period // blocks[k], k, i + 1))
+    counts = [blocks[k] for k in names]
+    for k, _, t, *_ in serve(counts, counts, period):
+        slots[names[k]].append(t)
     return slots
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: float = 1.0, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def plan_rows(sizes: dict[str, int], weights: dict[str, float] | None, smoothing: float, block_rows: int) -> Iterator[tuple]:
+    """PLAN rows of all blocks of sources with ``sizes`` rows; those without target last."""
+    target = {k: (n**smoothing if weights is None else weights.get(k, 0)) for k, n in sizes.items()}
+    names = sorted(k for k in sizes if target[k] > 0)
+    end = 0
+    for k, i, t, release, due, on in serve(exact([target[k] for k in names]), [-(-sizes[k] // block_rows) for k in names]):
+        end = t + 1
+        yield names[k], i, t, release, due, on
+    for k in sorted(k for k in sizes if not target[k] > 0):
+        for i in range(-(-sizes[k] // block_rows)):
+            yield k, i, end, None, None, False
+            end += 1
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smoothing: float = 1.0, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` with their place in the mixture.
 
     Adds mix_block (number of the block in its source), mix_release, mix_deadline,
@@ -89,40 +145,32 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
     box = Scratch(docs.sparkSession, "mixing")
     docs = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_pos", "mix_on_target")
     src = F.coalesce(F.col(source_col), F.lit(""))
-    sizes = {r[0]: r[1] for r in docs.groupBy(src.alias("s")).count().limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
+    if docs.select(src).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError("too many sources")
-    target = weights if weights is not None else {k: n**smoothing for k, n in sizes.items()}
-    per = shares({k: target.get(k, 0) for k in sizes}, period)
-    slots = schedule(per, period)
-    blocks = {k: -(-n // block_rows) for k, n in sizes.items()}
-
-    def slot(k: str, i: int) -> int:
-        return i // per[k] * period + slots[k][i % per[k]]
-
-    horizon = min((slot(k, blocks[k]) for k in per), default=0)
-    last = max((slot(k, blocks[k] - 1) for k in per), default=-1) + 1
-    # One row for each source and block of a period: at most ``period`` rows and one per source.
-    plan = [(k, i, s, per[k], False) for k in per for i, s in enumerate(slots[k])]
-    for k in sorted(set(sizes) - set(per)):
-        plan.append((k, 0, last, 1, True))
-        last += blocks[k]
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(plan, "s string, i long, slot long, a long, late boolean"))
-    cycle = F.broadcast(spark.createDataFrame([(k, per.get(k, 1)) for k in sizes], "s string, cycle long"))
+
+    def plan(batches):
+        sizes = {}
+        for batch in batches:
+            sizes.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        rows = plan_rows(sizes, weights, smoothing, block_rows)
+        types = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
+        while piece := list(itertools.islice(rows, PLAN_ROWS)):
+            columns = zip(*piece, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], PLAN_NAMES)
+
+    # One row for each block.  It is stored, so its size is known: a small one is broadcast, a large one joined by shuffle.
+    table = box.keep(docs.groupBy(src.alias("s")).count().repartition(1).mapInArrow(plan, PLAN), "plan")
     rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    rows = number_rows(rows, ["s"], ["h", "id"], "n", box).join(cycle, "s")
-    rows = rows.select("*", F.expr(f"n div {block_rows}").alias("block"), F.expr(f"cast(n % {block_rows} as int)").alias("pos"))
-    timed = rows.withColumn("i", F.col("block") % F.col("cycle")).join(table, ["s", "i"], "left" if not plan else "inner")
-    at = F.when(F.col("late"), F.col("slot") + F.col("block")).otherwise(F.expr(f"(block div a) * {period} + slot"))
-    return timed.select(
+    rows = number_rows(rows, ["s"], ["h", "id"], "n", box)
+    rows = rows.select("row", "s", F.expr(f"n div {block_rows}").alias("block"), F.expr(f"cast(n % {block_rows} as int)").alias("pos"))
+    return rows.join(table, ["s", "block"]).select(
         "row.*",
         F.col("block").alias("mix_block"),
-        F.when(~F.col("late"), F.expr(f"block * {period} div a")).alias("mix_release"),
-        F.when(~F.col("late"), F.expr(f"((block + 1) * {period} + a - 1) div a")).alias("mix_deadline"),
-        at.cast("long").alias("mix_slot"),
+        F.col("release").alias("mix_release"),
+        F.col("due").alias("mix_deadline"),
+        F.col("slot").alias("mix_slot"),
         F.col("pos").alias("mix_pos"),
-        (~F.col("late") & (at < horizon)).alias("mix_on_target"),
+        F.col("on").alias("mix_on_target"),
     )
 
 

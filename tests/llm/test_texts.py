@@ -168,3 +168,32 @@ def test_mixing_awkward(spark):
     assert out.count() == df.count() and set(df.columns) <= set(out.columns)
     assert mixing.mix_sources(empty(spark)).count() == 0
     assert out.groupBy("doc_id", F.xxhash64("text")).count().count() == df.groupBy("doc_id", F.xxhash64("text")).count().count()
+
+
+def test_mixing_keeps_the_exact_targets(spark):
+    """A hot source and 19 equal ones, over more than two periods of 5,040 slots."""
+    size = {f"s{i:02}": 15_000 if i == 0 else 1_580 for i in range(20)}
+    of = [k for k, n in size.items() for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(of)), "doc_id long, source string")
+    got = mixing.mix_sources(df, smoothing=0.7, block_rows=1).where("mix_on_target").select("mix_slot", "source").toPandas().sort_values("mix_slot")
+    assert len(got) > 10_080 and list(got.mix_slot) == list(range(len(got)))
+    share, total = {k: n**0.7 for k, n in size.items()}, sum(n**0.7 for n in size.values())
+    for k, v in share.items():
+        lag = np.arange(1, len(got) + 1) * v / total - np.cumsum(got.source.to_numpy() == k)
+        assert np.abs(lag).max() < 1
+
+
+def test_exact_weights_of_a_long_tail():
+    sizes = {f"s{i:04}": 20_000 // (i + 1) + 1 for i in range(1_900)}
+    share, total = {k: n**0.7 for k, n in sizes.items()}, sum(n**0.7 for n in sizes.values())
+    served = [r for r in mixing.plan_rows(sizes, None, 0.7, 1)]
+    assert Counter(r[0] for r in served) == sizes and len({r[2] for r in served}) == len(served)
+    for k, i, slot, release, due, on in served:
+        assert release <= slot < due and (not on or i - 1e-6 < (slot + 1) * share[k] / total and slot * share[k] / total < i + 1 + 1e-6)
+
+
+def test_mixing_extreme_weights():
+    rows = list(mixing.plan_rows({"a": 40, "b": 40, "c": 3}, {"a": 1e30, "b": 1e-30}, 1.0, 10))
+    assert [r[:2] for r in rows if r[0] == "b"] == [("b", i) for i in range(4)] and len(rows) == 9
+    assert all(r[3] <= r[2] < r[4] <= mixing.LAST for r in rows if r[0] != "c")
+    assert rows[-1][0] == "c" and rows[-1][2] == max(r[2] for r in rows)
