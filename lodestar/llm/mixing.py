@@ -25,8 +25,6 @@ from lodestar.llm.order import number_rows
 from lodestar.llm.scratch import Scratch
 
 PERIOD, BLOCK_ROWS = 5040, 16
-#: Sources are few by nature; more than this is refused rather than collected.
-MAX_SOURCES = 2000
 #: Slots are 64-bit: blocks due beyond FAR (extreme weights) are released there, due by LAST.
 FAR, LAST = 1 << 62, (1 << 63) - 1
 #: Rows of the plan written at once.
@@ -145,8 +143,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
     box = Scratch(docs.sparkSession, "mixing")
     docs = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_pos", "mix_on_target")
     src = F.coalesce(F.col(source_col), F.lit(""))
-    if docs.select(src).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
-        raise ValueError("too many sources")
 
     def plan(batches):
         sizes = {}
@@ -161,7 +157,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
     # One row for each block.  It is stored, so its size is known: a small one is broadcast, a large one joined by shuffle.
     table = box.keep(docs.groupBy(src.alias("s")).count().repartition(1).mapInArrow(plan, PLAN), "plan")
     rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    rows = number_rows(rows, ["s"], ["h", "id"], "n", box)
+    rows = number_rows(rows, ["s"], ["h", "id"], "n", box, many=True)
     rows = rows.select("row", "s", F.expr(f"n div {block_rows}").alias("block"), F.expr(f"cast(n % {block_rows} as int)").alias("pos"))
     return rows.join(table, ["s", "block"]).select(
         "row.*",

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from lodestar.llm.scratch import Scratch
 
 
-def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, box: Scratch) -> DataFrame:
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, box: Scratch, many: bool = False) -> DataFrame:
     """Adds ``name``, the 0-based position of a row in its group by ``order``.
 
     Rows are range-partitioned and sorted by (group, order) and stored once with the
     position in their partition.  A row's number is its distance from the first row of
     its group there plus the group's rows in earlier partitions.  Those starts are one
     row for each partition and group it holds, at most partitions plus groups, as
-    ranges do not overlap.  A group of any size is dealt over many tasks.  ``df`` may
-    not have columns _part, _row or _start.
+    ranges do not overlap.  With ``many`` groups they are stored and broadcast only if
+    small.  A group of any size is dealt over many tasks.  ``df`` may not have columns
+    _part, _row or _start.
     """
     by = [F.col(c) for c in [*group, *order]]
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -27,4 +28,5 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str, bo
     same = F.col("_part") == F.col("p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"g{i}"))
-    return dealt.join(F.broadcast(starts), same).withColumn(name, F.col("_row") + F.col("_start")).select(*df.columns, name)
+    starts = box.keep(starts, f"starts-{name}") if many else F.broadcast(starts)
+    return dealt.join(starts, same).withColumn(name, F.col("_row") + F.col("_start")).select(*df.columns, name)

@@ -197,3 +197,11 @@ def test_mixing_extreme_weights():
     assert [r[:2] for r in rows if r[0] == "b"] == [("b", i) for i in range(4)] and len(rows) == 9
     assert all(r[3] <= r[2] < r[4] <= mixing.LAST for r in rows if r[0] != "c")
     assert rows[-1][0] == "c" and rows[-1][2] == max(r[2] for r in rows)
+
+
+def test_mixing_takes_any_number_of_sources(spark):
+    df = spark.range(13_000).selectExpr("id as doc_id", "concat('host', id % 6000) as source")
+    got = mixing.mix_sources(df, smoothing=0.7, block_rows=1)
+    assert got.count() == 13_000 and got.select("doc_id").distinct().count() == 13_000
+    assert got.select("mix_slot").distinct().count() == 13_000
+    assert got.where("mix_release <= mix_slot and mix_slot < mix_deadline").count() == 13_000
