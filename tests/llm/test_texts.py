@@ -126,6 +126,22 @@ def test_packing(spark):
             assert max(r.doc_id for r in rows) < min(r.doc_id for r in by[b, n + 1])
 
 
+@pytest.mark.parametrize("distinct", [packing.DISTINCT, 100])
+def test_packing_bounds_of_long_texts(spark, monkeypatch, distinct):
+    """Bounds are true lengths; optimal ones, unless there are too many lengths to keep apart."""
+    monkeypatch.setattr(packing, "DISTINCT", distinct)
+    sizes = [int(v) for v in np.random.default_rng(3).integers(1_000, 40_000, 300)] + [39_999]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n long")
+    got = packing.pack(df, buckets=4, length=F.col("n"), text_col="n").collect()
+    lengths, counts = np.unique(sizes, return_counts=True)
+    best = packing.optimal_bounds(lengths, counts, lengths * counts, 4)
+    bounds = sorted({r.bucket_len for r in got})
+    assert set(bounds) <= set(sizes) and bounds[-1] == max(sizes)
+    assert all(r.bucket_len == min(b for b in bounds if b >= r.length) for r in got)
+    if distinct > len(lengths):
+        assert sum(r.padding for r in got) == sum(min(b for b in best if b >= n) - n for n in sizes)
+
+
 def test_packing_awkward(spark):
     df = awkward(spark)
     assert packing.pack(df).count() == df.count()
