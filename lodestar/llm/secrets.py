@@ -27,53 +27,50 @@ MIN_ASSIGNED = 8
 SCOPE = 400
 
 
-def _spans(text: Column, kind: str, pattern: str, rank: int, role: str) -> Column:
-    """All leftmost matches in code points: pieces between matches give the places."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == "assign" else whole
+def _pieces(text: Column, kind: str, pattern: str, rank: int) -> Column:
+    """All leftmost matches, with the text between them: (rank, k, gap, width, value) lengths."""
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    if kind == "assign":
+        value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.length)
+        whole = F.zip_with(whole, value, lambda w, v: F.struct(w.alias("w"), v.alias("v")))
+    else:
+        whole = F.transform(whole, lambda w: F.struct(w.alias("w"), F.lit(MIN_ASSIGNED).alias("v")))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    cut = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("w"), F.length(v).alias("v"))), lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["v"].alias("v")))
-    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
-    placed = F.aggregate(
-        cut,
-        none,
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"]).alias("start"),
-                    (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"] + x["w"]).alias("end"),
-                    (x["v"] >= MIN_ASSIGNED).alias("ok"),
-                )
-            ),
-        ),
-    )
-    kept = F.filter(placed, lambda s: s["ok"]) if kind == "assign" else placed
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(rank >= 3).alias("weak")))
+    # There is one piece more than there are matches, the last of which has no width.
+    cut = F.filter(F.zip_with(between, whole, lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["v"].alias("v"))), lambda x: x["w"].isNotNull())
+    return F.transform(cut, lambda x, k: F.struct(F.lit(rank).alias("rank"), k.alias("k"), x["g"].alias("gap"), x["w"].alias("width"), x["v"].alias("value")))
 
 
 def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_key, start, rank, end, kind, role, weak) for every part of a credential.
 
     Null texts count as empty.  ``row_key`` tells rows of one id and different texts
-    apart; repeated rows share it and give their parts once.
+    apart; repeated rows share it and give their parts once.  Matches leave the text as
+    lengths; their places are running sums, so the work grows with the matches.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    # One look tells most texts from those with any match, for each pattern.
-    for kind, pattern, rank, role in [*STRONG, *WEAK]:
-        rows = rows.withColumn(f"_{kind}", F.when(F.col("text").rlike(pattern), _spans(F.col("text"), kind, pattern, rank, role)))
-    found = F.filter(F.array(*[F.col(f"_{k[0]}") for k in [*STRONG, *WEAK]]), lambda a: a.isNotNull())
-    return rows.select("id", F.xxhash64("id", "text").alias("row_key"), F.inline(F.flatten(found)))
+    text = F.col("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # A cheap look tells most texts from those that can match.
+    may = {"access": text.contains("AKIA"), "endpoint": text.contains("://"), "hex": text.rlike("[0-9a-f]{16}"), "weak_hex": text.rlike("[0-9a-f]{16}")}
+    found = [F.when(may.get(kind, text.rlike(pattern)), _pieces(text, kind, pattern, rank)) for kind, pattern, rank, _ in [*STRONG, *WEAK]]
+    found = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
+    # One shuffle: all that follows works on the rows of one document in place.
+    parts = rows.select("id", F.xxhash64("id", "text").alias("row_key"), found.alias("found"))
+    parts = parts.select("id", "row_key", F.inline("found")).repartition("id", "row_key").distinct()
+    run = Window.partitionBy("id", "row_key", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("width")).over(run).cast("int")).where(F.col("value") >= MIN_ASSIGNED)
+    name = lambda at: F.element_at(F.array(*[F.lit(k[at]) for k in [*STRONG, *WEAK]]), F.col("rank") + 1)
+    return parts.select("id", "row_key", (F.col("end") - F.col("width")).alias("start"), "rank", "end", name(0).alias("kind"), name(3).alias("role"), (F.col("rank") >= len(STRONG)).alias("weak"))
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Interval join of each part with the nearest complementary parts in its scope.
 
-    The join runs as one sweep in text order over each document: the last part of
-    every role that ended before, and the first that starts after, decide whether an
-    interval of ``scope`` characters around a part holds that role.  No pairs of parts
-    are made, and a part links with its nearest complement, the earlier on a tie.
+    The join runs as one sweep in text order (start, rank, end) over each document: of
+    every role the earlier part that ends last, and the later one that starts first,
+    are the nearest on either side, however spans nest, touch or overlap.  They decide
+    whether an interval of ``scope`` characters around a part holds that role.  No pairs
+    of parts are made; a part links with the nearer of the two, the earlier on a tie.
 
     Adds access_at, secret_at and endpoint_at, the starts of the linked parts.  A weak
     part stays only if two other roles lie in its scope, or one that is strong, and if
@@ -87,10 +84,9 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     cols, roles = {"sure_to": F.max(sure[0]).over(before), "sure_from": F.min(sure[1]).over(after)}, ("access", "secret", "endpoint")
     for role in roles:
         for label, test in ((role, F.col("role") == role), (f"{role}_sure", (F.col("role") == role) & ~F.col("weak"))):
-            here_is = F.when(test, F.struct("start", "end"))
-            cols[f"p_{label}"] = F.last(here_is, ignorenulls=True).over(before)
-            cols[f"n_{label}"] = F.last(here_is, ignorenulls=True).over(after)
-    swept = parts.distinct().withColumns(cols)
+            cols[f"p_{label}"] = F.max(F.when(test, F.struct("end", "start"))).over(before)
+            cols[f"n_{label}"] = F.min(F.when(test, F.struct("start", "end"))).over(after)
+    swept = parts.withColumns(cols)
 
     def near(label: str) -> Column:
         gap_p, gap_n = F.col("start") - F.col(f"p_{label}.end"), F.col(f"n_{label}.start") - F.col("end")
@@ -119,12 +115,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives none.  Work within a document grows with its matches.
     """
     linked = link_parts(scan_parts(docs, id_col, text_col), scope)
-    spans = linked.groupBy("row_key").agg(
+    spans = linked.groupBy(F.col("id").alias("span_id"), F.col("row_key").alias("span_key")).agg(
         F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "role", "weak", "access_at", "secret_at", "endpoint_at"))).alias("spans")
     )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row_key"))
     empty = F.array().cast(spans.schema["spans"].dataType)
-    return rows.join(spans, "row_key", "left").select(F.col("id").alias(id_col), F.coalesce("spans", empty).alias("spans"))
+    same = F.col("id").eqNullSafe(F.col("span_id")) & (F.col("row_key") == F.col("span_key"))
+    return rows.join(spans, same, "left").select(F.col("id").alias(id_col), F.coalesce("spans", empty).alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -48,10 +49,97 @@ def test_weak_parts_need_complements(spark):
     assert (linked.secret_at, linked.endpoint_at) == (21, 62)
 
 
+def test_nested_parts_link_by_the_nearest_end(spark):
+    url, inner = "https://db.internal:5432/x", "0123456789abcdef" * 2
+    cases = {1: f"secret={inner}-{'k' * 460} {url}", 2: f"secret={'z' * 32}-{'k' * 460} {url}"}
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.secret_scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ["assign", "hex", "endpoint"], 2: ["assign", "endpoint"]}
+
+
+def brute_links(parts, scope):
+    """All pairs: of each role the nearest earlier and later part, as the sweep defines them."""
+    out = set()
+    parts = sorted(set(parts))
+    for i, (start, rank, end, role, weak) in enumerate(parts):
+        at, sure = {}, False
+        for other in {"access", "secret", "endpoint"} - {role}:
+            for strong in (False, True):
+                pick = [(j, p) for j, p in enumerate(parts) if p[3] == other and not (strong and p[4])]
+                before = max(((p[2], p[0]) for j, p in pick if j < i), default=None)
+                after = min(((p[0], p[2]) for j, p in pick if j > i), default=None)
+                gaps = []
+                if before and start - before[0] <= scope:
+                    gaps.append((max(0, start - before[0]), 0, before[1]))
+                if after and after[0] - end <= scope:
+                    gaps.append((max(0, after[0] - end), 1, after[0]))
+                if gaps and strong:
+                    sure = True
+                elif gaps:
+                    at[other] = min(gaps)[2]
+        hidden = any(not p[4] and ((j < i and p[2] > start) or (j > i and p[0] < end)) for j, p in enumerate(parts))
+        if not weak or (not hidden and (len(at) >= 2 or sure)):
+            out.add((start, rank, end, at.get("access"), at.get("secret"), at.get("endpoint")))
+    return out
+
+
+def test_links_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    docs, rows = {}, []
+    for d in range(150):
+        size = int(rng.integers(1, 14))
+        kinds = [*secrets.STRONG, *secrets.WEAK]
+        for _ in range(size):
+            kind = kinds[rng.integers(0, 6)]
+            start = int(rng.integers(0, 120))
+            end = start + int(rng.integers(1, 50))
+            docs.setdefault(d, []).append((start, kind[2], end, kind[3], kind[2] >= 3))
+        docs[d] = list(set(docs[d]))
+        rows += [(d, 0, s, r, e, "k", role, weak) for s, r, e, role, weak in docs[d]]
+    df = spark.createDataFrame(rows, "id long, row_key long, start int, rank int, end int, kind string, role string, weak boolean")
+    got = {}
+    for r in secrets.link_parts(df, 25).collect():
+        got.setdefault(r.id, set()).add((r.start, r["rank"], r.end, r.access_at, r.secret_at, r.endpoint_at))
+    assert got == {d: found for d, p in docs.items() if (found := brute_links(p, 25))}
+
+
+def timed(run, sizes):
+    """Seconds of a run at each size, the better of two, after one to warm up."""
+    run(sizes[0])
+    out = []
+    for n in sizes:
+        spent = []
+        for _ in range(2):
+            began = time.perf_counter()
+            run(n)
+            spent.append(time.perf_counter() - began)
+        out.append(min(spent))
+    return out
+
+
+def test_secrets_of_one_long_text_are_linear(spark):
+    def run(n):
+        df = spark.createDataFrame([(1, " ".join(f"{i:032x}" for i in range(n)))], "doc_id long, text string")
+        assert secrets.digest(secrets.secret_scan(df)).first().n_hex == n
+
+    small, large = timed(run, (16_000, 64_000))
+    assert large < 8 * small + 1
+
+
+def test_lines_of_one_long_text_are_linear(spark):
+    def run(n):
+        df = spark.createDataFrame([(1, "\n".join(f"line number {i % (n // 2)}" for i in range(n)))], "doc_id long, text string")
+        assert line_windows.line_dedup(df).first().n_lines_removed == n // 2
+
+    small, large = timed(run, (16_000, 64_000))
+    assert large < 8 * small + 1
+
+
 def test_secrets_awkward(spark):
     df = awkward(spark)
     assert secrets.digest(secrets.secret_scan(df)).count() == df.count()
     assert secrets.secret_scan(empty(spark)).count() == 0
+    one = spark.createDataFrame([(None, f"token=abcdefgh {HEX}")] * 2 + [(None, None), (1, HEX), (1, "token=abcdefgh")], "doc_id long, text string")
+    assert sorted(len(r.spans) for r in secrets.secret_scan(one).collect()) == [0, 1, 1, 2, 2]
 
 
 def brute_lines(rows, window=3):
