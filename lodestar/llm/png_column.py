@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import kernels as K
 
-#: Fixed values of the PNG format.
+#: Fixed values of the PNG format: signature, channels and bit depths by color type, and
+#: the seven interlacing passes (first row, first column, row step, column step).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+#: Images of more bytes of samples than this are not inflated.
+MAX_BYTES = 1 << 30
 WIDTH = 64
 SIDE, LOW = 32, 8
 
@@ -50,11 +55,17 @@ def encode_png(samples: np.ndarray, level: int = 6) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Samples of an 8-bit, non-interlaced PNG; ValueError if anything is wrong."""
+def decode_png(data: bytes, max_bytes: int = MAX_BYTES) -> np.ndarray:
+    """Samples of a PNG (height, width) or (height, width, channels).
+
+    Samples of up to 8 bits are uint8, those of 16 bits uint16, both as stored; palette
+    images give their colors.  Interlaced images are put in order.  ValueError if
+    anything is wrong, or if the image would take more than ``max_bytes``; no more than
+    the announced size is ever inflated.
+    """
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, head, body, ended = 8, None, [], False
+    at, head, palette, body, ended = 8, None, None, [], False
     while at + 12 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
@@ -63,7 +74,13 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("bad checksum")
         at += 12 + size
         if kind == b"IHDR":
+            if head is not None or len(part) != 13:
+                raise ValueError("bad header")
             head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            if not part or len(part) % 3 or len(part) > 768:
+                raise ValueError("bad palette")
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body.append(part)
         elif kind == b"IEND":
@@ -73,56 +90,93 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("unknown critical chunk")
     if head is None or not ended:
         raise ValueError("chunks missing")
-    w, h, depth, color, _, _, lace = head
-    if depth != 8 or color not in CHANNELS or lace:
+    w, h, depth, color, method, filtering, lace = head
+    if not w or not h:
+        raise ValueError("empty image")
+    if depth not in DEPTHS.get(color, ()) or method or filtering or lace > 1:
         raise ValueError("unsupported image")
-    bpp = CHANNELS[color]
+    if color == 3 and palette is None:
+        raise ValueError("no palette")
+    bits = depth * CHANNELS[color]
+    passes = [(y, x, dy, dx, -(-(h - y) // dy), -(-(w - x) // dx)) for y, x, dy, dx in (PASSES if lace else [(0, 0, 1, 1)]) if y < h and x < w]
+    need = sum(n * (-(-m * bits // 8) + 1) for *_, n, m in passes)
+    body = b"".join(body)
+    if max(need, h * w * CHANNELS[color] * (2 if depth == 16 else 1)) > max_bytes:
+        raise ValueError("too large")
+    if need > 1040 * (len(body) + 16):  # beyond what deflate can pack
+        raise ValueError("wrong size")
     try:
-        raw = zlib.decompress(b"".join(body))
+        stream = zlib.decompressobj()
+        raw = stream.decompress(body, need + 1)
     except zlib.error as e:
         raise ValueError("bad data") from e
-    if len(raw) != h * (w * bpp + 1):
+    if len(raw) != need or not stream.eof:
         raise ValueError("wrong size")
-    lines = np.frombuffer(raw, np.uint8).reshape(h, w * bpp + 1)
-    rows = _unfilter(lines[:, 0], lines[:, 1:].reshape(h, w, bpp))
-    return rows[:, :, 0] if bpp == 1 else rows
+    out, at = np.empty((h, w, CHANNELS[color]), np.uint16 if depth == 16 else np.uint8), 0
+    for y, x, dy, dx, n, m in passes:
+        width = -(-m * bits // 8)
+        lines = np.frombuffer(raw, np.uint8, n * (width + 1), at).reshape(n, width + 1)
+        at += n * (width + 1)
+        step = max(1, bits // 8)
+        rows = _unfilter(lines[:, 0], lines[:, 1:].reshape(n, width // step, step)).reshape(n, width)
+        out[y::dy, x::dx] = _samples(rows, m, depth, CHANNELS[color])
+    if color == 3:
+        if int(out.max()) >= len(palette):
+            raise ValueError("bad palette index")
+        return palette[out[:, :, 0]]
+    return out[:, :, 0] if CHANNELS[color] == 1 else out
+
+
+def _samples(rows: np.ndarray, width: int, depth: int, channels: int) -> np.ndarray:
+    """Samples (rows, width, channels) from the bytes of unfiltered lines."""
+    if depth == 16:
+        rows = np.ascontiguousarray(rows).view(">u2")
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(len(rows), width, depth)
+        rows = (bits << np.arange(depth - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)
+    return rows.reshape(len(rows), width, channels)
 
 
 def _unfilter(kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Undoes scan-line filters; runs of None, Sub and Up in whole-array steps."""
+    """Undoes scan-line filters; runs of None, Sub and Up in whole-array steps.
+
+    Runs of Average and Paeth go by diagonals: a pixel needs those left, above and above
+    left, so all pixels of a diagonal are found at once.
+    """
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError("unknown filter")
     out = np.empty_like(x)
     h = len(x)
-    cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), h] if h else [0]
+    group = np.minimum(kinds, 3)
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), h] if h else [0]
     zero = np.zeros(x.shape[1:], np.uint8)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        kind, above = int(kinds[a]), out[a - 1] if a else zero
+        kind, above = int(group[a]), out[a - 1] if a else zero
         if kind == 0:
             out[a:b] = x[a:b]
         elif kind == 1:
             out[a:b] = np.cumsum(x[a:b], axis=1, dtype=np.uint8)
         elif kind == 2:
             out[a:b] = np.cumsum(np.concatenate([above[None], x[a:b]]), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
-            for y in range(a, b):
-                out[y] = _sequential(kind, x[y], out[y - 1] if y else zero)
         else:
-            raise ValueError("unknown filter")
+            out[a:b] = _diagonals(kinds[a:b] == 3, x[a:b], above)
     return out
 
 
-def _sequential(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(line)
-    left = corner = np.zeros(line.shape[1], np.int32)
-    up = above.astype(np.int32)
-    for i in range(len(line)):
-        if kind == 3:
-            guess = (left + up[i]) // 2
-        else:
-            pa_, pb, pc = np.abs(up[i] - corner), np.abs(left - corner), np.abs(left + up[i] - 2 * corner)
-            guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up[i], corner))
-        out[i] = (line[i] + guess) & 255
-        left, corner = out[i].astype(np.int32), up[i]
-    return out
+def _diagonals(average: np.ndarray, x: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Lines of the filters Average (where told) and Paeth, below the line ``above``."""
+    n, w, step = x.shape
+    # One line and one column more, for what lies outside.
+    full = np.zeros((n + 1, w + 1, step), np.int16)
+    full[0, 1:] = above
+    for d in range(n + w - 1):
+        row = np.arange(max(0, d - w + 1), min(n, d + 1))
+        col = d - row
+        left, up, corner = full[row + 1, col], full[row, col + 1], full[row, col]
+        to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        full[row + 1, col + 1] = (x[row, col] + np.where(average[row, None], (left + up) >> 1, paeth)) & 255
+    return full[1:, 1:].astype(np.uint8)
 
 
 def _cosines(n: int, k: int) -> np.ndarray:
@@ -176,36 +230,43 @@ def text_to_png(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(_store(level), "id long, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def _read(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
-            rows = []
-            for data in piece.column(2).to_pylist():
-                if data is None:
-                    rows.append((None, None, None, None, None, None, "null"))
-                    continue
-                try:
-                    x = decode_png(data)
-                except ValueError as e:
-                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, str(e)))
-                    continue
-                payload = np.ascontiguousarray(x).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), dct_hash(x), None))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], ["id", "n_bytes", *_FEATURES])
+def image_features(data: bytes | None, max_bytes: int = MAX_BYTES) -> tuple:
+    """_FEATURES of one stored image; the last is what is wrong with it, if anything."""
+    if data is None:
+        return None, None, None, None, None, None, "null"
+    stored = len(data), hashlib.sha256(data).hexdigest()
+    try:
+        x = decode_png(data, max_bytes)
+    except ValueError as e:
+        return None, None, None, *stored, None, str(e)
+    payload = np.ascontiguousarray(x, x.dtype.newbyteorder(">")).tobytes()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, dct_hash(x), None
+
+
+def _read(max_bytes: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                piece = batch.slice(at, 256)
+                rows = [image_features(data.as_py(), max_bytes) for data in piece.column(2)]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], ["id", "n_bytes", *_FEATURES])
+
+    return run
 
 
 _FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
 
 
-def png_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def png_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Reads stored PNGs back: payload digests, the cosine hash, or the error.
 
-    Null and damaged images give null features and say why in ``error``; the batch
-    goes on.  ``n_bytes`` passes through.
+    The payload is the samples in rows, those of 16 bits with the high byte first.  Null,
+    empty, damaged and unsupported images, and those of more than ``max_bytes`` of
+    samples, give null features and say why in ``error``; the batch goes on.
+    ``n_bytes`` passes through.
     """
     rows = media.select(F.col(id_col).cast("long").alias("id"), "n_bytes", F.col(media_col).alias("media"))
     kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    return rows.mapInArrow(_read, kinds).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_read(max_bytes), kinds).withColumnRenamed("id", id_col)

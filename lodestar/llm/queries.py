@@ -47,7 +47,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return png_column.png_features(png_column.text_to_png(_table(spark, sf_dir, "documents"))).drop("error")
+    media = png_column.text_to_png(_table(spark, sf_dir, "documents"))
+    # No text is longer than this, so none is left unread.
+    return png_column.png_features(media, max_bytes=1 << 32).drop("error")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

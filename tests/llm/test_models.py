@@ -1,6 +1,7 @@
 """Toxicity, language, media, token files, nearest neighbours."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -112,6 +113,90 @@ def test_png_all_filters():
     assert np.array_equal(png_column.decode_png(data), x)
 
 
+def image(head, *chunks):
+    body = [(b"IHDR", struct.pack(">IIBBBBB", *head)), *chunks, (b"IEND", b"")]
+    return png_column.SIGNATURE + b"".join(png_column._chunk(k, v) for k, v in body)
+
+
+def test_png_kinds():
+    """Palette, suggested palette, low and high bit depths, interlaced."""
+    idx = np.array([[0, 1, 2], [2, 1, 0]], np.uint8)
+    colors = bytes(range(9))
+    raw = zlib.compress(b"".join(b"\0" + bytes([r[0] << 6 | r[1] << 4 | r[2] << 2]) for r in idx.tolist()))
+    want = np.arange(9, dtype=np.uint8).reshape(3, 3)[idx]
+    assert np.array_equal(png_column.decode_png(image((3, 2, 2, 3, 0, 0, 0), (b"PLTE", colors), (b"IDAT", raw))), want)
+    with pytest.raises(ValueError):
+        png_column.decode_png(image((3, 2, 2, 3, 0, 0, 0), (b"PLTE", colors[:6]), (b"IDAT", raw)))
+    flat = zlib.compress(b"".join(b"\0" + r.tobytes() for r in want))
+    assert np.array_equal(png_column.decode_png(image((3, 2, 8, 2, 0, 0, 0), (b"PLTE", colors), (b"IDAT", flat[:4]), (b"IDAT", flat[4:]))), want)
+    deep = np.random.default_rng(0).integers(0, 1 << 16, (4, 5)).astype(">u2")
+    got = png_column.decode_png(image((5, 4, 16, 0, 0, 0, 0), (b"IDAT", zlib.compress(b"".join(b"\0" + r.tobytes() for r in deep)))))
+    assert got.dtype == np.uint16 and np.array_equal(got, deep)
+    for h, w in ((1, 1), (5, 3), (9, 17)):
+        x = np.random.default_rng(h).integers(0, 256, (h, w, 3), np.uint8)
+        laced = b"".join(b"\0" + r.tobytes() for y, c, dy, dx in png_column.PASSES if y < h and c < w for r in x[y::dy, c::dx])
+        assert np.array_equal(png_column.decode_png(image((w, h, 8, 2, 0, 0, 1), (b"IDAT", zlib.compress(laced)))), x)
+
+
+def test_png_of_wrong_sizes():
+    line = zlib.compress(b"\0" * 65)
+    for head in ((0, 1), (64, 0), (64, 2), (63, 1), (1 << 31, 1 << 31)):
+        with pytest.raises(ValueError):
+            png_column.decode_png(image((*head, 8, 0, 0, 0, 0), (b"IDAT", line)))
+    bomb = image((64, 1, 8, 0, 0, 0, 0), (b"IDAT", zlib.compress(bytes(50_000_000))))
+    with pytest.raises(ValueError, match="wrong size"):
+        png_column.decode_png(bomb)
+    with pytest.raises(ValueError, match="too large"):
+        png_column.decode_png(png_column.encode_png(np.zeros((100, 64), np.uint8)), max_bytes=1000)
+    for bad in (image((64, 1, 8, 0, 0, 0, 0)), png_column.SIGNATURE + png_column._chunk(b"IHDR", b"short") + png_column._chunk(b"IEND", b"")):
+        with pytest.raises(ValueError):
+            png_column.decode_png(bad)
+
+
+def test_every_damaged_image_gives_a_row():
+    """Bits flipped, bytes cut and inserted, in chunks whose checksums are made anew."""
+    rng = np.random.default_rng(7)
+    seen = set()
+    for k in range(1500):
+        x = rng.integers(0, 256, (int(rng.integers(1, 9)), 64), np.uint8)
+        rows = zlib.compress(b"".join(bytes([int(rng.integers(0, 5))]) + r.tobytes() for r in x))
+        parts = [[b"IHDR", struct.pack(">IIBBBBB", 64, len(x), 8, 0, 0, 0, 0)], [b"IDAT", rows]]
+        if k % 3 == 0:
+            parts.insert(1, [b"PLTE", rng.bytes(int(rng.integers(0, 12)))])
+        for _ in range(int(rng.integers(1, 3))):
+            part = parts[rng.integers(0, len(parts))]
+            body, at = bytearray(part[1]), int(rng.integers(0, max(1, len(part[1]))))
+            how = rng.integers(0, 3)
+            if how == 0 and body:
+                body[at] ^= 1 << int(rng.integers(0, 8))
+            elif how == 1:
+                del body[at : at + int(rng.integers(1, 5))]
+            else:
+                body[at:at] = rng.bytes(int(rng.integers(1, 5)))
+            part[1] = bytes(body)
+        data = png_column.SIGNATURE + b"".join(png_column._chunk(*p) for p in [*parts, (b"IEND", b"")])
+        if k % 5 == 0:
+            data = data[: int(rng.integers(0, len(data)))]
+        got = png_column.image_features(data)
+        assert len(got) == 7 and (got[5] is None) == (got[6] is not None)
+        seen.add(got[6])
+    assert len(seen) > 5 and None in seen
+
+
+def test_cosine_hash_by_definition():
+    """The hash of a 32 x 32 image from the double sum of the transform; larger ones by means of areas."""
+    x = np.random.default_rng(2).integers(0, 256, (32, 32)).astype(float)
+    low = []
+    for u in range(8):
+        for v in range(8):
+            low.append(sum(x[i, j] * math.cos(math.pi * (2 * i + 1) * u / 64) * math.cos(math.pi * (2 * j + 1) * v / 64) for i in range(32) for j in range(32)))
+    low = np.round(np.array(low), 6)
+    middle = sorted(low[1:])[31]
+    want = int("".join("1" if c > middle else "0" for c in low), 2)
+    assert png_column.dct_hash(x) == f"{want:016x}"
+    assert png_column.dct_hash(np.kron(x, np.ones((4, 2)))) == f"{want:016x}"
+
+
 def test_damaged_png():
     good = png_column.encode_png(np.zeros((4, 64), np.uint8))
     for bad in (b"", b"x", good[:-5], good[:30] + b"\x00" + good[31:], good[:8]):
