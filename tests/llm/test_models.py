@@ -271,13 +271,54 @@ def test_word_encoder_is_exact():
         at += n
 
 
-def test_footrule_by_definition():
+@pytest.mark.parametrize("n_pivots", [1, 7, 20, 256])
+def test_footrule_by_definition(n_pivots):
     rng = np.random.default_rng(1)
-    entries = np.stack([rng.permutation(20)[:6] for _ in range(50)]).astype(np.uint8)
-    q = rng.permutation(20)[:6].astype(np.uint8)
-    rank = lambda o, p: list(o).index(p) if p in o else 6
-    want = [sum(abs(rank(q, p) - rank(e, p)) for p in range(20)) for e in entries]
-    assert list(permutation_index.footrule(q, permutation_index.places(entries), 20)) == want
+    pivots = permutation_index.unit(rng.normal(size=(n_pivots, 12)))
+    units = permutation_index.unit(rng.normal(size=(40, 12)))
+    got = permutation_index.footrule(permutation_index.ranks(units[:5], pivots), permutation_index.ranks(units, pivots))
+    orders = [sorted(range(n_pivots), key=lambda p, u=u: (-float(pivots[p] @ u), p)) for u in units]
+    for i in range(5):
+        for j in range(40):
+            assert got[i, j] == sum(abs(orders[i].index(p) - orders[j].index(p)) for p in range(n_pivots))
+
+
+def test_pivots_are_spread_over_a_dense_cluster():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    v = permutation_index.unit(np.concatenate([centre + 1e-3 * rng.normal(size=(3000, 16)), rng.normal(size=(1000, 16))])[rng.permutation(4000)])
+    points = permutation_index.choose_pivots(v, 600)
+    assert (points @ permutation_index.unit(centre[None])[0] > 0.99).mean() < 0.2
+
+
+def brute_nearest(rows, k=5):
+    """(query, rank, id) of the queries by all pairs, in numpy."""
+    ids, u = np.array([i for i, _ in rows]), permutation_index.unit(np.array([v for _, v in rows], np.float64))
+    out = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = (u * u[q]).sum(1)
+        score[q] = -9
+        out |= {(ids[q], r + 1, ids[i]) for r, i in enumerate(np.lexsort((ids, -np.round(score, 13)))[:k])}
+    return out
+
+
+def test_exact_search_equals_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8)).round(1)
+    v[300:600] = v[300]
+    v[600:700] = v[300] + 1e-3 * rng.normal(size=(100, 8))
+    rows = [(i, [float(x) for x in v[i]]) for i in range(900) if v[i].any()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(df, df.where("vec_id % 50 = 0"), pivots=40, visited=40, rerank=900)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got.collect()} == brute_nearest(rows)
+
+
+def test_vectors_of_extreme_size_and_other_lengths(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2e199]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (50, [0.0, 1e-310]), (4, [1.0]), (5, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in permutation_index.nearest(df, df.where("vec_id % 50 = 0")).collect())
+    a, b = round(1 / math.sqrt(2), 9), round(1 / math.sqrt(1.04), 9)
+    assert got == [(0, 1, 3, 1.0), (0, 2, 1, b), (0, 3, 2, a), (0, 4, 50, 0.0), (50, 1, 2, a), (50, 2, 1, round(0.2 * b, 9)), (50, 3, 0, 0.0), (50, 4, 3, 0.0)]
 
 
 def test_nearest_recall_and_ties(spark):
