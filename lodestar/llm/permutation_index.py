@@ -30,7 +30,7 @@ PIVOT_RATE, MIN_PIVOTS, MAX_PIVOTS = 8, 16, 1 << 18
 ORDER = 256
 #: Files that a vector is posted to; files that a query visits, VISIT_RATE * pivots**0.6 over
 #: POSTED (all if the pivots are few).
-POSTED, VISIT_RATE, FEW = 6, 11, 96
+POSTED, VISIT_RATE, FEW = 6, 9, 96
 #: Entries scored exactly: about SLACK * RERANK for a query, by a sample of SAMPLE vectors.
 RERANK, SLACK, SAMPLE = 256, 4, 4096
 #: Of one piece of a file, at most this many entries are scored for a query.
@@ -38,7 +38,6 @@ PIECE_RERANK = 256
 #: Entries of a piece of a file, and queries that meet it in one task.
 PIECE, QUERY_PIECE = 4096, 8192
 FAR = (1 << 31) - 1
-_LOW = np.uint64(0x00FF00FF00FF00FF)
 
 
 def scaled(vectors: np.ndarray) -> np.ndarray:
@@ -96,20 +95,28 @@ def choose_pivots(points: np.ndarray, size: int) -> np.ndarray:
 
 
 def ranks(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The rank of each of up to 256 pivots in each vector's order; uint8, filled to words of 8."""
-    order = np.argsort(-(units @ pivots.T), axis=1, kind="stable")
-    out = np.zeros((len(units), -(-len(pivots) // 8) * 8), np.uint8)
-    np.put_along_axis(out, order, np.arange(len(pivots), dtype=np.uint8)[None], 1)
+    """The rank of each of up to 256 pivots in each vector's order."""
+    order = np.argsort((units @ -pivots.T).astype(np.float32), axis=1)
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(len(pivots), dtype=np.int16)[None], 1)
     return out
 
 
 def footrule(queries: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Footrule distances (queries, entries): sums over pivots of the difference in rank."""
-    a, b = queries[:, None], entries[None]
-    far = np.subtract(np.maximum(a, b), np.minimum(a, b)).view(np.uint64)
-    # Eight ranks a word, added up in lanes of 16 bits: 32 words of 2 * 255 fit.
-    lanes = ((far & _LOW) + ((far >> np.uint64(8)) & _LOW)).sum(2)
-    return sum(((lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF)) for k in range(4)).astype(np.int64)
+    """Footrule distances (queries, entries): sums over pivots of the difference in rank.
+
+    A sum over 256 pivots of at most 255 fits 16 bits.
+    """
+    own, others = queries.T, np.ascontiguousarray(entries.T)[:, None]
+    out = np.empty((len(queries), len(entries)), np.uint16)
+    step = max(1, 1024 // max(1, len(entries)))
+    far = np.empty((len(own), step, len(entries)), np.int16)
+    for at in range(0, len(queries), step):
+        part = own[:, at : at + step, None]
+        view = far[:, : part.shape[1]]
+        np.abs(np.subtract(others, part, out=view), out=view)
+        np.add.reduce(view.view(np.uint16), axis=0, dtype=np.uint16, out=out[at : at + step])
+    return out
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -140,7 +147,7 @@ def _post(share, dims: int, files: int, near: int | None):
 def _best(q_ids, q_vectors, q_ranks, upto, ids, vectors, entry_ranks, k: int, rerank: int):
     """(query, entry, score): the ``k`` best of some entries for each query, by id where equal."""
     own, norms = np.sqrt((q_vectors * q_vectors).sum(1)), np.sqrt((vectors * vectors).sum(1))
-    step = max(1, (1 << 21) // max(1, entry_ranks.size))
+    step = max(1, (1 << 20) // max(1, len(ids)))
     for at in range(0, len(q_ids), step):
         far = footrule(q_ranks[at : at + step], entry_ranks)
         keep = (far <= upto[at : at + step, None]) & (q_ids[at : at + step, None] != ids[None])
