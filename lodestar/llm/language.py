@@ -1,51 +1,35 @@
 """Language identification by a byte convolutional network, trained in numpy.
 
-Input is a fixed-length window of byte classes.  Filters of several widths slide over
-it, each is max-pooled over the window, and a softmax layer gives the languages.  As
-inputs are one-hot, a filter's product with a window is a sum of table entries; for
-inference the tables of neighbouring positions are added up beforehand, so a position
-costs two look-ups for all filters.
+Input is a fixed-length window of bytes.  Filters of several widths slide over it, each
+is max-pooled over the window, and a softmax layer gives the languages.  As inputs are
+one-hot, a filter's product with a window is a sum of table entries; for inference the
+tables of neighbouring positions are added up beforehand, so a position costs two
+look-ups for all filters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernels as K
 
-WIDTHS, FILTERS = (2, 3, 4), 16
+WIDTHS, FILTERS, N_BYTES = (2, 3, 4), 16, 256
 WINDOW = 256
-#: The training sample: documents of each language, and windows of each document.
-MAX_DOCS, WINDOWS_PER_DOC, MAX_LANGS = 400, 4, 64
+#: The training sample: documents of each language and in all, and windows of each document.
+MAX_DOCS, MAX_SAMPLE, WINDOWS_PER_DOC = 400, 25_600, 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _classes() -> np.ndarray:
-    """64 classes of bytes: letters in either case, blank, digit, mark, UTF-8 parts."""
-    c = np.zeros(256, np.uint8)
-    c[32:128] = 1
-    c[48:58] = 2
-    c[[0x20, *range(9, 14)]] = 3
-    c[97:123] = np.arange(26) + 4
-    c[65:91] = np.arange(26) + 4
-    c[0x80:0xC0] = 30 + (np.arange(64) % 32)  # continuation; a capital's differs from the small letter's by 32
-    c[0xC0:0x100] = 62
-    c[0xC3] = 63
-    return c
-
-
-CLASS, N_CLASS = _classes(), 64
-
-
 @dataclass
 class Network:
-    """Filter tables by width (width, N_CLASS, FILTERS), and the dense layer."""
+    """Filter tables by width (width, N_BYTES, FILTERS), and the dense layer."""
 
     langs: list[str]
     tables: list[np.ndarray]
@@ -54,10 +38,10 @@ class Network:
     out_bias: np.ndarray
 
     def fused(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sums for the pair of classes at i, and for that at i + 2, of all filters."""
+        """Sums for the pair of bytes at i, and for that at i + 2, of all filters."""
         if not hasattr(self, "_fused"):
-            pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(N_CLASS * N_CLASS, -1)
-            zero = np.zeros((N_CLASS, FILTERS), np.float32)
+            pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(N_BYTES * N_BYTES, -1)
+            zero = np.zeros((N_BYTES, FILTERS), np.float32)
             t2, t3, t4 = self.tables
             near = np.concatenate([pair(t2[0], t2[1]), pair(t3[0], t3[1]), pair(t4[0], t4[1])], axis=1)
             far = np.concatenate([pair(t3[2], zero), pair(t4[2], t4[3])], axis=1)
@@ -71,80 +55,93 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _pooled(net: Network, x: np.ndarray) -> np.ndarray:
-    """Max-pooled, rectified filter outputs of windows of classes (n, WINDOW + 3)."""
+    """Max-pooled, rectified filter outputs of windows of bytes (n, WINDOW + 3)."""
     near, far = net.fused()
     wide = x.astype(np.int32)
-    code = wide[:, :-1] * N_CLASS + wide[:, 1:]
+    code = wide[:, :-1] * N_BYTES + wide[:, 1:]
     out = near[code[:, :-2]]
     out[:, :, FILTERS:] += far[code[:, 2:]]
     return np.maximum(out.max(axis=1), 0)
 
 
 def windows_of(data: np.ndarray, size: int) -> np.ndarray:
-    """All windows of WINDOW classes over one text's bytes, each with 3 classes more.
+    """All windows of WINDOW bytes over one text, each with 3 bytes more.
 
-    The last window is filled with class 0; every byte lies in one window.
+    The last window is filled with byte 0; every byte lies in one window.
     """
     n = max(1, -(-size // WINDOW))
     padded = np.zeros(n * WINDOW + 3, np.uint8)
-    padded[:size] = CLASS[data[:size]]
+    padded[:size] = data[:size]
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 3)[::WINDOW]
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 25, rate: float = 0.02, seed: int = 7) -> Network | None:
-    """Fits the network with Adam on windows spread over each text; None without rows."""
-    if not texts:
-        return None
+def sample_windows(text: str, count: int = WINDOWS_PER_DOC) -> np.ndarray:
+    """At most ``count`` of a text's windows, from anywhere in it, chosen by its bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    w = windows_of(np.frombuffer(raw, np.uint8), len(raw))
+    seed = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big")
+    return w[np.sort(np.random.default_rng(seed).choice(len(w), min(len(w), count), replace=False))]
+
+
+def new_network(langs: list[str], seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
-    index = {x: i for i, x in enumerate(names)}
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        w = windows_of(raw, len(raw))
-        take = rng.choice(len(w), min(len(w), WINDOWS_PER_DOC), replace=False)
-        xs.append(w[take])
-        ys += [index[lang]] * len(take)
-    x, y = np.concatenate(xs), np.array(ys)
-    count = np.bincount(y, minlength=len(names))
-    weight = (len(y) / (len(names) * count))[y]
     width = FILTERS * len(WIDTHS)
-    net = Network(
-        names,
-        [rng.normal(0, 0.3, (k, N_CLASS, FILTERS)).astype(np.float32) for k in WIDTHS],
+    return Network(
+        langs,
+        [rng.normal(0, 0.3, (k, N_BYTES, FILTERS)).astype(np.float32) for k in WIDTHS],
         np.zeros(width, np.float32),
-        rng.normal(0, 0.2, (width, len(names))).astype(np.float32),
-        np.zeros(len(names), np.float32),
+        rng.normal(0, 0.2, (width, len(langs))).astype(np.float32),
+        np.zeros(len(langs), np.float32),
     )
+
+
+def gradient(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Weighted mean cross entropy of a batch of windows, and its gradient by parameter.
+
+    A maximum passes its gradient to the first place that attains it.
+    """
+    x = x.astype(np.int64)
+    # Filters sum entries of the tables; a look-up takes all filters of a width at once.
+    conv = [sum(np.take(t[j], x[:, j : j + WINDOW], axis=0) for j in range(len(t))) for t in net.tables]
+    best = [c.argmax(axis=1) for c in conv]
+    top = np.concatenate([np.take_along_axis(c, b[:, None, :], 1)[:, 0] for c, b in zip(conv, best, strict=True)], axis=1) + net.bias
+    hidden = np.maximum(top, 0)
+    prob = _softmax(hidden @ net.dense + net.out_bias)
+    scale = weight / len(y)
+    loss = float(-(np.log(prob[np.arange(len(y)), y]) * scale).sum())
+    delta = prob
+    delta[np.arange(len(y)), y] -= 1
+    delta *= scale[:, None].astype(delta.dtype)
+    back = (delta @ net.dense.T) * (top > 0)
+    grads, filters = [], np.arange(FILTERS)
+    for k, (table, place) in enumerate(zip(net.tables, best, strict=True)):
+        own = back[:, k * FILTERS : (k + 1) * FILTERS].reshape(-1)
+        cells = [np.take_along_axis(x, place + j, 1) * FILTERS + filters for j in range(len(table))]
+        grads.append(np.stack([np.bincount(c.reshape(-1), own, N_BYTES * FILTERS).reshape(N_BYTES, FILTERS) for c in cells]))
+    return loss, [*grads, back.sum(0), hidden.T @ delta, delta.sum(0)]
+
+
+def train(windows: np.ndarray, langs: list[str], epochs: int = 10, rate: float = 0.02, seed: int = 7) -> Network | None:
+    """Fits the network with Adam on windows, at a falling rate; None without any.  Languages weigh the same."""
+    if not len(windows):
+        return None
+    names = sorted(set(langs))
+    index = {x: i for i, x in enumerate(names)}
+    y = np.array([index[x] for x in langs])
+    weight = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y]
+    net, rng = new_network(names, seed), np.random.default_rng(seed)
     params = [*net.tables, net.bias, net.dense, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    t, filters = 0, np.arange(width)
+    t, steps = 0, epochs * -(-len(y) // 64)
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 64):
             pick = order[at : at + 64]
-            xb, yb, wb = x[pick].astype(np.int64), y[pick], weight[pick]
-            conv = np.concatenate([sum(net.tables[k][j][xb[:, j : j + WINDOW]] for j in range(w)) for k, w in enumerate(WIDTHS)], axis=2) + net.bias
-            best = conv.argmax(axis=1)
-            top = np.take_along_axis(conv, best[:, None, :], 1)[:, 0]
-            hidden = np.maximum(top, 0)
-            prob = _softmax(hidden @ net.dense + net.out_bias)
-            delta = prob
-            delta[np.arange(len(yb)), yb] -= 1
-            delta *= (wb / len(yb))[:, None]
-            back = (delta @ net.dense.T) * (top > 0)
-            grads = [np.zeros_like(p) for p in net.tables]
-            for k, w in enumerate(WIDTHS):
-                own = slice(k * FILTERS, (k + 1) * FILTERS)
-                for j in range(w):
-                    where = np.take_along_axis(xb, best[:, own] + j, 1)
-                    np.add.at(grads[k][j], (where, filters[:FILTERS][None, :]), back[:, own])
-            grads += [back.sum(0), hidden.T @ delta, delta.sum(0)]
             t += 1
-            for p, g, (m, v) in zip(params, grads, moments, strict=True):
+            for p, g, (m, v) in zip(params, gradient(net, windows[pick], y[pick], weight[pick])[1], moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+                p -= rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
     return net
 
 
@@ -179,36 +176,38 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
     return langs, scores
 
 
-def training_rows(docs: DataFrame, usable: Column, id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> list[tuple[str, str]]:
-    """(text, lang): at most ``max_docs`` rows of each of the MAX_LANGS most frequent languages.
+def _sampled(batches):
+    for batch in batches:
+        for piece, texts in K.slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([sample_windows(t).tobytes() for t in texts], pa.binary())], ["lang", "windows"])
+
+
+def training_rows(docs: DataFrame, usable: Column, id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE) -> DataFrame:
+    """(lang, windows) of at most ``max_docs`` documents of each language, ``max_sample`` in all.
 
-    Rows come by a hash of the id; null and empty texts, texts of over 20,000 characters
-    and null languages are left out.  A language's rows are first thinned by the hash to
-    about four times what is needed, so one scan and a bounded top suffice.
+    Any number of languages is learned: each gives its share, its documents by a hash of
+    the id.  Only texts without a letter and null languages are left out.  Windows are cut
+    from whole texts where they lie, so no long text travels.
     """
-    rows = docs.where(usable).where("lang is not null and length(text) between 1 and 20000")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return []
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    upto = F.lit(-1.0)
-    for lang, n in counts.items():
-        upto = F.when(F.col("lang") == lang, min(1.0, (4 * max_docs + 100) / n) * (1 << 30)).otherwise(upto)
-    thin = rows.select("text", "lang", place.alias("place"), upto.alias("upto")).where("place < upto")
-    # Ranks relative to the language's share keep the languages even in the bounded top.
-    top = thin.orderBy(F.col("place") / F.col("upto"), F.xxhash64("text")).limit(6 * max_docs * len(counts)).toArrow()
-    out, held = [], dict.fromkeys(counts, 0)
-    for text, lang in zip(top.column("text").to_pylist(), top.column("lang").to_pylist(), strict=True):
-        if held[lang] < max_docs and _LETTER.search(text):
-            held[lang] += 1
-            out.append((text, lang))
-    return out
-
-
-def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_docs: int = MAX_DOCS) -> Network | None:
+    rows = docs.where(usable).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    place = [F.xxhash64(id_col), F.xxhash64("text"), F.col(id_col)]
+    narrow = rows.select("lang", F.xxhash64("text").alias("h"), F.col(id_col).alias("id"), F.struct(*place).alias("place")).dropDuplicates(["lang", "h", "id"])
+    # Partial limits by language come before the shuffle.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = narrow.withColumn("turn", turn).where(F.col("turn") <= max_docs).orderBy("turn", "lang").limit(max_sample)
+    chosen = F.broadcast(chosen.select(F.col("lang").alias("l"), F.col("h"), F.col("id")))
+    same = (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")) & F.col(id_col).eqNullSafe(F.col("id"))
+    # Repeated rows count once; the windows are at most WINDOWS_PER_DOC for each chosen row.
+    found = rows.select("lang", "text", id_col).join(chosen, same).select("lang", "text")
+    return found.mapInArrow(_sampled, "lang string, windows binary").dropDuplicates().orderBy("lang", "windows")
+
+
+def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE) -> Network | None:
     """Trains on a bounded sample of the documents that ``usable`` allows."""
-    rows = training_rows(docs, F.lit(True) if usable is None else usable, id_col, max_docs)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    rows = training_rows(docs, F.lit(True) if usable is None else usable, id_col, max_docs, max_sample).toArrow()
+    windows = [np.frombuffer(w, np.uint8).reshape(-1, WINDOW + 3) for w in rows.column("windows").to_pylist()]
+    langs = [lang for lang, w in zip(rows.column("lang").to_pylist(), windows, strict=True) for _ in w]
+    return train(np.concatenate(windows) if windows else np.zeros((0, WINDOW + 3), np.uint8), langs)
 
 
 def language_id(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

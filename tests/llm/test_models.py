@@ -53,9 +53,14 @@ def test_language_held_out(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def train_on(texts, langs, **how):
+    parts = [language.sample_windows(t) for t in texts]
+    return language.train(np.concatenate(parts), [x for x, w in zip(langs, parts, strict=True) for _ in w], **how)
+
+
 def test_language_table_form_equals_convolution():
-    net = language.train(["the cat and the dog", "le chat et le chien"] * 8, ["en", "fr"] * 8, epochs=2)
-    x = np.random.default_rng(0).integers(0, 64, (5, language.WINDOW + 3)).astype(np.uint8)
+    net = train_on(["the cat and the dog", "le chat et le chien"] * 8, ["en", "fr"] * 8, epochs=2)
+    x = np.random.default_rng(0).integers(0, 256, (5, language.WINDOW + 3)).astype(np.uint8)
     got = language._pooled(net, x)
     full = np.zeros((5, language.FILTERS * 3))
     for k, w in enumerate(language.WIDTHS):
@@ -64,10 +69,86 @@ def test_language_table_form_equals_convolution():
     assert np.allclose(got, np.maximum(full + net.bias, 0), atol=1e-4)
 
 
+def test_language_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(1)
+    net = language.new_network(["a", "b", "c"], 3)
+    net.tables[:] = [t.astype(np.float64) for t in net.tables]
+    net.bias, net.dense, net.out_bias = (p.astype(np.float64) for p in (net.bias, net.dense, net.out_bias))
+    x, y, weight = rng.integers(0, 256, (6, language.WINDOW + 3)).astype(np.uint8), np.array([0, 1, 2, 0, 1, 1]), rng.uniform(0.5, 2, 6)
+    _, grads = language.gradient(net, x, y, weight)
+    for p, g in zip([*net.tables, net.bias, net.dense, net.out_bias], grads, strict=True):
+        # The cells that matter most, and some others.
+        for at in [*np.argsort(-np.abs(g).reshape(-1))[:6], *rng.integers(0, g.size, 4)]:
+            flat, step = p.reshape(-1), 1e-6
+            flat[at] += step
+            up = language.gradient(net, x, y, weight)[0]
+            flat[at] -= 2 * step
+            down = language.gradient(net, x, y, weight)[0]
+            flat[at] += step
+            assert abs((up - down) / (2 * step) - g.reshape(-1)[at]) < 1e-5
+
+
+def test_language_score_by_definition():
+    """Windows one by one, in plain loops, pooled by their filled length."""
+    net = language.new_network(["a", "b", "c"], 5)
+    texts = ["x" * 10, words(3, 150), "é" * 256, words(1, 45)]
+    langs, scores = language.predict(net, texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        raw = text.encode()
+        total = np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            w = (raw[at : at + language.WINDOW + 3] + bytes(language.WINDOW + 3))[: language.WINDOW + 3]
+            hidden = [max(0, max(sum(t[j][w[i + j]][f] for j in range(len(t))) for i in range(language.WINDOW)) + net.bias[k * 16 + f]) for k, t in enumerate(net.tables) for f in range(16)]
+            z = np.array(hidden) @ net.dense + net.out_bias
+            total += (z - np.log(np.exp(z - z.max()).sum()) - z.max()) * min(language.WINDOW, len(raw) - at)
+        mean = total / len(raw)
+        prob = np.exp(mean) / np.exp(mean).sum()
+        assert lang == net.langs[int(prob.argmax())] and abs(score - prob.max()) < 1e-4
+
+
+SCRIPTS = {
+    "ru": "это хорошо когда всё идёт как надо и никто не спешит потому что время ещё есть",
+    "uk": "це добре коли все йде як треба і ніхто не поспішає тому що час ще є та їжа готова",
+    "el": "είναι καλό όταν όλα πάνε καλά και κανείς δεν βιάζεται γιατί υπάρχει ακόμα χρόνος",
+    "ar": "من الجيد أن يسير كل شيء كما ينبغي ولا أحد في عجلة لأن هناك وقتا بعد",
+    "fa": "خوب است که همه چیز همانطور که باید پیش می‌رود و هیچ کس عجله ندارد چون هنوز وقت هست گفت پژوهش",
+    "zh": "一切都很顺利没有人着急因为还有时间我们可以慢慢地走回家",
+    "ja": "すべてがうまくいくのは良いことで誰も急がないまだ時間があるからです家に帰ります",
+}
+
+
+def test_language_tells_scripts_apart():
+    rng = random.Random(2)
+
+    def text(lang):
+        base = SCRIPTS[lang].split(" ")
+        return " ".join(rng.choice(base) for _ in range(30)) if len(base) > 1 else "".join(base[0][i : i + 4] for i in (rng.randrange(len(base[0]) - 3) for _ in range(20)))
+
+    net = train_on([text(x) for x in SCRIPTS for _ in range(60)], [x for x in SCRIPTS for _ in range(60)], epochs=15)
+    fresh = [(x, text(x)) for x in SCRIPTS for _ in range(30)]
+    got, _ = language.predict(net, [t for _, t in fresh])
+    assert np.mean([g == x for g, (x, _) in zip(got, fresh, strict=True)]) >= 0.97
+
+
+def test_any_number_of_languages_is_learned(spark):
+    """90 languages, one of them with a third of the rows; long texts give windows from anywhere."""
+    rng = random.Random(5)
+    vocabulary = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(90)}
+    text = lambda x: " ".join(rng.choice(vocabulary[x]) for _ in range(40))
+    rows = [(i, text(x), x) for i, x in enumerate([x for x in vocabulary for _ in range(8)] + ["l00"] * 360)]
+    rows += [(5000, "9 " * 30_000 + text("l01"), "l01"), (5001, None, "l02"), (5002, "", "l03"), (5003, "12 34", "l04"), (None, text("l05"), "l05"), (5004, text("l06"), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_rows(df, F.lit(True), max_docs=6).groupBy("lang").count().collect()
+    assert len(sample) == 90 and {r["count"] for r in sample} == {6}
+    assert language.training_rows(df, F.lit(True), max_docs=6, max_sample=100).select("lang").distinct().count() == 90
+    net = language.fit(df)
+    found = language.language_id(df, net).join(df.select("doc_id", "lang"), "doc_id").where("doc_id < 5000")
+    assert len(net.langs) == 90 and found.where("lang = lang_pred").count() >= 0.95 * found.count()
+
+
 def test_windows_cover_all_bytes():
     for n in (1, 255, 256, 257, 1000):
-        raw = np.full(n, ord("a"), np.uint8)
-        w = language.windows_of(raw, n)
+        w = language.windows_of(np.full(n, ord("a"), np.uint8), n)
         assert (w[:, : language.WINDOW] != 0).sum() == n
 
 
