@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(of: str, by: int, is_: int) -> Column:
+    """Whether the remainder is that; false for a null id, whose row is never learned from either."""
+    return F.coalesce(_remainder(of, by) == is_, F.lit(False)).alias("held_out")
+
+
 def _remainder(of: str, by: int) -> Column:
     return F.pmod(F.crc32(F.col(of).cast("string").cast("binary")), F.lit(by))
 
@@ -22,7 +27,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _remainder("id", 3) != 1)
     found = toxicity.toxicity(docs, model)
-    return found.select("doc_id", (_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+    return found.select("doc_id", _held_out("doc_id", 3, 1), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language.language_id(docs, language.fit(docs, _remainder("doc_id", 5) != 0))
-    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out("doc_id", 5, 0), "lang_pred", "score")
 
 
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernels as K
 
 BITS = 18
 PREFIXES = range(4, 10)
-#: The training sample: bags of each label, and the longest text that is taken.
-MAX_BAGS, MAX_CHARS = 2000, 20_000
+#: The training sample: bags of each label, of any length.
+MAX_BAGS = 2000
 THRESHOLD = 0.7
 
 _SEP = np.ones(256, bool)
@@ -84,6 +84,21 @@ def _pieces(texts: list[str], limit: int = 250_000) -> list[tuple[int, list[str]
     return out
 
 
+def gradient(w: np.ndarray, b: float, row: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Loss of the bags' labels under the noisy-or, and its gradient by weights and bias.
+
+    Sentence row[i] holds feature col[i]; sentence s is in bag doc[s].
+    """
+    z = b + np.bincount(row, w[col], minlength=len(doc))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    q = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
+    toxic = np.maximum(-np.expm1(q), 1e-9)
+    loss = -np.where(y, np.log(toxic), q).sum() / len(y) + penalty * (w * w).sum() / 2
+    pull = np.where(y, -np.exp(q) / toxic, 1.0)
+    g = pull[doc] * p / len(y)
+    return float(loss), np.append(np.bincount(col, g[row], minlength=len(w)) + penalty * w, g.sum())
+
+
 def train(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0.1, penalty: float = 2e-5) -> Model | None:
     """Fits the noisy-or model; None without bags of both labels.
 
@@ -118,12 +133,7 @@ def train(texts: list[str], labels: list[int], steps: int = 400, rate: float = 0
     w, b = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, w[col], minlength=len(doc))
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
-        pull = np.where(y, -np.exp(q) / np.maximum(-np.expm1(q), 1e-9), 1.0)
-        g = pull[doc] * p / len(y)
-        grad = np.append(np.bincount(col, g[row], minlength=len(names)) + penalty * w, g.sum())
+        grad = gradient(w, b, row, col, doc, y, penalty)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = np.maximum(w - step[:-1], 0), b - step[-1]
@@ -175,7 +185,8 @@ def score_batch(model: Model | None, texts: list[str | None], locate: float = 0.
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", max_bags: int = MAX_BAGS) -> DataFrame:
     """At most 2 * ``max_bags`` rows (text, toxic), chosen by a hash of the id.
 
-    Ids with both labels count as toxic; null ids, texts and labels are left out.
+    Ids with both labels count as toxic; null ids and labels and null or empty texts are
+    left out; bags of any length are taken, whole.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic")).where(usable)
@@ -184,10 +195,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
         part = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(2 * max_bags)
         chosen = part if chosen is None else chosen.union(part)
     # The ids are at most 4 * max_bags, whatever the tables hold.
-    rows = docs.select(F.col(id_col).alias("id"), "text").where((F.length("text") > 0) & (F.length("text") <= MAX_CHARS))
-    found = rows.join(F.broadcast(chosen), "id")
-    parts = [found.where(F.col("toxic") == k).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_bags) for k in (0, 1)]
-    return parts[0].union(parts[1]).select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("id"), "text").where(F.length("text") > 0)
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
+    found = rows.join(F.broadcast(chosen), "id").withColumn("turn", turn).where(F.col("turn") <= max_bags)
+    return found.orderBy("toxic", "turn").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_bags: int = MAX_BAGS) -> Model | None:

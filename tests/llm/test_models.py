@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestar.llm import kernels as K
 from lodestar.llm import language, permutation_index, png_column, queries, token_files, toxicity
 from tests.conftest import DATA
 from tests.llm.fixtures import awkward, empty, words
@@ -40,8 +42,47 @@ def test_noisy_or_is_the_product():
     assert abs(score[0] - (1 - (1 - p) ** 3)) < 1e-9
 
 
+def test_score_in_plain_python():
+    """Words, prefixes, sentences and noisy-or in plain loops give the same scores."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 0.3, 1 << toxicity.BITS).astype(np.float32), -3.0)
+
+    def feature(b, salt):
+        data = np.frombuffer(b, np.uint8)
+        return int(K.mix(K.word_hashes(data, np.array([0]), np.array([len(b)])), salt)[0] >> np.uint64(64 - toxicity.BITS))
+
+    def plain(text):
+        rest = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            words_ = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), sentence).encode())
+            if words_:
+                z = model.bias + sum(float(model.weights[feature(w, 50)]) + sum(float(model.weights[feature(w[:n], 50 + n)]) for n in toxicity.PREFIXES if len(w) > n) for w in words_)
+                rest *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - rest
+
+    texts = [words(k, 5) + ". " + words(k + 50, 9).upper() + "! " + words(k + 99, 14) for k in range(20)] + ["", None, "...", "Ünïcödé wörds ÀÉ. Ça va?", "a"]
+    assert np.allclose(toxicity.score_batch(model, texts)[0], [plain(t) for t in texts], atol=1e-6)
+
+
+def test_toxicity_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    doc = np.sort(rng.integers(0, 8, 25))
+    row, col, y = rng.integers(0, 25, 80), rng.integers(0, 10, 80), np.arange(8) % 2 == 0
+    w, b = rng.uniform(0, 1, 10), -1.5
+    grad = toxicity.gradient(w, b, row, col, doc, y, 0.01)[1]
+    for k in range(11):
+        at = [np.where(np.arange(10) == k, step, 0.0) for step in (1e-6, -1e-6)]
+        up, down = (toxicity.gradient(w + d, b + (s if k == 10 else 0), row, col, doc, y, 0.01)[0] for d, s in zip(at, (1e-6, -1e-6), strict=True))
+        assert abs((up - down) / 2e-6 - grad[k]) < 1e-7
+
+
 def test_toxicity_held_out(spark):
     got = queries.op1_toxicity(spark, DATA.replace("sf0.001", "sf0.1"))
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", F.length("text").alias("n"))
+    clean = got.join(docs, "doc_id").join(spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/labels.parquet").where("toxic = 0").select("doc_id"), "doc_id")
+    for size in ("n < 1000", "n >= 1000 and n < 10000", "n >= 10000"):
+        part = clean.where(size)
+        assert part.where("predicted = 1").count() <= 0.03 * part.count() + 1, size
     labels = spark.read.parquet(DATA.replace("sf0.001", "sf0.1") + "/labels.parquet").select("doc_id", "toxic")
     r = got.where("held_out").join(labels, "doc_id").agg(F.count_if(F.expr("toxic = 1 and predicted = 1")).alias("tp"), F.count_if(F.expr("toxic = 0 and predicted = 1")).alias("fp"), F.count_if(F.expr("toxic = 1")).alias("p")).first()
     assert r.tp >= 0.8 * r.p and r.fp <= 0.1 * r.p
