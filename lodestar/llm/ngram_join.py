@@ -31,8 +31,9 @@ from lodestar.operators.components import connected_components
 #: Buckets of the count sketch that orders shingles, and of the suffix filter.
 SKETCH_BITS, BLOCKS = 18, 16
 SUFFIX = 32
-#: A shingle counted this often beyond the sketch's noise is hot: surely shared.
-HOT = 50_000
+#: A shingle counted this often beyond the sketch's noise is hot: surely shared.  Its
+#: postings are spread over this many salts.
+HOT, SALTS = 50_000, 64
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -97,11 +98,12 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 def _postings(width: int, pct: int, sketch):
     """Prefix shingles of each class, once a task, rare first."""
+    least = HOT
 
     def run(batches):
         counts = sketch.value
         mean = counts.mean()
-        hot = HOT + mean + 8 * math.sqrt(mean)
+        hot = least + mean + 8 * math.sqrt(mean)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for _, texts in K.slices(batch, "text"):
@@ -176,6 +178,17 @@ def _verify(width: int, pct: int):
     return run
 
 
+def _bring(pairs: DataFrame, key: str, table: DataFrame, box: Scratch, name: str) -> DataFrame:
+    """``pairs`` joined with ``table``, which has one row for each value of ``key``.
+
+    A class may stand in any number of pairs: these are dealt over tasks by ranges of
+    whole pairs, and each task that holds the class gets its row.
+    """
+    other = "b" if key == "a" else "a"
+    dealt = box.keep(pairs.repartitionByRange(key, other).withColumn("p", F.spark_partition_id()), name)
+    return dealt.join(dealt.select("p", key).distinct().join(table, key), ["p", key]).drop("p")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
@@ -183,10 +196,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``width``-word shingles.  component_id is the least id reachable by links.
 
     Null, empty and blank texts have the empty set and link with nothing; texts of
-    fewer words than ``width`` have one shingle, the whole sequence; rows of equal
-    sets are in one component, and so are the groups of rows that share an id; rows
-    without id link through equal sets only and have no component unless one with an id
-    is among those; other columns of ``docs`` are not read.  An empty table gives none.
+    fewer words than ``width`` have one shingle, the whole sequence; rows of equal sets
+    are in one component; rows that share an id are documents of their own.  Rows
+    without id link like all others; their component is null if no row of it has an id.
+    Other columns of ``docs`` are not read.  An empty table gives none.
     """
     spark = docs.sparkSession
     box = Scratch(spark, "ngram")
@@ -194,66 +207,71 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = box.keep(rows.mapInArrow(_summaries(width), "id long, h long, n long, c long, c2 long, block int, counts binary"), "told")
     sketch = spark.sparkContext.broadcast(_sketch(told.where("block is not null").select("block", "counts")))
     told = told.where("block is null").select("id", "h", "n", "c", "c2")
-    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h")))
+    # The row that stands for a class: that of the least id, if any has one.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     classes = told.where("n > 0").groupBy("c", "c2").agg(first.alias("f")).select("c", "c2", F.col("f.id").alias("rep"), "f.h")
 
     posted = box.keep(rows.select("id", "text").mapInArrow(_postings(width, pct, sketch), "c long, n long, w array<long>, hot array<boolean>, hist binary"), "posted")
     flat = posted.select("c", "n", F.posexplode(F.arrays_zip("w", "hot")).alias("pos", "x")).select("c", "n", "pos", "x.w", "x.hot")
-    shared = _shared(flat)
-    lists = box.keep(shared, "lists")
+    lists = box.keep(_shared(flat), "lists")
     hist = box.keep(posted.select("c", "hist").dropDuplicates(["c"]), "hist")
     box.drop("posted")
 
     # Everything below concerns only classes that share a prefix shingle.
-    wanted = lists.select("c").distinct().join(classes, "c").select("c", F.col("rep").alias("id"), "h")
-    texts = box.keep(rows.join(wanted, ["id", "h"]).dropDuplicates(["c", "id"]).select("c", "id", "text"), "texts")
+    wanted = lists.select("c").distinct().join(classes, "c").select("c", "c2", "rep", F.col("h").alias("rep_h"))
+    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")))
+    texts = box.keep(found.select("c", "c2", "rep", "text").dropDuplicates(["c"]), "texts")
 
-    links, tested, roots = None, None, None
+    links, tested, parts = None, None, None
     for step in ("leaders", "all"):
-        pairs = _pairs(lists, roots, step, pct)
+        pairs = _pairs(lists, parts, step, pct)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(hist.toDF("a", "ha"), "a").join(hist.toDF("b", "hb"), "b")
-        pairs = pairs.select("a", "b", "ha", "hb").mapInArrow(_suffix_filter(pct), "a long, b long")
         pairs = box.keep(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.union(pairs)
-        left = texts.select(F.col("c").alias("a"), F.col("id").alias("ia"), F.col("text").alias("ta"))
-        right = texts.select(F.col("c").alias("b"), F.col("id").alias("ib"), F.col("text").alias("tb"))
-        full = pairs.join(right, "b").join(left, "a").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "ta", "tb")
-        new = box.keep(full.mapInArrow(_verify(width, pct), "a long, b long"), f"links-{step}")
+        pairs = _bring(pairs, "a", hist.toDF("a", "ha"), box, f"hist-a-{step}")
+        pairs = _bring(pairs, "b", hist.toDF("b", "hb"), box, f"hist-b-{step}")
+        pairs = box.keep(pairs.select("a", "b", "ha", "hb").mapInArrow(_suffix_filter(pct), "a long, b long"), f"fit-{step}")
+        box.drop(f"hist-a-{step}", f"hist-b-{step}")
+        pairs = _bring(pairs, "a", texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), box, f"texts-a-{step}")
+        pairs = _bring(pairs, "b", texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), box, f"texts-b-{step}")
+        new = box.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(width, pct), "a long, b long"), f"links-{step}")
+        box.drop(f"texts-a-{step}", f"texts-b-{step}")
         links = new if links is None else links.union(new)
         parts = connected_components(links, lambda df, name, s=step: box.keep(df, f"{s}-{name}"))
-        parts = box.keep(parts, f"parts-{step}")
-        if step != "all":
-            roots = texts.select("c", "id").join(parts, F.col("id") == F.col("node")).groupBy("c").agg(F.min("component").alias("root"))
-    reps = classes.join(parts, F.col("rep") == F.col("node"), "left").select("c", "c2", F.coalesce("component", "rep").alias("found"))
+        parts = box.keep(parts.toDF("c", "root"), f"parts-{step}")
+    linked = texts.select("c", "c2", "rep").join(parts, "c")
+    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("c", "c2", "least")
+    # Classes without links keep their own least id.
+    reps = classes.select("c", "c2", "rep").join(linked, ["c", "c2"], "left").select("c", "c2", F.coalesce("least", "rep").alias("found"))
     return told.join(reps, ["c", "c2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id")
     )
 
 
 def _shared(flat: DataFrame) -> DataFrame:
-    """Postings of shingles that more than one class posts.
+    """Postings of shingles that more than one class posts, and a salt to spread hot ones.
 
-    Hot shingles surely are and skip the test, so no list of theirs is sorted in one
-    task; the others are tested beside their postings, with one shuffle.
+    Hot shingles surely are shared and skip the test, so no list of theirs is sorted in
+    one task; the others are tested beside their postings, with one shuffle.
     """
     from pyspark.sql import Window
 
     by = Window.partitionBy("w")
     cool = flat.where("not hot").withColumns({"lo": F.min("c").over(by), "hi": F.max("c").over(by)}).where("lo <> hi")
-    return cool.select("w", "c", "n", "pos").union(flat.where("hot").select("w", "c", "n", "pos"))
+    hot = flat.where("hot").select("w", "c", "n", "pos", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt"))
+    return cool.select("w", "c", "n", "pos", F.lit(-1).alias("salt")).union(hot)
 
 
-def _pairs(lists: DataFrame, roots: DataFrame | None, step: str, pct: int) -> DataFrame:
+def _pairs(lists: DataFrame, parts: DataFrame | None, step: str, pct: int) -> DataFrame:
     """Candidate pairs of classes, each once, after length and positional filters."""
-    if roots is not None:
-        lists = lists.join(roots, "c", "left").withColumn("root", F.coalesce("root", F.lit(None).cast("long")))
+    if parts is not None:
+        lists = lists.join(parts, "c", "left").withColumn("part", F.coalesce("root", "c")).drop("root")
     else:
-        lists = lists.withColumn("root", F.lit(None).cast("long"))
-    # A class without links is its own component; c and root may not be mixed up.
-    lists = lists.withColumn("part", F.when(F.col("root").isNull(), F.struct(F.lit(0).alias("k"), F.col("c").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("root").alias("v"))))
-    mixed = lists.groupBy("w").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), *(_leaders() if step == "leaders" else [])).where("lo <> hi")
+        lists = lists.withColumn("part", F.col("c"))
+    mixed = lists.groupBy("w").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("salt").alias("salts"), *(_leaders() if step == "leaders" else [])).where("lo <> hi")
+    # The postings of a hot shingle are spread by their salt; what they meet goes to each.
+    every = F.explode(F.when(F.col("salts") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # Overlap must reach pct * (n + m) / (100 + pct). All of it lies at or after the
     # first common shingle, which both prefixes hold, so a linked pair passes there.
     fits = (
@@ -262,11 +280,13 @@ def _pairs(lists: DataFrame, roots: DataFrame | None, step: str, pct: int) -> Da
     )
     if step == "leaders":
         x = lists.alias("x")
-        y = mixed.select("w", F.inline(F.array_distinct(F.array("y1", F.struct("y2.pos", "y2.c", "y2.n", "y2.part"))))).alias("y")
+        y = mixed.select("w", F.array_distinct(F.array("y1", F.struct("y2.pos", "y2.c", "y2.n", "y2.part"))).alias("ys"), every.alias("salt"))
+        y = y.select("w", "salt", F.inline("ys")).alias("y")
     else:
         lists = lists.join(mixed.select("w"), "w", "left_semi")
-        x, y, fits = lists.alias("x"), lists.alias("y"), fits + " and x.c < y.c"
-    found = x.join(y, F.expr("x.w = y.w and " + fits))
+        x, y = lists.alias("x"), lists.withColumn("salts", F.col("salt")).withColumn("salt", every).alias("y")
+        fits += " and x.c < y.c"
+    found = x.join(y, F.expr("x.w = y.w and x.salt = y.salt and " + fits))
     return found.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lodestar.llm import kernels as K
+from lodestar.llm import ngram_join
 from lodestar.llm.ngram_join import ngram_jaccard
 from tests.llm.fixtures import awkward, empty, words
 
@@ -69,6 +70,34 @@ def test_large_group_of_copies(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 600
 
 
+def test_rows_without_id_link_and_bridge(spark, monkeypatch):
+    """Null ids next to near copies, as the only link of two others, and among themselves."""
+    a = words(1, 40).split()
+    b = [*a[:39], "one"]
+    c = ["two", *b[1:]]
+    lone, pair = words(2, 30), words(3, 30)
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, lone), (None, pair), (None, pair + " more"), (7, words(4, 9)), (7, words(5, 9)), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # The bridge alone joins 1 and 2.
+    assert brute([rows[0], rows[2]], 5, 90)[(2, 36, 2)] == 1
+    for hot in (ngram_join.HOT, -1e9):  # all shingles hot: the salted way
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = Counter(tuple(x) for x in ngram_jaccard(df, width=5, pct=90).collect())
+        assert got == brute(rows, 5, 90)
+        assert got[(2, 36, 1)] == 1 and got[(None, 36, 1)] == 1
+
+
+def test_unlinked_texts_that_share_prefixes(spark, monkeypatch):
+    """A group whose texts share their rarest shingles and mostly stay below the threshold."""
+    r = random.Random(3)
+    common = words(1, 30)
+    rows = [(i if i % 7 else None, common + " " + " ".join(words(100 + r.randrange(25), 4) for _ in range(3))) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (ngram_join.HOT, -1e9):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        assert Counter(tuple(x) for x in ngram_jaccard(df, width=3, pct=60).collect()) == brute(rows, 3, 60)
+
+
 def test_shingles_are_those_of_the_definition():
     texts = ["A b\x0bc d e", "x", None, "a a a a a a a", "é b c d e f", "q" * 5000]
     values, o = K.shingle_sets(texts, 3)
