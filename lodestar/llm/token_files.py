@@ -11,6 +11,7 @@ which a lost executor cannot leave half-written.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -112,19 +113,46 @@ _PIECE = re.compile(r"[a-zß-öø-ÿ]++(?=[ \t\n\r\f\v.,]|\Z)|[.,](?=[ \t\n\r\f\
 _FOREIGN = re.compile(r"<\||[^\u0000-\u024f]")
 
 
+#: The text rules, as tokenizer files state them, for which pieces may be
+#: encoded one by one.
+PIECE_RULES = {
+    "normalizer": [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)],
+    "pre_tokenizer": [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), ("ByteLevel", None)],
+}
+
+
+def goes_by_pieces(path: str) -> bool:
+    """Whether a tokenizer file states just the rules under which ``WordEncoder`` may split."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def rules(part: str, many: str) -> list[tuple[str, str | None]]:
+        top = spec.get(part) or {}
+        steps = top.get(many, [top] if top else [])
+        return [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in steps]
+
+    split = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
+    plain = all(x.get("behavior") == "Removed" and x.get("invert") for x in split)
+    blanks = [x.get("content") for x in (spec.get("normalizer") or {}).get("normalizers", []) if x.get("type") == "Replace"]
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    alike = rules("normalizer", "normalizers") == PIECE_RULES["normalizer"] and rules("pre_tokenizer", "pretokenizers") == PIECE_RULES["pre_tokenizer"]
+    return alike and plain and special and blanks == [" "] and spec.get("model", {}).get("type") == "BPE"
+
+
 class WordEncoder:
     """Encodes texts by pieces and remembers the pieces' ids.
 
-    Valid for tokenizers that lower-case, split on white space and keep runs of letters
-    apart from points and commas: the ids of a text are then those of its pieces in
-    turn.  Texts with characters beyond Latin, or that may hold special tokens, are not
-    lower-cased here but left to the tokenizer.
+    This holds for tokenizers that lower-case, split on white space and keep runs of
+    letters apart from points and commas: the ids of a text are then those of its pieces
+    in turn.  Texts with characters beyond Latin, or that may hold special tokens, are not
+    lower-cased here but left to the tokenizer.  If the tokenizer's file states other
+    rules, whole texts go through it.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.by_pieces = Tokenizer.from_file(path), end_id, goes_by_pieces(path)
         self.vocab = self.tokenizer.get_vocab_size()
         self._forget()
 
@@ -177,6 +205,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text ended by the end id, and the number of each text."""
+        if not self.by_pieces:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found)) + 1
+            return np.array([i for ids in found for i in (*ids, self.end_id)], np.uint32), counts
         if len(self.known) > CACHE:
             self._forget()
         words: list[str] = []
@@ -246,7 +278,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     texts are the end id alone.  An empty table writes an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    # Rows without id may be many; their texts spread them.
+    order = [F.col("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     shards = ordered.mapInArrow(_encode(tokenizer, end_id), "part long, seq long, n_tokens long, data binary")
     shards.write.mode("overwrite").option("compression", "none").parquet(path)
 
