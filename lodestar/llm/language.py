@@ -179,27 +179,26 @@ def predict(net: Network | None, texts: list[str | None]) -> tuple[list[str], np
 def _sampled(batches):
     for batch in batches:
         for piece, texts in K.slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([sample_windows(t).tobytes() for t in texts], pa.binary())], ["lang", "windows"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([sample_windows(t).tobytes() for t in texts], pa.binary())], ["lang", "place", "windows"])
 
 
 def training_rows(docs: DataFrame, usable: Column, id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """(lang, windows) of at most ``max_docs`` documents of each language, ``max_sample`` in all.
 
     Any number of languages is learned: each gives its share, its documents by a hash of
-    the id.  Only texts without a letter and null languages are left out.  Windows are cut
-    from whole texts where they lie, so no long text travels.
+    id and text; only of more than ``max_sample`` languages the rarest are left, as each
+    takes a row.  Only texts without a letter and null languages are left out.  Windows
+    are cut from whole texts where they lie, so no long text travels.
     """
     rows = docs.where(usable).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    place = [F.xxhash64(id_col), F.xxhash64("text"), F.col(id_col)]
-    narrow = rows.select("lang", F.xxhash64("text").alias("h"), F.col(id_col).alias("id"), F.struct(*place).alias("place")).dropDuplicates(["lang", "h", "id"])
-    # Partial limits by language come before the shuffle.
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = narrow.withColumn("turn", turn).where(F.col("turn") <= max_docs).orderBy("turn", "lang").limit(max_sample)
-    chosen = F.broadcast(chosen.select(F.col("lang").alias("l"), F.col("h"), F.col("id")))
-    same = (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h")) & F.col(id_col).eqNullSafe(F.col("id"))
-    # Repeated rows count once; the windows are at most WINDOWS_PER_DOC for each chosen row.
-    found = rows.select("lang", "text", id_col).join(chosen, same).select("lang", "text")
-    return found.mapInArrow(_sampled, "lang string, windows binary").dropDuplicates().orderBy("lang", "windows")
+    # A language's rows are first thinned by the hash to about four times what is needed.
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample)
+    counts = F.broadcast(counts.select(F.col("lang").alias("l"), (F.lit((4.0 * max_docs + 100) * (1 << 30)) / F.col("count")).alias("upto")))
+    place = F.pmod(F.xxhash64(id_col, "text"), F.lit(1 << 30))
+    thin = rows.select("lang", "text", place.alias("place")).join(counts, (F.col("lang") == F.col("l")) & (F.col("place") < F.col("upto")))
+    found = thin.select("lang", "place", "text").mapInArrow(_sampled, "lang string, place long, windows binary").dropDuplicates()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "windows"))
+    return found.withColumn("turn", turn).where(F.col("turn") <= max_docs).orderBy("turn", "lang").limit(max_sample).select("lang", "windows")
 
 
 def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_sample: int = MAX_SAMPLE) -> Network | None:
