@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import kernels as K
+from lodestar.llm.scratch import Scratch
 
 BITS = 18
 PREFIXES = range(4, 10)
@@ -196,9 +197,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
         chosen = part if chosen is None else chosen.union(part)
     # The ids are at most 4 * max_bags, whatever the tables hold.
     rows = docs.select(F.col(id_col).alias("id"), "text").where(F.length("text") > 0)
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
-    found = rows.join(F.broadcast(chosen), "id").withColumn("turn", turn).where(F.col("turn") <= max_bags)
-    return found.orderBy("toxic", "turn").select("text", "toxic")
+    box = Scratch(docs.sparkSession, "bags")
+    found = box.keep(rows.join(F.broadcast(chosen), "id"), "found")
+    by = [F.xxhash64("id"), F.col("id"), F.xxhash64("text")]
+    parts = [found.where(F.col("toxic") == k).orderBy(*by).limit(max_bags) for k in (0, 1)]
+    return parts[0].union(parts[1]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", max_bags: int = MAX_BAGS) -> Model | None:
