@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from lodestar.llm.order import number_rows
 from lodestar.llm.scratch import Scratch
@@ -136,7 +137,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
 
     ``weights`` are the targets by source; else each source's share of the rows to the
     power ``smoothing`` (1: as they come, 0: all equal).  Rows of a source are taken by a
-    hash of the id, then the id.  No row is dropped: sources without a target come
+    hash of the id, then the id, then a hash of the row.  No row is dropped: sources without a target come
     after all others, in slots of their own.  A null source counts as ''; repeated
     rows and null ids are each placed; an empty table gives none.
     """
@@ -156,8 +157,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
 
     # One row for each block.  It is stored, so its size is known: a small one is broadcast, a large one joined by shuffle.
     table = box.keep(docs.groupBy(src.alias("s")).count().repartition(1).mapInArrow(plan, PLAN), "plan")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"))
-    rows = number_rows(rows, ["s"], ["h", "id"], "n", box, many=True)
+    # Rows of one id, or without any, are told apart and spread by their other columns.
+    tie = F.xxhash64(*[F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), tie.alias("tie"))
+    rows = number_rows(rows, ["s"], ["h", "id", "tie"], "n", box, many=True)
     rows = rows.select("row", "s", F.expr(f"n div {block_rows}").alias("block"), F.expr(f"cast(n % {block_rows} as int)").alias("pos"))
     return rows.join(table, ["s", "block"]).select(
         "row.*",

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, from the session; set here only if it is unset."""
+    """The shared folder, from the session; set here only if it is unset on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -393,6 +393,18 @@ def test_word_encoder_is_exact():
         at += n
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file_gives_its_own_ids(name):
+    path = public_tokenizers.path(name)
+    assert token_files.goes_by_pieces(path) == (name == "word_bpe_49k.json")
+    coder = token_files.WordEncoder(path, 1)
+    texts = ["Hello  World, it's HERE.", None, "", "\n tabs\tand  blanks ", "naïve Café 123 <|endoftext|> x", "x" * 300]
+    ids, sizes = coder.encode(texts)
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[a:b].tolist() == [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("n_pivots", [1, 7, 20, 256])
 def test_footrule_by_definition(n_pivots):
     rng = np.random.default_rng(1)
