@@ -9,7 +9,7 @@ DataFrame; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import line_windows, mixing, ngram_join, packing, toxicity
@@ -39,10 +39,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = ngram_join.ngram_jaccard(docs, width=5, pct=80)
     first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", "h").orderBy("h")
     # Packed in one column, the documents' own columns cannot clash with those made here.
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
-    kept = rows.join(first, "doc_id", "left_semi").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    # Repeats are dropped where they lie before they meet.
+    kept = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
     return kept.union(docs.where("doc_id is null"))
 
 
