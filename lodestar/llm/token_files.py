@@ -166,7 +166,7 @@ class WordEncoder:
         self.new = new = []
         self.known = Known()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def _store(self, numbers: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
         """Appends the ids of pieces; ``numbers`` are the pieces' own, ``counts`` their ids."""
@@ -174,7 +174,7 @@ class WordEncoder:
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.uint32)])
         if top > len(self.starts):
-            more = np.zeros(max(top, len(self.starts)), np.int64)
+            more = np.zeros(max(top, len(self.starts)), np.int32)
             self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
         self.flat[self.used : need] = ids
         self.starts[numbers] = self.used + np.cumsum(counts) - counts
@@ -215,12 +215,13 @@ class WordEncoder:
         ends = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                words += _PIECE.findall(t if _FOREIGN.search(t) else t.lower())
+                foreign = "<|" in t if t.isascii() else _FOREIGN.search(t)
+                words += _PIECE.findall(t if foreign else t.lower())
             ends[i] = len(words)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         if self.new:
             self._learn()
-        size = self.sizes[at]
+        size = self.sizes[at].astype(np.int64)
         total = np.zeros(len(words) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], size)]
