@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,13 +89,17 @@ def is_hot(time: Column, now: Column) -> Column:
     return (now.cast("timestamp").cast("double") - time.cast("timestamp").cast("double")) < 86400
 
 
+#: Fixed shapes of files that are products of tools, not sources.
+NOISE = r"(\.min\.js|\.d\.ts|\.gen\.[tj]sx?|\.tmp|\.temp|\.crswap|\.crdownload|\.swp|\.swo|\.swx|\.bak|\.orig|\.rej|\.timestamp-\d+-\w+\.mjs|~)$"
+
+
 def file_kind(path: Column) -> Column:
     """main, test, noise or excluded, by path."""
     p = F.lower(norm_path(path))
     return (
         F.when(p.rlike(r"(^|/)(node_modules|vendor|dist|build|out|\.git)/"), "excluded")
         .when(p.rlike(r"(^|/)(tests?|__tests__|spec)/|[._](test|spec)\.[a-z]+$|_test\.go$"), "test")
-        .when(p.rlike(r"\.(min\.js|d\.ts|lock|map)$"), "noise")
+        .when(p.rlike(NOISE), "noise")
         .otherwise("main")
     )
 
@@ -162,3 +168,52 @@ def fits_schema(text: Column, schema: str) -> Column:
 def json_path(text: Column, path: str) -> Column:
     """The value at a path a.b[0].c of a JSON text, as text; null where there is none."""
     return F.get_json_object(text, "$." + path)
+
+
+def first_json_object(text: Column) -> Column:
+    """The first JSON object in a text, as it stands there; null where there is none."""
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        read = json.JSONDecoder()
+
+        def one(t):
+            at = t.find("{") if isinstance(t, str) else -1
+            while at >= 0:
+                try:
+                    return t[at : read.raw_decode(t, at)[1]]
+                except (ValueError, RecursionError):
+                    at = t.find("{", at + 1)
+            return None
+
+        return texts.map(one)
+
+    return find(text)
+
+
+def json_set(text: Column, path: str, value: Column) -> Column:
+    """The JSON text with ``value`` (JSON text) at a path a.b.c; objects on the way are made.
+
+    Null where the text is no object, or where something else stands on the way.
+    """
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, values: pd.Series) -> pd.Series:
+        def one(t, v):
+            try:
+                doc, new = json.loads(t), json.loads(v)
+                at, keys = doc, path.split(".")
+                for k in keys[:-1]:
+                    at = at.setdefault(k, {})
+                at[keys[-1]] = new
+                return json.dumps(doc, separators=(",", ":"), ensure_ascii=False) if isinstance(doc, dict) else None
+            except (ValueError, TypeError, AttributeError):
+                return None
+
+        return pd.Series([one(t, v) for t, v in zip(texts, values, strict=True)], dtype=object)
+
+    return put(text, value)
+
+
+def flatten_map(nested: Column) -> Column:
+    """A map of maps as one map with keys outer.inner."""
+    inner = F.transform(F.map_entries(nested), lambda e: F.transform(F.map_entries(e["value"]), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value"))))
+    return F.map_from_entries(F.flatten(F.filter(inner, lambda x: x.isNotNull())))

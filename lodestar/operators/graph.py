@@ -100,45 +100,97 @@ def hubs(edges: DataFrame, n: int) -> DataFrame:
     return degrees(edges).orderBy(F.desc("dependents"), F.desc("dependencies"), "node").limit(n)
 
 
-def scc(edges: DataFrame, keep: Keep = checkpointed, max_rounds: int = 200) -> DataFrame:
+#: Graphs of so many edges at most are finished in one task; larger ones by rounds.
+LOCAL_EDGES = 500_000
+
+
+def _strong(edges: list[tuple]) -> dict:
+    """The least node of each node's strongly connected set, in memory."""
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    number, low, held, stack, found = {}, {}, set(), [], {}
+    for root in out:
+        if root in number:
+            continue
+        work = [(root, iter(out[root]))]
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        held.add(root)
+        while work:
+            at, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    stack.append(to)
+                    held.add(to)
+                    work.append((to, iter(out[to])))
+                    break
+                if to in held:
+                    low[at] = min(low[at], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == number[at]:
+                    members = []
+                    while not members or members[-1] != at:
+                        members.append(stack.pop())
+                    held.difference_update(members)
+                    found |= dict.fromkeys(members, min(members))
+    return found
+
+
+def _strong_frame(parts):
+    rows = [r for part in parts for r in part.itertuples(index=False, name=None)]
+    yield pd.DataFrame(list(_strong(rows).items()), columns=["node", "scc"])
+
+
+def scc(edges: DataFrame, keep: Keep = checkpointed, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """GRAPH-6: (node, scc, size) of strongly connected sets that hold a cycle.
 
     Nodes without an edge in or out are trimmed round by round.  Then every node takes
     the least colour that reaches it; a colour's root and all in its colour that reach
-    the root are one set and leave.  scc is the least node of the set.
+    the root are one set and leave.  Each loop ends by itself, as edges shrink and colours
+    fall.  As soon as ``local_edges`` edges or fewer are left, one task ends the work in
+    memory.  scc is the least node of the set.
     """
     e = keep(edges.select("source", "target").where("source is not null and target is not null").distinct(), "scc-edges")
     loops = e.where("source = target").select(F.col("source").alias("node"))
     e = e.where("source <> target")
-    done, step = None, 0
-    while True:
+    kind = e.schema["source"].dataType.simpleString()
+    done, step, count = None, 0, e.count()
+    while count:
+        if count <= local_edges:
+            part = keep(e.repartition(1).mapInPandas(_strong_frame, f"node {kind}, scc {kind}"), f"scc-l{step}")
+            done = part if done is None else done.union(part)
+            break
         while True:  # trimming
             step += 1
             ends = e.select(F.col("source").alias("n")).intersect(e.select(F.col("target").alias("n")))
-            live = keep(e.join(ends.toDF("source"), "source", "left_semi").join(ends.toDF("target"), "target", "left_semi").select("source", "target"), f"scc-{step}")
-            shrunk = live.count() < e.count()
-            e = live
-            if not shrunk or step > max_rounds:
+            e = keep(e.join(ends.toDF("source"), "source", "left_semi").join(ends.toDF("target"), "target", "left_semi").select("source", "target"), f"scc-{step}")
+            left, count = count, e.count()
+            if count == left or count <= local_edges:
                 break
-        if e.isEmpty():
-            break
+        if count <= local_edges:
+            continue
         color = keep(e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn("color", F.col("node")), f"scc-c{step}")
         while True:  # the least colour flows along the edges
             step += 1
             came = e.join(color, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.min("color").alias("new"))
-            nxt = keep(color.join(came, "node", "left").select("node", F.least("color", F.coalesce("new", "color")).alias("color")), f"scc-{step}")
-            moved = not nxt.exceptAll(color).isEmpty()
-            color = nxt
+            color = keep(color.join(came, "node", "left").select("node", F.least("color", F.coalesce("new", "color")).alias("color"), F.coalesce(F.col("new") < F.col("color"), F.lit(False)).alias("moved")), f"scc-{step}")
+            moved = not color.where("moved").isEmpty()
+            color = color.drop("moved")
             if not moved:
                 break
         inside = e.join(color.toDF("source", "cs"), "source").join(color.toDF("target", "ct"), "target").where("cs = ct").select("source", "target")
-        found = bfs(inside, color.where("node = color").select("node"), max_rounds, "in", lambda df, n, s=step: keep(df, f"scc-{s}-{n}"))
+        found = bfs(inside, color.where("node = color").select("node"), count, "in", lambda df, n, s=step: keep(df, f"scc-{s}-{n}"))
         part = keep(color.join(found.select("node"), "node", "left_semi").select("node", F.col("color").alias("scc")), f"scc-p{step}")
         done = part if done is None else done.union(part)
         gone = part.select("node")
         e = keep(e.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti").select("source", "target"), f"scc-e{step}")
-        if step > max_rounds:
-            raise RuntimeError("strong components did not settle")
+        count = e.count()
     empty = loops.select("node", F.col("node").alias("scc"))
     sets = empty.limit(0) if done is None else done
     size = sets.groupBy("scc").agg(F.count("*").alias("size"))

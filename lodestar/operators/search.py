@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable
 
@@ -14,20 +15,32 @@ from lodestar.functions.scalars import common_prefix, name_tokens, strip_digits
 SYMBOL_COLUMNS = ("id", "name", "qualified_name", "docstring", "signature")
 
 
+#: Fixed constants of the bm25 rank.
+BM25_K1, BM25_B = 1.2, 0.75
+
+
 def search_symbols(nodes: DataFrame, query: str, limit: int | None = 20, columns: Iterable[str] = SYMBOL_COLUMNS) -> DataFrame:
-    """SRCH-1: nodes, other than files, holding the phrase in one of the columns.
+    """SRCH-1: nodes, other than files, holding the phrase in one of the columns, best rank first.
 
     A phrase of trigrams is a case-insensitive substring; under 3 characters finds
-    nothing.  rank is minus the number of columns that hold it, with a bonus for an
-    equal name; rows come by (rank, id).
+    nothing.  rank is minus the bm25 score of the phrase over the columns' trigrams, with
+    counts over all nodes, to 9 places; rows come by (rank, id).
     """
     q = query.strip().lower()
     if len(q) < 3:
-        return nodes.limit(0).withColumn("rank", F.lit(0))
-    hits = [F.when(F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q)), 1).otherwise(0) for c in columns]
-    count = sum(hits[1:], hits[0])
-    rank = -(count + F.when(F.lower("name") == q, 10).otherwise(0))
-    out = nodes.where(F.col("kind") != "file").withColumn("rank", rank).where(count > 0).orderBy("rank", "id")
+        return nodes.limit(0).withColumn("rank", F.lit(0.0))
+    texts = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    # The look-ahead also counts occurrences that overlap.
+    hits = sum((F.when(F.contains(t, F.lit(q)), F.regexp_count(t, F.lit(f"(?={re.escape(q)})"))).otherwise(0) for t in texts), F.lit(0))
+    size = sum((F.greatest(F.length(t) - 2, F.lit(0)) for t in texts), F.lit(0))
+    counted = nodes.withColumns({"_hits": hits, "_size": size})
+    total = counted.agg(F.count("*").alias("n"), F.count_if(F.col("_hits") > 0).alias("found"), F.avg("_size").alias("mean")).first()
+    if not total["found"]:
+        return nodes.limit(0).withColumn("rank", F.lit(0.0))
+    weight = max(math.log((total["n"] - total["found"] + 0.5) / (total["found"] + 0.5)), 1e-6)
+    f = F.col("_hits").cast("double")
+    score = weight * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_size") / total["mean"]))
+    out = counted.where((F.col("kind") != "file") & (F.col("_hits") > 0)).withColumn("rank", F.round(-score, 9)).drop("_hits", "_size").orderBy("rank", "id")
     return out if limit is None else out.limit(limit)
 
 
@@ -63,11 +76,16 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = 20, min_score:
     return scored.where(F.col("score") >= min_score).orderBy(F.desc("score"), "id").limit(k)
 
 
-def cache_misses(texts: DataFrame, cache: DataFrame, model: str, dim: int) -> DataFrame:
-    """SRCH-5: texts whose key ``model:dim:sha256`` is not cached, each key once, with its batch of 128."""
+def cache_misses(texts: DataFrame, cache: DataFrame, model: str, dim: int, size: int = 128) -> DataFrame:
+    """SRCH-5: texts whose key ``model:dim:sha256`` is not cached, each key once, with its batch.
+
+    Batches hold up to ``size`` keys each and are cut where the keys lie, without a
+    global order.
+    """
     key = F.concat(F.lit(f"{model}:{dim}:"), F.sha2(F.col("text"), 256))
     missing = texts.select(key.alias("cache_key"), "text").groupBy("cache_key").agg(F.min("text").alias("text")).join(cache.select("cache_key"), "cache_key", "left_anti")
-    return missing
+    # Ids ascend by one within a partition and start at multiples of 2**33.
+    return missing.withColumn("batch", F.floor(F.monotonically_increasing_id() / size))
 
 
 def score_bricks(bricks: DataFrame, words: list[str]) -> DataFrame:
@@ -180,6 +198,32 @@ def confusable(a: Column, b: Column) -> Column:
     )
 
 
+def _cuts(text: Column) -> Column:
+    """A text without each one of its characters."""
+    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+
+
+def confusable_pairs(names: DataFrame) -> DataFrame:
+    """SRCH-11 over (scope, name): the pairs (scope, a, b), a < b, of confusable names of a scope.
+
+    Names meet only where a rule can hold: on equal lower case, on equal text before the
+    last digits, on equal letters, or on two first characters and a rest that is equal
+    after leaving out up to two characters, as all names within two edits are.
+    """
+    n = names.select("scope", "name").where("scope is not null and name is not null").distinct()
+    rest = F.substring("name", F.lit(3), F.length("name"))
+    one = F.when(F.length("rest") > 0, _cuts(F.col("rest"))).otherwise(F.array().cast("array<string>"))
+    two = F.flatten(F.transform("one", lambda t: F.when(F.length(t) > 0, _cuts(t)).otherwise(F.array().cast("array<string>"))))
+    near = F.transform(F.array_distinct(F.concat(F.array("rest"), "one", two)), lambda t: F.concat(F.lit("n"), F.substring("name", 1, 2), t))
+    keys = F.concat(
+        F.array(F.concat(F.lit("l"), F.lower("name")), F.concat(F.lit("d"), strip_digits(F.col("name"))), F.concat(F.lit("s"), F.array_join(F.array_sort(F.split("name", "")), ""))),
+        F.when(F.length("name") >= 2, near).otherwise(F.array().cast("array<string>")),
+    )
+    n = n.withColumn("rest", rest).withColumn("one", one).select("scope", "name", F.explode(F.array_distinct(keys)).alias("key"))
+    met = n.toDF("scope", "a", "key").join(n.toDF("scope", "b", "key"), ["scope", "key"]).where(F.col("a") < F.col("b"))
+    return met.select("scope", "a", "b").distinct().where(confusable(F.col("a"), F.col("b")))
+
+
 def similar_names(names: DataFrame) -> DataFrame:
     """SRCH-12: greedy clusters of confusable names in each scope (scope, name, ordinal, refs).
 
@@ -243,10 +287,17 @@ def import_index(sources: DataFrame, pattern: str) -> DataFrame:
     return hits.groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("files"))
 
 
-def text_mentions(sources: DataFrame, name: str, per_file: int | None = None) -> DataFrame:
-    """SRCH-14: (path, line, text) of lines that mention a name as a word, from line 1."""
+def text_mentions(sources: DataFrame, name: str, per_file: int | None = None, max_files: int | None = None) -> DataFrame:
+    """SRCH-14: (path, line, text) of lines that mention a name as a word, from line 1.
+
+    At most ``per_file`` lines of a file, and those of the first ``max_files`` files by path.
+    """
     word = rf"\b{re.escape(name)}\b"
-    lines = sources.where(F.col("content").rlike(word)).select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    held = sources.where(F.col("content").rlike(word))
+    if max_files is not None:
+        # The file cap bounds what is broadcast.
+        held = held.join(F.broadcast(held.select("path").distinct().orderBy("path").limit(max_files)), "path", "left_semi")
+    lines = held.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     hits = lines.where(F.col("text").rlike(word)).select("path", (F.col("at") + 1).alias("line"), "text")
     if per_file is None:
         return hits

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,11 +79,11 @@ def accepted_quota(events: DataFrame, key: str, time_ms: str, most: int = 10, sp
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([time_ms, *[c for c in pdf.columns if c not in (key, time_ms)]], kind="stable")
-        taken: list[int] = []
+        taken: deque[int] = deque(maxlen=most)
         ok = []
         for t in pdf[time_ms]:
             while taken and taken[0] <= t - span_ms:
-                taken.pop(0)
+                taken.popleft()
             ok.append(len(taken) < most)
             if ok[-1]:
                 taken.append(t)

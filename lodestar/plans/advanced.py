@@ -17,14 +17,21 @@ from lodestar.streaming import events as V
 
 # -- search ------------------------------------------------------------------
 
-@query("srch1_symbols", """
-SELECT id, rank FROM (SELECT id, -((CASE WHEN contains(lower(id), 'red') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(name), 'red') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(qualified_name), 'red') THEN 1 ELSE 0 END)
- + (CASE WHEN contains(lower(coalesce(docstring, '')), 'red') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(signature), 'red') THEN 1 ELSE 0 END)) AS rank FROM nodes WHERE kind <> 'file') WHERE rank < 0 ORDER BY rank, id LIMIT 50""", "nodes")
+def bm25(phrase: str) -> str:
+    """SQL for the rank of nodes that hold a phrase (one that cannot overlap itself)."""
+    texts = ["lower(id)", "lower(name)", "lower(qualified_name)", "lower(coalesce(docstring, ''))", "lower(signature)"]
+    hits = " + ".join(f"(length({t}) - length(replace({t}, '{phrase}', ''))) // {len(phrase)}" for t in texts)
+    size = " + ".join(f"greatest(length({t}) - 2, 0)" for t in texts)
+    return f"""SELECT id, kind, round(-greatest(ln((n - found + 0.5) / (found + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / mean)), 9) AS rank
+ FROM (SELECT id, kind, ({hits})::DOUBLE AS f, {size} AS d FROM nodes), (SELECT count(*)::DOUBLE AS n, count(*) FILTER (({hits}) > 0)::DOUBLE AS found, avg({size}) AS mean FROM nodes) WHERE f > 0"""
+
+
+@query("srch1_symbols", f"SELECT id, rank FROM ({bm25('red')}) WHERE kind <> 'file' ORDER BY rank, id LIMIT 50", "nodes")
 def srch1(spark, sf) -> DataFrame:
     return R.search_symbols(role(spark, sf, "nodes"), " RED ", 50).select("id", "rank")
 
 
-@query("srch2_fast_path", "SELECT id, 1.0::DOUBLE AS score, 'exact' AS provider, false AS degraded FROM nodes WHERE kind <> 'file' AND contains(id || ' ' || name || ' ' || qualified_name || ' ' || coalesce(docstring, '') || ' ' || signature, 'red_w') ORDER BY -((CASE WHEN contains(id, 'red_w') THEN 1 ELSE 0 END) + 2), id LIMIT 20", "nodes")
+@query("srch2_fast_path", f"SELECT id, 1.0::DOUBLE AS score, 'exact' AS provider, false AS degraded FROM ({bm25('red_w')}) WHERE kind <> 'file' ORDER BY rank, id LIMIT 20", "nodes")
 def srch2(spark, sf):
     return R.semantic_search(role(spark, sf, "nodes"), "red_w")
 
@@ -102,7 +109,7 @@ SELECT a.scope, a.name AS a, b.name AS b FROM m a JOIN m b ON a.scope = b.scope
 def srch11(spark, sf):
     n = table(spark, sf, "part").select(F.col("p_brand").alias("scope"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).distinct()
     forms = n.select("scope", F.explode(F.array("name", F.concat("name", F.lit("2")), F.upper("name"), F.concat("name", F.lit("s")))).alias("name")).distinct()
-    return forms.toDF("scope", "a").join(forms.toDF("scope", "b"), "scope").where(F.col("a") < F.col("b")).where(R.confusable(F.col("a"), F.col("b")))
+    return R.confusable_pairs(forms)
 
 
 @query("srch12_clusters", None)
@@ -155,10 +162,10 @@ def srch19(spark, sf):
     return R.version_rules(role(spark, sf, "sources"), rules, 2.0).withColumn("line", F.col("line").cast("long"))
 
 
-@query("srch20_references", r"""SELECT path, line, NOT regexp_matches(trim(text), '^(//|#|\*|/\*)') AND NOT regexp_matches(text, '["''][^"'']*\bmoron\b[^"'']*["'']') AS confirmed FROM (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM sources WHERE starts_with(path, 'en/')) WHERE regexp_matches(text, '\bmoron\b')""", "sources")
+@query("srch20_references", r"""SELECT path, line, NOT regexp_matches(trim(text), '^(//|#|\*|/\*)') AND NOT regexp_matches(text, '["''][^"'']*\bmoron\b[^"'']*["'']') AS confirmed FROM (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM sources) WHERE regexp_matches(text, '\bmoron\b')""", "sources")
 def srch20(spark, sf):
     s = role(spark, sf, "sources")
-    return R.find_references(s, "moron", s.where("startswith(path, 'en/')")).select("path", F.col("line").cast("long").alias("line"), "confirmed")
+    return R.find_references(s, "moron", s).select("path", F.col("line").cast("long").alias("line"), "confirmed")
 
 
 @query("srch21_doc_match", "SELECT path, via FROM (SELECT page_id, url AS path, CASE WHEN page_id % 3 = 0 AND contains(lower(url), 'fr') THEN 'tag' WHEN page_id % 3 <> 0 AND regexp_matches(lower(regexp_replace(url, '[.][^.]*$', '')), '(^|[^a-z0-9])fr($|[^a-z0-9])') THEN 'name' END AS via FROM pages) WHERE via IS NOT NULL ORDER BY via DESC, path LIMIT 20")

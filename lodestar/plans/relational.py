@@ -394,14 +394,14 @@ def fn_scope(spark, sf):
 @query("fn_scalars", r"""
 SELECT page_id, CASE WHEN contains(url, '/') THEN regexp_replace(url, '/[^/]*$', '') ELSE '.' END AS dir, regexp_replace(url, '^.*/', '') AS base, sha256(url) AS cache_key, sha1(html) AS content_hash,
   1 + len(regexp_extract_all(html, '\b(?:if|for|while|case|catch)\b|&&|\|\||\?')) AS complexity, length(string_split(html, chr(10))[1]) AS head, regexp_replace(url, '[0-9]+$', '') AS no_digits,
-  CASE WHEN len(string_split(html, chr(10))) >= 1000 THEN 'large' WHEN len(string_split(html, chr(10))) >= 500 THEN 'warn' ELSE 'ok' END AS status, trim(regexp_replace(html[1:200], '\s+', ' ', 'g')) AS folded, round(least(1.0, ln(1 + length(url)) / ln(1 + 64)), 6) AS weight FROM pages""")
+  CASE WHEN len(string_split(html, chr(10))) >= 1000 THEN 'large' WHEN len(string_split(html, chr(10))) >= 500 THEN 'warn' ELSE 'ok' END AS status, md5(trim(regexp_replace(html, '[\s\x0B]+', ' ', 'g'))) AS folded, round(least(1.0, ln(1 + length(url)) / ln(1 + 64)), 6) AS weight FROM pages""")
 def fn_scalars(spark, sf):
     u, h = F.col("url"), F.col("html")
     rows = F.split(h, "\n", -1)
     return table(spark, sf, "pages").select(
         "page_id", S.dirname(u).alias("dir"), S.basename(u).alias("base"), F.sha2(u, 256).alias("cache_key"), F.sha1(h.cast("binary")).alias("content_hash"),
         S.regex_complexity(h).cast("long").alias("complexity"), F.length(F.get(rows, 0)).cast("long").alias("head"), S.strip_digits(u).alias("no_digits"),
-        S.size_status(F.size(rows)).alias("status"), S.fold_blanks(F.substring(h, 1, 200)).alias("folded"), F.round(S.usage_weight(F.length(u), F.lit(64)), 6).alias("weight"),
+        S.size_status(F.size(rows)).alias("status"), F.md5(S.fold_blanks(h).cast("binary")).alias("folded"), F.round(S.usage_weight(F.length(u), F.lit(64)), 6).alias("weight"),
     )
 
 

@@ -73,6 +73,6 @@ def load_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
 
 
 def sink_events(events: DataFrame, path: str, checkpoint: str):
-    """SNK-5: a stream of events appended as JSON by day; see ``store.rotate`` for retention."""
+    """SNK-5: a stream of events appended as JSON by day; see ``store.append_ring`` for retention by size."""
     dated = events.withColumn("day", F.to_date("time"))
     return dated.writeStream.format("json").partitionBy("day").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()

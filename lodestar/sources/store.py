@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.model import EDGE_KEY
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is named."""
+    """The folder of spark.checkpoint.dir; a temporary one is set only on one machine that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -30,10 +32,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
-    """SNK-1: the table with ``rows`` in place of those of equal key."""
+def upsert(table: DataFrame, rows: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """SNK-1: the table with ``rows`` in place of those of equal key.
+
+    Of rows with one key the last by ``order`` stays, by default the last as they come.
+    """
     keys = [key] if isinstance(key, str) else key
-    return table.join(rows.select(keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    numbered = rows.select(F.struct(*rows.columns).alias("row"), (F.col(order) if order else F.monotonically_increasing_id()).alias("at"))
+    fresh = numbered.groupBy(*[F.col("row")[k].alias(k) for k in keys]).agg(F.max_by("row", "at").alias("row")).select("row.*")
+    return table.join(fresh.select(keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def replace_files(table: DataFrame, rows: DataFrame, changed: DataFrame, path: str = "file_path") -> DataFrame:
@@ -62,27 +69,97 @@ def append_usage(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def rotate(spark: SparkSession, path: str, keep: int = 6) -> list[str]:
-    """SNK-5: drops the oldest of the dated parts of an event log, beyond ``keep``; returns them."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    parts = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and "=" in s.getPath().getName())
-    gone = parts[: max(0, len(parts) - keep)]
-    for name in gone:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path: its file system, the path, and a maker of paths."""
+    make = lambda *p: spark._jvm.org.apache.hadoop.fs.Path(*p)
+    root = make(path)
+    return root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), root, make
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file to any store that Spark reaches."""
+    fs, target, _ = _files(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; null where there is none."""
+    fs, target, _ = _files(spark, path)
+    if not fs.exists(target):
+        return None
+    found = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(found)).decode()
+    finally:
+        found.close()
+
+
+def _slots(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(number, bytes) of the slots of a log, oldest first."""
+    fs, root, _ = _files(spark, path)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("slot=")]
+    return sorted((int(p.getName()[5:]), fs.getContentSummary(p).getLength()) for p in found)
+
+
+def append_ring(events: DataFrame, path: str, deviates: Column | None = None, slot_bytes: int = 64 << 20, keep: int = 6) -> list[int]:
+    """SNK-5: appends events as JSON lines to the newest slot of a ring; returns the slots recycled.
+
+    A slot of ``slot_bytes`` or more is full, and the next append opens a new one.  Beyond
+    ``keep`` slots the oldest go, but first those of their events that ``deviates`` marks
+    are appended to the log's deviations.  A batch is never split, so the last one may
+    fill a slot beyond its size.
+    """
+    spark = events.sparkSession
+    slots = _slots(spark, path)
+    at = slots[-1][0] + (slots[-1][1] >= slot_bytes) if slots else 0
+    events.write.mode("append").json(f"{path}/slot={at}")
+    gone = [k for k, _ in _slots(spark, path)][:-keep]
+    fs, _, make = _files(spark, path)
+    for k in gone:
+        slot = f"{path}/slot={k}"
+        if deviates is not None:
+            spark.read.schema(events.schema).json(slot).where(deviates).write.mode("append").json(f"{path}/deviations")
+        fs.delete(make(slot), True)
     return gone
 
 
+def read_ring(spark: SparkSession, path: str, schema: str, part: str = "slot=*") -> DataFrame:
+    """Events of a ring's slots, or of its ``deviations``; corrupt lines are left out."""
+    rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/{part}")
+    return rows.where("_corrupt is null").drop("_corrupt")
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Writes a snapshot beside ``path`` and moves it there, so readers never see a half."""
+    """Writes a new version of a snapshot below ``path`` and points readers to it in one step.
+
+    The pointer is a small file that a rename replaces at once, so a reader sees the old
+    version or the new one, and a crash leaves the old.  The version before stays for
+    readers that have begun; older ones go.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    stage, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.stage-{uuid.uuid4().hex[:8]}", path))
-    df.write.parquet(stage.toString())
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(stage, target)
+    fs, root, make = _files(spark, path)
+    before, name = get_text(spark, f"{path}/current"), f"v-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(f"{path}/{name}")
+    put_text(spark, f"{path}/next-{name}", name)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(make(f"{path}/next-{name}"), make(f"{path}/current"), how)
+    for old in fs.listStatus(root):
+        if old.isDirectory() and old.getPath().getName() not in (name, before):
+            fs.delete(old.getPath(), True)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a snapshot that ``swap`` wrote last."""
+    name = get_text(spark, f"{path}/current")
+    if name is None:
+        raise ValueError(f"no snapshot at {path}")
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def classify_changes(before: DataFrame, after: DataFrame) -> DataFrame:

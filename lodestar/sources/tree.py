@@ -14,15 +14,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import file_kind, norm_path
+from lodestar.sources.store import _files, get_text
 
 SOURCE_NAMES = r"\.(py|ts|tsx|js|jsx|go|rs|java)$"
 
 
+def ignore_pattern(line: str, folder: str = "") -> tuple[str, bool] | None:
+    """(regular expression on paths, whether it ignores) of a line of an ignore file in ``folder``.
+
+    A slash before the end ties a pattern to its folder; one at the end means folders
+    only; ``*``, ``**``, ``?``, classes and a leading ``!`` are read.  None for blank lines
+    and comments.
+    """
+    line = re.sub(r"(?<!\\) +$", "", line.rstrip("\r\n"))
+    if not line or line.startswith("#"):
+        return None
+    keeps, line = line.startswith("!"), line.removeprefix("!")
+    below, line = line.endswith("/"), line.rstrip("/")
+    tied, line = "/" in line, line.lstrip("/")
+    out, at = "", 0
+    while at < len(line):
+        c = line[at]
+        if line.startswith("**/", at):
+            out, at = out + "(?:[^/]+/)*", at + 3
+        elif line.startswith("/**", at) and at + 3 == len(line):
+            out, at = out + "/.+", at + 3
+        elif c == "*":
+            out, at = out + "[^/]*", at + 1
+        elif c == "?":
+            out, at = out + "[^/]", at + 1
+        elif c == "[" and "]" in line[at + 2 :]:
+            end = line.index("]", at + 2)
+            out, at = out + "[" + ("^" if line[at + 1] in "!^" else "") + line[at + (2 if line[at + 1] in "!^" else 1) : end].replace("\\", "\\\\") + "]", end + 1
+        else:
+            if c == "\\" and at + 1 < len(line):
+                at += 1
+                c = line[at]
+            out, at = out + re.escape(c), at + 1
+    start = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
+    return f"^{start}{'' if tied else '(?:.*/)?'}{out}{'/' if below else '(?:/|$)'}", not keeps
+
+
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Patterns of all .gitignore files below a folder, outer ones first; as many as they have lines."""
+    fs, top, _ = _files(spark, root)
+    found, folders = [], [(top, "")]
+    while folders:
+        at, name = folders.pop()
+        for s in fs.listStatus(at) if fs.exists(at) else []:
+            own = s.getPath().getName()
+            if s.isDirectory() and not own.startswith(".") and own not in EXCLUDED:
+                folders.append((s.getPath(), f"{name}{own}/"))
+            elif own == ".gitignore":
+                found.append((name, get_text(spark, s.getPath().toString()) or ""))
+    lines = [ignore_pattern(line, name) for name, text in sorted(found) for line in text.split("\n")]
+    return [x for x in lines if x]
+
+
+EXCLUDED = {"node_modules", "vendor", "dist", "build", "out"}
+
+
 def walk(spark: SparkSession, root: str, ignored: list[str] | None = None, tests: bool = False) -> DataFrame:
     """SRC-1: source files below a folder (path, content, size, modified_at).
 
-    Leaves out excluded and noise files, tests unless asked for, and paths that one of the
-    ``ignored`` regular expressions finds.
+    Leaves out excluded and noise files, tests unless asked for, what .gitignore files
+    name (the last rule that fits a path decides), and paths that one of the ``ignored``
+    regular expressions finds.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # The file source gives full paths; what follows the root names the file.
@@ -30,11 +87,32 @@ def walk(spark: SparkSession, root: str, ignored: list[str] | None = None, tests
     files = raw.select(norm_path(tail).alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     kept = files.where(F.col("path").rlike(SOURCE_NAMES)).withColumn("kind", file_kind(F.col("path")))
     kept = kept.where(F.col("kind").isin("main", "test") if tests else F.col("kind") == "main")
+    rules = F.lit(False)
+    for pattern, ignores in ignore_rules(spark, root):
+        rules = F.when(F.col("path").rlike(pattern), ignores).otherwise(rules)
+    kept = kept.where(~rules)
     for pattern in ignored or []:
         kept = kept.where(~F.col("path").rlike(pattern))
     return kept.drop("kind")
 
 
+def changed_files(spark: SparkSession, root: str, since: str = "HEAD") -> DataFrame:
+    """SRC-9: (path) of files that git says differ from ``since``, untracked ones too; none outside a repository."""
+    import subprocess
+
+    def git(*args: str) -> list[str]:
+        try:
+            done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=60, check=False)
+        except (OSError, subprocess.TimeoutExpired):
+            return []
+        return [x for x in done.stdout.split("\0") if x] if done.returncode == 0 else []
+
+    if since.startswith("-"):
+        raise ValueError("not a revision")
+    names = {*git("diff", "--name-only", "-z", since, "--"), *git("ls-files", "--others", "--exclude-standard", "-z")}
+    return spark.createDataFrame([(x,) for x in sorted(names)], "path string")
+
+
 def parse_python(path: str, content: str) -> list[dict]:
     """Symbols, imports and calls of Python source; nothing for what does not parse."""
     try:

@@ -40,6 +40,64 @@ def dedupe_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.max_by("change", "time").alias("change"), F.max("time").alias("time"))
 
 
+def flush_times(times: list[int], window_ms: int, max_wait_ms: int) -> list[int]:
+    """STR-1: when each change, of ascending times, is flushed.
+
+    Each change puts the flush off to ``window_ms`` after itself; once ``max_wait_ms`` have
+    gone by since the last flush it comes at once.
+    """
+    out, pending, due, last = [], 0, None, None
+    for t in times:
+        if due is not None and due < t:
+            out += [due] * pending
+            pending, last, due = 0, due, None
+        pending += 1
+        due = t if last is not None and t - last >= max_wait_ms else t + window_ms
+        if due == t:
+            out += [t] * pending
+            pending, last, due = 0, t, None
+    return out + [due] * pending
+
+
+def flush_changes(changes: DataFrame, window_ms: int = 150, max_wait_ms: int = 2000) -> DataFrame:
+    """STR-1: (project, flush_ms, path, change, n) of changes (project, path, time_ms, change).
+
+    A flush holds the last change of each path since the one before, and how many there
+    were.  When to flush depends on earlier flushes, so a project's times pass through
+    one task; the changes themselves are grouped by all.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = sorted(set(pdf["time_ms"].tolist()))
+        return pd.DataFrame({"project": pdf["project"].iloc[0], "time_ms": times, "flush_ms": flush_times(times, window_ms, max_wait_ms)})
+
+    at = changes.select("project", "time_ms").distinct().groupBy("project").applyInPandas(run, "project string, time_ms long, flush_ms long")
+    grouped = changes.join(at, ["project", "time_ms"]).groupBy("project", "flush_ms", "path")
+    return grouped.agg(F.max_by("change", F.struct("time_ms", "change")).alias("change"), F.count("*").alias("n"))
+
+
+def backfill(files: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> bool:
+    """STR-7: runs a stream of files to its end, chunk by chunk; False if another run holds the flight.
+
+    The flight is a lock file beside the checkpoint, made in one step and removed at the end.
+    """
+    from lodestar.sources.store import _files
+
+    fs, lock, make = _files(files.sparkSession, f"{checkpoint}.flight")
+    fs.mkdirs(lock.getParent())
+    try:
+        if not fs.createNewFile(lock):
+            return False
+    except Exception as e:  # some stores raise instead
+        if "exist" not in str(e).lower():
+            raise
+        return False
+    try:
+        run_to_end(files, handle, checkpoint)
+    finally:
+        fs.delete(lock, False)
+    return True
+
+
 def live_counters(events: DataFrame) -> DataFrame:
     """STR-10: hits, errors by .catch and errors of each probe, kept up to date."""
     return events.groupBy("probe").agg(F.count("*").alias("hits"), F.count_if(F.coalesce(F.length("err"), F.lit(0)) > 0).alias("errs"))

@@ -1,6 +1,9 @@
 """Operators on hand-seeded tables."""
 
+import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,11 +311,118 @@ def test_store(spark, rows):
 def test_swap_and_rotate(spark, tmp_path):
     p = str(tmp_path / "t")
     store.swap(spark.range(3), p)
+    before = store.read_snapshot(spark, p)
     store.swap(spark.range(5), p)
-    assert spark.read.parquet(p).count() == 5
-    spark.range(9).withColumn("day", F.col("id")).write.partitionBy("day").json(str(tmp_path / "log"))
-    assert len(store.rotate(spark, str(tmp_path / "log"))) == 3
-    assert spark.read.json(str(tmp_path / "log")).count() == 6
+    assert (before.count(), store.read_snapshot(spark, p).count()) == (3, 5)
+    store.swap(spark.range(7), p)
+    assert store.read_snapshot(spark, p).count() == 7 and len([x for x in (tmp_path / "t").iterdir() if x.is_dir()]) == 2
+
+
+def test_ring_extracts_before_it_recycles(spark, tmp_path, rows):
+    log, schema = str(tmp_path / "log"), "seq long, err string"
+    gone = []
+    for k in range(6):
+        batch = frame(spark, [(10 * k, "E"), (10 * k + 1, None), (10 * k + 2, "")], schema)
+        gone += store.append_ring(batch, log, F.length("err") > 0, slot_bytes=10, keep=3)
+    assert gone == [0, 1, 2]
+    assert sorted(r.seq for r in store.read_ring(spark, log, schema).collect()) == [30, 31, 32, 40, 41, 42, 50, 51, 52]
+    assert sorted(r.seq for r in store.read_ring(spark, log, schema, "deviations").collect()) == [0, 10, 20]
+    assert store.append_ring(frame(spark, [(99, None)], schema), log, slot_bytes=1 << 20, keep=3) == []
+    assert len(list((tmp_path / "log").glob("slot=*"))) == 3
+
+
+def test_upsert_keeps_the_last_of_a_key(spark, rows):
+    old = frame(spark, [(1, "a"), (2, "b")], "id long, name string")
+    new = frame(spark, [(2, "x"), (2, "y"), (3, "z")], "id long, name string")
+    assert rows(store.upsert(old, new, "id")) == [(1, "a"), (2, "y"), (3, "z")]
+
+
+def test_flushes(spark, rows):
+    assert V.flush_times([0, 100, 200, 1000], 150, 2000) == [350, 350, 350, 1150]
+    # A storm: the first flush waits for a pause, later ones are forced.
+    storm = list(range(0, 1000, 100)) + [1500] + list(range(1600, 6000, 100))
+    got = V.flush_times(storm, 150, 2000)
+    assert got[:10] == [1050] * 10 and got[10] == got[11] and all(f >= t for f, t in zip(got, storm, strict=True))
+    assert {f - t for f, t in zip(got, storm, strict=True) if t > 1600} and max(f - t for f, t in zip(got, storm, strict=True)) <= 2000
+    c = frame(spark, [("p", "a", 0, "added"), ("p", "a", 100, "changed"), ("p", "b", 100, "deleted"), ("p", "a", 900, "deleted"), ("q", "a", 5, "added")], "project string, path string, time_ms long, change string")
+    assert sorted(rows(V.flush_changes(c), "project", "flush_ms", "path", "change", "n")) == [("p", 250, "a", "changed", 2), ("p", 250, "b", "deleted", 1), ("p", 1050, "a", "deleted", 1), ("q", 155, "a", "added", 1)]
+
+
+def test_backfill_is_single_flight(spark, tmp_path):
+    spark.range(40).repartition(8).write.parquet(str(tmp_path / "in"))
+    seen, second = [], []
+    files = lambda: V.stream_files(spark, str(tmp_path / "in"), "id long", files_per_batch=3)
+
+    def handle(df, k):
+        seen.append(df.count())
+        if not second:
+            second.append(V.backfill(files(), lambda *_: seen.append(-1), str(tmp_path / "ck")))
+
+    assert V.backfill(files(), handle, str(tmp_path / "ck")) and second == [False] and sum(seen) == 40 and len(seen) >= 3
+    assert V.backfill(files(), handle, str(tmp_path / "ck")) and sum(seen) == 40
+
+
+def test_ignore_rules(spark, tmp_path, rows):
+    for name in ("a.py", "skip.py", "gen/x.py", "gen/keep.py", "sub/gen/y.py", "sub/z.py", "sub/deep/q.py", "tmp1.py", "lib/b.ts~", "lib/c.gen.ts", "lib/d.ts.bak"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1")
+    (tmp_path / ".gitignore").write_text("# none\nskip.py\n/gen/*\n!/gen/keep.py\ntmp?.py\n\n")
+    (tmp_path / "sub" / ".gitignore").write_text("deep/\n")
+    assert rows(T.walk(spark, str(tmp_path)), "path") == [("a.py",), ("gen/keep.py",), ("sub/gen/y.py",), ("sub/z.py",)]
+    assert re.search(T.ignore_pattern("**/a/*.ts")[0], "x/y/a/b.ts") and not re.search(T.ignore_pattern("a/*.ts")[0], "x/a/b.ts")
+
+
+def test_changed_files(spark, tmp_path, rows):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    assert T.changed_files(spark, str(tmp_path)).count() == 0
+    (tmp_path / "a.py").write_text("1")
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    (tmp_path / "a.py").write_text("2")
+    (tmp_path / "ü b.py").write_text("3")
+    assert rows(T.changed_files(spark, str(tmp_path))) == [("a.py",), ("ü b.py",)]
+
+
+def test_scc_of_long_chains_and_cycles(spark, rows):
+    chain, ring = [(k, k + 1) for k in range(1000)], [(5000 + k, 5000 + (k + 1) % 1000) for k in range(1000)]
+    got = G.scc(frame(spark, chain + ring, "source long, target long"))
+    assert got.count() == 1000 and {(r.scc, r.size) for r in got.collect()} == {(5000, 1000)}
+
+
+def test_scc_by_rounds_equals_memory(spark, rows):
+    rng = random.Random(4)
+    e = frame(spark, [(rng.randrange(30), rng.randrange(30)) for _ in range(45)], "source long, target long")
+    assert rows(G.scc(e, local_edges=0)) == rows(G.scc(e))
+
+
+def test_confusable_pairs_against_all_pairs(spark):
+    rng = random.Random(9)
+    names = {"".join(rng.choice("abB1") for _ in range(rng.randrange(1, 9))) for _ in range(150)} | {"count", "count2", "userData", "userdata", "node", "nodes", "mode", "abcd", "abdc", "city", "cities"}
+    df = frame(spark, [("s", n) for n in names], "scope string, name string")
+    want = {(a, b) for a in names for b in names if a < b and R.py_confusable(a, b)}
+    assert {(r.a, r.b) for r in R.confusable_pairs(df).collect()} == want
+
+
+def test_mentions_and_batches(spark, rows):
+    s = frame(spark, [(f"f{k}", "x\nname here\nname\nname") for k in range(5)], "path string, content string")
+    assert rows(R.text_mentions(s, "name", 2, 3), "path", "line") == [(f"f{k}", n) for k in range(3) for n in (2, 3)]
+    t = frame(spark, [(f"t{k % 700}",) for k in range(1400)], "text string")
+    sizes = [r["count"] for r in R.cache_misses(t, t.limit(0).select(F.col("text").alias("cache_key")), "m", 8, 128).groupBy("batch").count().collect()]
+    assert sum(sizes) == 700 and max(sizes) <= 128
+
+
+def test_json_scalars(spark):
+    df = frame(spark, [('say {bad} {"a": {"b": "}"}} {"c": 1}', '{"a":{"b":1}}', {"x": {"k": "1"}, "y": None, "z": {"l": "2"}}), (None, "[1]", None), ("none {", '{"a":3}', {})], "t string, j string, m map<string,map<string,string>>")
+    got = df.select(S.first_json_object(F.col("t")), S.json_set(F.col("j"), "a.c", F.lit('"v"')), S.flatten_map(F.col("m"))).collect()
+    assert [tuple(r) for r in got] == [('{"a": {"b": "}"}}', '{"a":{"b":1,"c":"v"}}', {"x.k": "1", "z.l": "2"}), (None, None, None), (None, None, {})]
+
+
+def test_hot_and_span_hash(spark):
+    df = frame(spark, [("a b\n\tc\nd",)], "t string").select(S.span_hash(F.split("t", "\n"), F.lit(1), F.lit(2)).alias("h"), S.is_hot(F.lit("2024-01-01 10:00:00"), F.lit("2024-01-02 09:00:00")).alias("y"), S.is_hot(F.lit("2024-01-01 10:00:00"), F.lit("2024-01-02 11:00:00")).alias("n"))
+    assert tuple(df.first()) == (hashlib.sha1(b"abc").hexdigest(), True, False)
 
 
 def test_file_changes_stream(spark, rows):
