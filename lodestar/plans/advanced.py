@@ -135,7 +135,7 @@ def srch15(spark, sf):
     return R.locate_blocks(role(spark, sf, "sources"), "...\nLicensed under CC BY-NC 4.0.").where("level is not null")
 
 
-@query("srch16_patterns", None)
+@query("srch16_patterns", r"SELECT rule, path, hits FROM (SELECT 'link' AS rule, page_id::VARCHAR AS path, len(regexp_extract_all(html, '<a\s+href=\"[^\n]+?\">[^\n]+?</a>')) AS hits FROM pages UNION ALL SELECT 'style', page_id::VARCHAR, len(regexp_extract_all(html, '(?s)<style>.*?</style>')) FROM pages) WHERE hits > 0")
 def srch16(spark, sf):
     s = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
     return R.match_rules(s, {"link": '<a href="$path">$name</a>', "style": "<style>...</style>"}).groupBy("rule", "path").agg(F.count("*").alias("hits"))
@@ -256,6 +256,35 @@ def graph7(spark, sf):
     return G.communities(_trade(spark, sf))
 
 
+# The same operators on line items: parts call suppliers, whose keys are parts' keys too.
+
+RARE = "SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem WHERE l_quantity >= 49"
+
+
+def _rare_calls(spark, sf):
+    return store.checkpoint(table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct())
+
+
+@query("graph1_closure_calls", f"WITH RECURSIVE e AS ({RARE}), b AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 500 = 1 UNION SELECT e.target, b.depth + 1 FROM b JOIN e ON b.node = e.source WHERE b.depth < 4) SELECT node, min(depth) AS depth FROM b GROUP BY node")
+def graph1_calls(spark, sf):
+    seeds = table(spark, sf, "part").where("p_partkey % 500 = 1").select(F.col("p_partkey").alias("node"))
+    return G.bfs(_rare_calls(spark, sf), seeds, 4).select("node", "depth")
+
+
+@query("graph6_scc_calls", f"WITH RECURSIVE e AS ({RARE}), k AS (SELECT source, target FROM e WHERE source IN (SELECT target FROM e)), r AS (SELECT source, target FROM k UNION SELECT r.source, k.target FROM r JOIN k ON r.target = k.source), m AS (SELECT a.source AS node, a.target AS peer FROM r a JOIN r b ON a.source = b.target AND a.target = b.source), s AS (SELECT node, min(peer) AS scc FROM m GROUP BY node) SELECT node, scc, count(*) OVER (PARTITION BY scc) AS size FROM s")
+def graph6_calls(spark, sf):
+    return G.scc(_rare_calls(spark, sf))
+
+
+PAIRS = "SELECT DISTINCT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_quantity = 50 AND round(l_discount, 2) = 0.07"
+
+
+@query("graph7_components_calls", f"WITH RECURSIVE e AS ({PAIRS}), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), r AS (SELECT a AS node, a AS peer FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.peer = u.a) SELECT component, count(*) AS members FROM (SELECT node, min(peer) AS component FROM r GROUP BY node) GROUP BY component")
+def graph7_calls(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_quantity = 50 and round(l_discount, 2) = 0.07")
+    return G.communities(li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()).select("component", "members")
+
+
 @query("graph8_labels", None)
 def graph8(spark, sf):
     n = table(spark, sf, "nation")
@@ -471,7 +500,12 @@ def str4(spark, sf):
     return store.unchanged_content(s, seen)[0].select("path", "content_hash")
 
 
-@query("str8_rate_limit", None)
+@query("str8_rate_limit", """
+WITH e AS (SELECT probe, epoch_us(time) // 1000 AS t, seq FROM probes), f AS (SELECT probe, list_reduce(list({'t': t, 'seq': seq, 'tokens': 0.0::DOUBLE, 'ok': []::BIGINT[]} ORDER BY t, seq),
+ lambda a, x: {'t': greatest(a.t, x.t), 'seq': x.seq, 'tokens': (CASE WHEN a.seq < 0 THEN a.tokens ELSE least(2.0::DOUBLE, a.tokens + greatest(0, x.t - a.t) / 1000 * (1.0::DOUBLE / 3600)) END) - (CASE WHEN (CASE WHEN a.seq < 0 THEN a.tokens ELSE least(2.0::DOUBLE, a.tokens + greatest(0, x.t - a.t) / 1000 * (1.0::DOUBLE / 3600)) END) >= 1 THEN 1 ELSE 0 END),
+  'ok': CASE WHEN (CASE WHEN a.seq < 0 THEN a.tokens ELSE least(2.0::DOUBLE, a.tokens + greatest(0, x.t - a.t) / 1000 * (1.0::DOUBLE / 3600)) END) >= 1 THEN list_append(a.ok, x.seq) ELSE a.ok END},
+ {'t': 0::BIGINT, 'seq': -1::BIGINT, 'tokens': 2.0::DOUBLE, 'ok': []::BIGINT[]}).ok AS ok FROM e GROUP BY probe), k AS (SELECT probe, unnest(ok) AS seq FROM f)
+SELECT e.probe, e.seq, t AS time_ms, k.seq IS NOT NULL AS accepted FROM e LEFT JOIN k ON e.probe = k.probe AND e.seq = k.seq""", "probes")
 def str8(spark, sf):
     e = role(spark, sf, "probes").select("probe", "seq", (F.unix_micros(F.col("time").cast("timestamp")) / 1000).cast("long").alias("time_ms"))
     return V.limit_batch(e, 1 / 3600, 2.0)

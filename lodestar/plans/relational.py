@@ -439,7 +439,18 @@ def win4(spark, sf):
     return W.leak_verdict(role(spark, sf, "samples"))
 
 
-@query("win5_quota", None)
+def quota_sql(key: str, most: int, span: int) -> str:
+    """SQL for accepted_quota over the probes: a fold over each key's events in order."""
+    state = "{'t': 0::BIGINT, 'seq': 0::BIGINT, 'taken': []::BIGINT[], 'ok': []::BIGINT[]}"
+    left = f"list_filter(a.taken, lambda y: y > x.t - {span})"
+    return f"""
+WITH e AS (SELECT {key}, epoch_us(time) // 1000 AS t, seq FROM probes), f AS (SELECT {key}, list_reduce(list({{'t': t, 'seq': seq, 'taken': []::BIGINT[], 'ok': []::BIGINT[]}} ORDER BY t, seq),
+ lambda a, x: {{'t': x.t, 'seq': x.seq, 'taken': CASE WHEN len({left}) < {most} THEN list_append({left}, x.t) ELSE {left} END, 'ok': CASE WHEN len({left}) < {most} THEN list_append(a.ok, x.seq) ELSE a.ok END}}, {state}).ok AS ok FROM e GROUP BY {key}),
+k AS (SELECT {key}, unnest(ok) AS seq FROM f)
+SELECT e.{key}, t AS time_ms, e.seq, k.seq IS NOT NULL AS accepted FROM e LEFT JOIN k ON e.{key} = k.{key} AND e.seq = k.seq"""
+
+
+@query("win5_quota", quota_sql("probe", 10, 6 * 3_600_000), "probes")
 def win5(spark, sf):
     e = role(spark, sf, "probes").select("probe", "seq", (F.unix_micros(F.col("time").cast("timestamp")) / 1000).cast("long").alias("time_ms"))
     return W.accepted_quota(e.select("probe", "time_ms", "seq"), "probe", "time_ms", 10, 6 * 3_600_000)
@@ -450,7 +461,7 @@ def win6(spark, sf):
     return W.before_catch(role(spark, sf, "probes")).select("seq", "trace_id", "ambient", "since")
 
 
-@query("win7_debounce", None)
+@query("win7_debounce", quota_sql("file", 1, 300_000), "probes")
 def win7(spark, sf):
     e = role(spark, sf, "probes").select("file", "seq", (F.unix_micros(F.col("time").cast("timestamp")) / 1000).cast("long").alias("time_ms"))
     return W.accepted_quota(e.select("file", "time_ms", "seq"), "file", "time_ms", 1, 300_000)

@@ -61,6 +61,11 @@ def load_documents(spark: SparkSession, root: str, schema: str, view: str = "des
     return docs.withColumn("feature", F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+\.json$", 1))
 
 
+def read_documents(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """SRC-5: all documents that ``save_documents`` holds, with their feature and view."""
+    return spark.read.schema(schema + ", feature string, view string").json(root)
+
+
 def save_documents(docs: DataFrame, root: str) -> None:
     """SRC-5: documents (feature, view, ...) as JSON, partitioned by both."""
     docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature", "view").json(root)

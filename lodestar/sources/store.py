@@ -129,8 +129,9 @@ def append_ring(events: DataFrame, path: str, deviates: Column | None = None, sl
 
 def read_ring(spark: SparkSession, path: str, schema: str, part: str = "slot=*") -> DataFrame:
     """Events of a ring's slots, or of its ``deviations``; corrupt lines are left out."""
-    rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/{part}")
-    return rows.where("_corrupt is null").drop("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    rows = spark.read.text(f"{path}/{part}").select(F.from_json("value", schema + ", _corrupt string", options).alias("r"))
+    return rows.where("r._corrupt is null").select("r.*").drop("_corrupt")
 
 
 def swap(df: DataFrame, path: str) -> None:
