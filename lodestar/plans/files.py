@@ -47,6 +47,21 @@ def src1(spark, sf) -> DataFrame:
     return T.walk(spark, root).select("path", "size")
 
 
+@query("src2_braces", "SELECT 'n' || n_nationkey || '.ts' AS path, 'C' || n_nationkey || '.run' AS method, 'helper' || n_regionkey AS called, './r' || n_regionkey AS imported, 3::BIGINT AS symbols FROM nation")
+def src2_braces(spark, sf):
+    """A class with a method that calls an imported function, and an arrow function, for each nation."""
+    text = "import { helper%s } from './r%s' // class Not { no() {} }\nexport class C%s extends Base {\n  async run(x: number) { return helper%s(x + '{') }\n}\nconst go = () => 1\n"
+    files = table(spark, sf, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey", F.lit(".ts")).alias("path"),
+        F.format_string(text, "n_regionkey", "n_regionkey", "n_nationkey", "n_regionkey").alias("content"),
+    )
+    rows, is_ = T.parse(files), lambda r: F.col("row") == r
+    return rows.groupBy("path").agg(
+        F.max(F.when(F.col("kind") == "method", F.col("qualified_name"))).alias("method"), F.max(F.when(is_("call"), F.col("name"))).alias("called"),
+        F.max(F.when(is_("import"), F.col("name"))).alias("imported"), F.count_if(is_("symbol")).alias("symbols"),
+    )
+
+
 @query("src4_event_files", "SELECT 'r' || r_regionkey AS folder, 'events.jsonl' AS name FROM region UNION ALL SELECT 'r' || r_regionkey, 'events-1.jsonl' FROM region WHERE r_regionkey % 2 = 0")
 def src4(spark, sf):
     root, regions = _work(spark, "logs"), table(spark, sf, "region").count()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import file_kind, norm_path
+from lodestar.sources.braces import parse_braces
 from lodestar.sources.store import _files, get_text
 
 SOURCE_NAMES = r"\.(py|ts|tsx|js|jsx|go|rs|java)$"
@@ -145,23 +146,12 @@ def parse_python(path: str, content: str) -> list[dict]:
     return rows
 
 
-_FUNCTION = re.compile(r"^\s*(?:export\s+)?(?:async\s+)?(?:function|func|fn|class|interface|type)\s+(\w+)", re.M)
-_IMPORT = re.compile(r"""(?:from|import|require\()\s*["']([^"']+)["']""")
-
-
-def parse_text(path: str, content: str) -> list[dict]:
-    """What regular expressions find in source of other languages: declarations and imports."""
-    at = lambda m: content.count("\n", 0, m.start()) + 1
-    rows = [{"row": "symbol", "kind": "function", "name": m[1], "qualified_name": m[1], "line": at(m)} for m in _FUNCTION.finditer(content)]
-    return rows + [{"row": "import", "name": m[1], "kind": "relative" if m[1].startswith(".") else "package", "line": at(m)} for m in _IMPORT.finditer(content)]
-
-
-PARSERS = {"py": parse_python}
+PARSERS = {"py": parse_python}  # all others by their braces
 PARSED = "path string, row string, kind string, name string, qualified_name string, line int, end_line int, hash string, closure boolean"
 
 
 def parse(files: DataFrame, parsers=None) -> DataFrame:
-    """SRC-2: rows of symbols, imports and calls of (path, content).
+    """SRC-2: rows of symbols, imports, calls and type references of (path, content).
 
     Parsers are pluggable by extension: name -> function(path, content) -> rows.
     """
@@ -171,7 +161,7 @@ def parse(files: DataFrame, parsers=None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [{"path": p, **r} for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for r in table.get(p.rsplit(".", 1)[-1], parse_text)(p, c or "")]
+            rows = [{"path": p, **r} for p, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) for r in table.get(p.rsplit(".", 1)[-1], parse_braces)(p, c or "")]
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     return files.select("path", "content").mapInArrow(run, PARSED)
