@@ -219,17 +219,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     spark = vectors.sparkSession
     box = Scratch(spark, "permutations")
     nothing = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    pick = lambda df: df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).dropDuplicates()
-    rows = pick(vectors)
-    # Partial limits before the shuffle keep a vector that a third of all rows share small.
-    same = Window.partitionBy("vector").orderBy("id")
-    rows = box.keep(rows.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k + 1), "rows")
+    pick = lambda df: df.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.xxhash64(vector_col).alias("h1"), F.xxhash64(F.lit(1), vector_col).alias("h2"))
+    # Partial limits before each shuffle keep a row or a vector that a third of all rows share small.
+    first = lambda df, by, most: df.withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("copy") <= most)
+    once = lambda df: first(df, ["h1", "h2", "id"], 1).drop("copy")
+    rows = box.keep(first(once(pick(vectors)), ["h1", "h2"], k + 1).drop("h1", "h2"), "rows")
     sizes = rows.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     if sizes is None:
         return nothing
     dims, n = sizes["dims"], sizes["count"]
     fits = F.size("vector") == dims
-    rows, asked = rows.where(fits), pick(queries).where(fits)
+    rows, asked = rows.where(fits), once(pick(queries).where(fits)).select("id", "vector")
     m = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, min(int(PIVOT_RATE * math.sqrt(n)), n // 4)))
     # At most 1.5 * MAX_PIVOTS + 4 * ORDER vectors, no two equal, come to the driver, and SAMPLE to judge distances by.
     order = [F.xxhash64("id"), F.col("id")]
