@@ -81,4 +81,4 @@ QUERIES = {
         op6_line_dedup, op7_png_media, op8_token_files, op9_language_id, op10_permutation_index,
     )
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": line_windows.SQL}
+ORACLE: dict[str, str] = {"op3_packing": packing.SQL, "op6_line_dedup": line_windows.SQL}

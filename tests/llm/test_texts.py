@@ -230,6 +230,14 @@ def test_packing_bounds_of_long_texts(spark, monkeypatch, distinct):
         assert sum(r.padding for r in got) == sum(min(b for b in best if b >= n) - n for n in sizes)
 
 
+def test_packing_sql(spark):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = c.execute(packing.SQL).fetchall()
+    got = packing.pack(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "length", "bucket", "bucket_len", "batch", "slot", "padding")
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
 def test_packing_awkward(spark):
     df = awkward(spark)
     assert packing.pack(df).count() == df.count()
