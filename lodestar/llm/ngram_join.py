@@ -204,9 +204,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     box = Scratch(spark, "ngram")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    told = box.keep(rows.mapInArrow(_summaries(width), "id long, h long, n long, c long, c2 long, block int, counts binary"), "told")
+    told = rows.mapInArrow(_summaries(width), "id long, h long, n long, c long, c2 long, block int, counts binary")
+    told = box.keep(told.withColumn("r", F.monotonically_increasing_id()), "told")
     sketch = spark.sparkContext.broadcast(_sketch(told.where("block is not null").select("block", "counts")))
-    told = told.where("block is null").select("id", "h", "n", "c", "c2")
+    told = told.where("block is null").select("id", "h", "n", "c", "c2", "r")
     # The row that stands for a class: that of the least id, if any has one.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
     classes = told.where("n > 0").groupBy("c", "c2").agg(first.alias("f")).select("c", "c2", F.col("f.id").alias("rep"), "f.h")
@@ -244,7 +245,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("c", "c2", "least")
     # Classes without links keep their own least id.
     reps = classes.select("c", "c2", "rep").join(linked, ["c", "c2"], "left").select("c", "c2", F.coalesce("least", "rep").alias("found"))
-    return told.join(reps, ["c", "c2"], "left").select(
+    # Copies may be any share of all rows: rows are dealt by ranges, and each task gets the classes it holds.
+    dealt = box.keep(told.select("id", "n", "c", "c2", "r").repartitionByRange("c", "c2", "r").withColumn("p", F.spark_partition_id()), "dealt")
+    held = dealt.select("p", "c", "c2").distinct().join(reps, ["c", "c2"])
+    return dealt.join(held, ["p", "c", "c2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id")
     )
 
