@@ -178,15 +178,15 @@ def _verify(width: int, pct: int):
     return run
 
 
-def _bring(pairs: DataFrame, key: str, table: DataFrame, box: Scratch, name: str) -> DataFrame:
-    """``pairs`` joined with ``table``, which has one row for each value of ``key``.
+def _meet(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str], box: Scratch, name: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``keys``.
 
-    A class may stand in any number of pairs: these are dealt over tasks by ranges of
-    whole pairs, and each task that holds the class gets its row.
+    Any share of the rows may have one key: they are dealt over tasks by ranges of keys
+    and ``spread``, and each task gets the rows of ``table`` for the keys that it holds.
     """
-    other = "b" if key == "a" else "a"
-    dealt = box.keep(pairs.repartitionByRange(key, other).withColumn("p", F.spark_partition_id()), name)
-    return dealt.join(dealt.select("p", key).distinct().join(table, key), ["p", key]).drop("p")
+    dealt = box.keep(rows.repartitionByRange(*keys, *spread).withColumn("p", F.spark_partition_id()), name)
+    held = dealt.select("p", *keys).distinct().join(table, keys)
+    return dealt.join(held, ["p", *keys], how).drop("p")
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80) -> DataFrame:
@@ -230,25 +230,22 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = box.keep(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.union(pairs)
-        pairs = _bring(pairs, "a", hist.toDF("a", "ha"), box, f"hist-a-{step}")
-        pairs = _bring(pairs, "b", hist.toDF("b", "hb"), box, f"hist-b-{step}")
+        pairs = _meet(pairs, hist.toDF("a", "ha"), ["a"], ["b"], box, f"hist-a-{step}")
+        pairs = _meet(pairs, hist.toDF("b", "hb"), ["b"], ["a"], box, f"hist-b-{step}")
         pairs = box.keep(pairs.select("a", "b", "ha", "hb").mapInArrow(_suffix_filter(pct), "a long, b long"), f"fit-{step}")
         box.drop(f"hist-a-{step}", f"hist-b-{step}")
-        pairs = _bring(pairs, "a", texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), box, f"texts-a-{step}")
-        pairs = _bring(pairs, "b", texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), box, f"texts-b-{step}")
+        pairs = _meet(pairs, texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), ["a"], ["b"], box, f"texts-a-{step}")
+        pairs = _meet(pairs, texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), ["b"], ["a"], box, f"texts-b-{step}")
         new = box.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verify(width, pct), "a long, b long"), f"links-{step}")
         box.drop(f"texts-a-{step}", f"texts-b-{step}")
         links = new if links is None else links.union(new)
         parts = connected_components(links, lambda df, name, s=step: box.keep(df, f"{s}-{name}"))
         parts = box.keep(parts.toDF("c", "root"), f"parts-{step}")
     linked = texts.select("c", "c2", "rep").join(parts, "c")
-    linked = linked.join(linked.groupBy("root").agg(F.min("rep").alias("least")), "root").select("c", "c2", "least")
+    linked = _meet(linked, linked.groupBy("root").agg(F.min("rep").alias("least")), ["root"], ["c"], box, "linked").select("c", "c2", "least")
     # Classes without links keep their own least id.
     reps = classes.select("c", "c2", "rep").join(linked, ["c", "c2"], "left").select("c", "c2", F.coalesce("least", "rep").alias("found"))
-    # Copies may be any share of all rows: rows are dealt by ranges, and each task gets the classes it holds.
-    dealt = box.keep(told.select("id", "n", "c", "c2", "r").repartitionByRange("c", "c2", "r").withColumn("p", F.spark_partition_id()), "dealt")
-    held = dealt.select("p", "c", "c2").distinct().join(reps, ["c", "c2"])
-    return dealt.join(held, ["p", "c", "c2"], "left").select(
+    return _meet(told.select("id", "n", "c", "c2", "r"), reps, ["c", "c2"], ["r"], box, "dealt", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id")
     )
 
