@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import language, line_windows, mixing, ngram_join, packing, permutation_index, png_column, secrets, token_files, toxicity
+from lodestar.llm import block_naming, centroids, language, line_windows, mixing, ngram_join, packing, permutation_index, png_column, secrets, token_files, toxicity, whitening
 
 END_ID = 1
 
@@ -74,11 +74,24 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.exact_groups(_table(spark, sf_dir, "documents")).drop("level", "name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_secret_scan, op3_packing, op4_mixing, op5_ngram_join,
         op6_line_dedup, op7_png_media, op8_token_files, op9_language_id, op10_permutation_index,
+        op11_whitening, op12_centroids, op13_exact_dedup,
     )
 }
-ORACLE: dict[str, str] = {"op3_packing": packing.SQL, "op6_line_dedup": line_windows.SQL}
+ORACLE: dict[str, str] = {"op3_packing": packing.SQL, "op6_line_dedup": line_windows.SQL, "op12_centroids": centroids.SQL, "op13_exact_dedup": block_naming.SQL}

@@ -48,3 +48,8 @@ class Scratch:
         for name in names:
             fs, p = self._fs(f"{self.path}/{name}")
             fs.delete(p, True)
+
+    def leave(self, *names: str) -> None:
+        """Frees all tables but those that the result still reads."""
+        fs, p = self._fs(self.path)
+        self.drop(*[x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName() not in names])

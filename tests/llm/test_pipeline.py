@@ -48,4 +48,4 @@ def test_mixing_order_reaches_the_batches(spark):
 
 
 def test_names():
-    assert [n for n in queries.QUERIES if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert [n for n in queries.QUERIES if n.startswith("op")] == list(queries.QUERIES) and len(queries.QUERIES) == 13
