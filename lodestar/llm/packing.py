@@ -10,8 +10,8 @@ from lodestar.llm.order import number_rows
 from lodestar.llm.scratch import Scratch
 
 BUCKETS, BUDGET = 8, 16_384
-#: With more distinct lengths than this, those over EXACT share bins, widening by 1 / 256 of the length.
-DISTINCT, EXACT = 8192, 1024
+#: Sums that the dynamic program holds at once.
+CHUNK = 1 << 22
 
 
 def word_count(text: Column) -> Column:
@@ -19,36 +19,59 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))
 
 
-def length_bin(length: Column) -> Column:
-    """The upper end of a length's bin: about EXACT + 177 * log2(length / EXACT) bins."""
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)) / 256.0))).cast("long"))
-    return F.when(length <= EXACT, length.cast("long")).otherwise((F.ceil(length / step) * step).cast("long"))
+def _cheapest(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least best[i - 1] + cost(i, j) over i in 1 to j, and the least such i.
 
-
-def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
+    cost is concave: the i of a longer j is never smaller.  So j is solved for every
+    2^k-th length first and then between them, within the bounds its neighbours give;
+    each halving looks at about n sums in all, some for each j, all at once.
+    """
+    n = len(lengths)
+    at, least = np.ones(n + 1, np.int64), best.copy()
+    at[n] = n - 1
+    stride = 1 << max(n - 1, 1).bit_length()
+    while stride >= 1:
+        js = np.arange(stride, n, 2 * stride)
+        lo = at[js - stride] if stride <= n else at[:0]
+        hi = np.minimum(np.where(js + stride < n, at[np.minimum(js + stride, n)], n - 1), js)
+        for part in np.array_split(np.arange(len(js)), max(1, -(-int((hi - lo + 1).sum()) // CHUNK))):
+            if not len(part):
+                continue
+            j, first, count = js[part], lo[part], hi[part] - lo[part] + 1
+            starts = np.cumsum(count) - count
+            i = np.arange(count.sum()) - np.repeat(starts - first, count)
+            end = np.repeat(j, count)
+            total = best[i - 1] + lengths[end] * (rows[end + 1] - rows[i]) - (real[end + 1] - real[i])
+            low = np.minimum.reduceat(total, starts)
+            hit = np.flatnonzero(total == np.repeat(low, count))
+            own = np.searchsorted(starts, hit, "right") - 1
+            at[j], least[j] = i[hit[np.unique(own, return_index=True)[1]]], low
+        stride //= 2
+    return least, at[:n]
+
+
+def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Bucket bounds with the least padding, by dynamic programming over a histogram.
 
-    ``lengths`` ascend and are the possible bounds; ``counts`` and ``totals`` are the rows
-    and the sum of true lengths of each bin.  cost(i, j) is the padding of bins i to j
-    when all are filled up to lengths[j]; best[k][j] = min over i of best[k-1][i-1] +
-    cost(i, j).  Of equal sums the one with fewer buckets and lower bounds is taken.
+    ``lengths`` ascend and are all there are; ``counts`` are their rows.  cost(i, j) is the
+    padding of lengths i to j when all are filled up to lengths[j]; best[k][j] = min over
+    i of best[k-1][i-1] + cost(i, j).  Of equal sums the one with fewer buckets and lower
+    bounds is taken.  Time grows as buckets * n * log(n), memory as n.
     """
     n = len(lengths)
     if not n:
         return []
-    rows = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    real = np.concatenate([[0], np.cumsum(totals, dtype=np.int64)])
-    ends = np.arange(1, n + 1)
-    best = lengths * rows[ends] - real[ends]
+    # Python's integers take over where sums could pass 64 bits.
+    kind = object if int(lengths[-1]) * int(counts.sum()) >= 1 << 61 else np.int64
+    lengths, counts = lengths.astype(kind), counts.astype(kind)
+    rows, real = (np.concatenate([np.zeros(1, kind), np.cumsum(x)]) for x in (counts, lengths * counts))
+    best = lengths * rows[1:] - real[1:]
     choice = []
     for _ in range(1, min(buckets, n)):
-        now, back = best.copy(), np.full(n, -1)
-        for j in range(1, n):
-            i = np.arange(1, j + 1)
-            total = best[i - 1] + lengths[j] * (rows[j + 1] - rows[i]) - (real[j + 1] - real[i])
-            k = int(np.argmin(total))
-            if total[k] < now[j]:
-                now[j], back[j] = total[k], i[k]
+        total, i = _cheapest(best, lengths, rows, real)
+        split = np.flatnonzero(total[1:] < best[1:]) + 1
+        now, back = best.copy(), np.full(n, -1, np.int32)
+        now[split], back[split] = total[split], i[split]
         choice.append(back)
         best = now
     bounds, j = [int(lengths[-1])], n - 1
@@ -59,28 +82,23 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray,
     return bounds[::-1]
 
 
-def length_histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, rows and summed lengths over all rows; at most DISTINCT lengths.
+def length_histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct lengths and their rows.
 
-    All distinct lengths, or if they are more, the largest true length of each bin.
+    They come to the driver: d lengths stand for d * d / 2 words at least, so 10^13
+    words have some millions of them, 16 bytes each.
     """
-    counts = rows.groupBy("length").agg(F.count("*").alias("n"))
-    found = counts.limit(DISTINCT + 1).toArrow()
-    if found.num_rows > DISTINCT:
-        bins = counts.groupBy(length_bin(F.col("length")))
-        found = bins.agg(F.max("length").alias("length"), F.sum("n").alias("n"), F.sum(F.col("length") * F.col("n")).alias("s")).toArrow()
+    found = rows.groupBy("length").agg(F.count("*").alias("n")).toArrow()
     lengths, n = found.column("length").to_numpy(), found.column("n").to_numpy()
-    totals = found.column("s").to_numpy() if "s" in found.column_names else lengths * n
     order = np.argsort(lengths)
-    return lengths[order], n[order], totals[order]
+    return lengths[order], n[order]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, order: list[str] | None = None, length: Column | None = None) -> DataFrame:
     """(id, length, bucket, bucket_len, batch, slot, padding) for every row of ``docs``.
 
     Bucket bounds are true lengths and minimise the padding over the histogram of all
-    lengths: exactly for up to DISTINCT distinct lengths; with more, bounds over EXACT
-    are chosen among the largest lengths of the bins.  In a bucket rows come by ``order``
+    lengths, however many there are.  In a bucket rows come by ``order``
     (by default the id) and fill batches of max(1, budget // bucket_len) rows, so that
     a padded batch is within the budget unless one row alone is longer.  A batch is
     (bucket, batch) and slot its place there.
@@ -110,8 +128,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     )
 
 
-#: DuckDB SQL for pack over documents by id, with up to DISTINCT lengths: the same dynamic
-#: program, one level of the recursion for each bucket more.
+#: DuckDB SQL for pack over documents by id: the same dynamic program, by all pairs of
+#: lengths, one level of the recursion for each bucket more.
 SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS length FROM documents
