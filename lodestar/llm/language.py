@@ -191,10 +191,11 @@ def training_rows(docs: DataFrame, usable: Column, id_col: str = "doc_id", max_d
     are cut from whole texts where they lie, so no long text travels.
     """
     rows = docs.where(usable).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # A language's rows are first thinned by the hash to about four times what is needed.
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample)
-    counts = F.broadcast(counts.select(F.col("lang").alias("l"), (F.lit((4.0 * max_docs + 100) * (1 << 30)) / F.col("count")).alias("upto")))
+    # A language's documents are first thinned by the hash to about four times what is
+    # needed; repeated rows share a hash and count as one.
     place = F.pmod(F.xxhash64(id_col, "text"), F.lit(1 << 30))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(place).alias("count")).orderBy(F.desc("count"), "lang").limit(max_sample)
+    counts = F.broadcast(counts.select(F.col("lang").alias("l"), (F.lit((4.0 * max_docs + 100) * (1 << 30)) / F.col("count")).alias("upto")))
     thin = rows.select("lang", "text", place.alias("place")).join(counts, (F.col("lang") == F.col("l")) & (F.col("place") < F.col("upto")))
     found = thin.select("lang", "place", "text").mapInArrow(_sampled, "lang string, place long, windows binary").dropDuplicates()
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "windows"))
