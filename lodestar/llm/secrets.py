@@ -1,9 +1,10 @@
 """Secret scan with multipart credential linking, on DataFrame functions only.
 
 Strong spans (assignments, access identifiers, long hex runs) are found on their own.
-Weak candidates (endpoints, mixed base64 keys, shorter hex runs) mean nothing alone;
-they are reported only where complementary parts of a credential, an access
-identifier, a secret and an endpoint, lie within one scope of the text.
+Weak candidates (temporary and client identifiers, users and passwords in addresses,
+endpoints, mixed base64 keys, shorter hex runs) mean nothing alone; they are reported
+only where complementary parts of a credential, an access identifier, a secret and an
+endpoint, lie within one scope of the text: all three, or one with a strong part.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ WEAK = [
     ("endpoint", r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+", 3, "endpoint"),
     ("weak_key", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 4, "secret"),
     ("weak_hex", r"(?<![0-9A-Za-z])[0-9a-f]{16,31}(?![0-9A-Za-z])", 5, "secret"),
+    ("temp_access", r"(?<![A-Z0-9])A(?:SI|RO|GP|ID)A[A-Z0-9]{12,}", 6, "access"),
+    ("client_id", r"(?i:client_?id|app_?id|account_?id|key_?id|user(?:_?name)?|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{4,}", 7, "access"),
+    ("url_user", r"(?<=://)[A-Za-z0-9._%+-]{2,64}(?=:[^\s/@:]{4,128}@)", 8, "access"),
+    ("url_pass", r"(?<=://[A-Za-z0-9._%+-]{2,64}:)[^\s/@:]{4,128}(?=@)", 9, "secret"),
 ]
 MIN_ASSIGNED = 8
 #: A scope reaches this many characters from a part to its complement.
@@ -51,12 +56,15 @@ def scan_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # A cheap look tells most texts from those that can match.
-    may = {"access": text.contains("AKIA"), "endpoint": text.contains("://"), "hex": text.rlike("[0-9a-f]{16}"), "weak_hex": text.rlike("[0-9a-f]{16}")}
+    hexes, address = text.rlike("[0-9a-f]{16}"), text.contains("://")
+    login = address & text.contains("@")
+    may = {"access": text.contains("AKIA"), "endpoint": address, "hex": hexes, "weak_hex": hexes, "url_user": login, "url_pass": login}
     found = [F.when(may.get(kind, text.rlike(pattern)), _pieces(text, kind, pattern, rank)) for kind, pattern, rank, _ in [*STRONG, *WEAK]]
     found = F.flatten(F.filter(F.array(*found), lambda a: a.isNotNull()))
-    # One shuffle: all that follows works on the rows of one document in place.
     parts = rows.select("id", F.xxhash64("id", "text").alias("row_key"), found.alias("found"))
-    parts = parts.select("id", "row_key", F.inline("found")).repartition("id", "row_key").distinct()
+    # Copies of a row give their parts once in each task, and then once in all, before
+    # the parts of a document come together: a row may be any share of all.
+    parts = parts.select("id", "row_key", F.inline("found")).distinct()
     run = Window.partitionBy("id", "row_key", "rank").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("end", F.sum(F.col("gap") + F.col("width")).over(run).cast("int")).where(F.col("value") >= MIN_ASSIGNED)
     name = lambda at: F.element_at(F.array(*[F.lit(k[at]) for k in [*STRONG, *WEAK]]), F.col("rank") + 1)
@@ -74,7 +82,8 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Adds access_at, secret_at and endpoint_at, the starts of the linked parts.  A weak
     part stays only if two other roles lie in its scope, or one that is strong, and if
-    no strong part overlaps it.
+    no strong part overlaps it.  So an identifier and an endpoint alone, or a weak key
+    and its identifier, say nothing.
     """
     doc = Window.partitionBy("id", "row_key")
     # What comes after is swept backwards: a running frame, not one anew for each row.
