@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from lodestar.llm.order import number_rows
-from lodestar.llm.scratch import Scratch
+from lodestar.llm.scratch import Scratch, quoted
 
-PERIOD, BLOCK_ROWS = 5040, 16
+BLOCK_ROWS = 16
 #: Slots are 64-bit: blocks due beyond FAR (extreme weights) are released there, due by LAST.
 FAR, LAST = 1 << 62, (1 << 63) - 1
 #: Rows of the plan written at once.
@@ -34,26 +34,6 @@ PLAN = "s string, block long, slot long, release long, due long, on boolean"
 PLAN_NAMES = [c.split()[0] for c in PLAN.split(", ")]
 
 
-def shares(sizes: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks of each source in a period, in proportion to ``sizes``; at least 1 each.
-
-    Remainders go to the largest fractions, ties to the smaller name.  Sources of size
-    zero or less get nothing.
-    """
-    live = {k: float(v) for k, v in sizes.items() if v > 0}
-    if len(live) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(live.values())
-    out = {k: max(1, int(period * v / total)) for k, v in live.items()}
-    rest = sorted(live, key=lambda k: (-(period * live[k] / total - int(period * live[k] / total)), k))
-    for k in rest:
-        if sum(out.values()) < period:
-            out[k] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda k: (out[k], k))] -= 1
-    return out
-
-
 def exact(values: list[float]) -> list[int]:
     """Integers in just the proportions of positive floats."""
     ratios = [float(v).as_integer_ratio() for v in values]
@@ -99,20 +79,6 @@ def serve(weights: list[int], blocks: list[int], total: int | None = None) -> It
         t += 1
 
 
-def schedule(blocks: dict[str, int], period: int = PERIOD) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first.
-
-    ``blocks`` must not exceed ``period`` in all; slots left over stay idle.  Equal
-    deadlines go to the smaller name.
-    """
-    names = sorted(k for k, a in blocks.items() if a)
-    slots: dict[str, list[int]] = {k: [] for k in blocks}
-    counts = [blocks[k] for k in names]
-    for k, _, t, *_ in serve(counts, counts, period):
-        slots[names[k]].append(t)
-    return slots
-
-
 def plan_rows(sizes: dict[str, int], weights: dict[str, float] | None, smoothing: float, block_rows: int) -> Iterator[tuple]:
     """PLAN rows of all blocks of sources with ``sizes`` rows; those without target last."""
     target = {k: (n**smoothing if weights is None else weights.get(k, 0)) for k, n in sizes.items()}
@@ -158,8 +124,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, smooth
     # One row for each block.  It is stored, so its size is known: a small one is broadcast, a large one joined by shuffle.
     table = box.keep(docs.groupBy(src.alias("s")).count().repartition(1).mapInArrow(plan, PLAN), "plan")
     # Rows of one id, or without any, are told apart and spread by their other columns.
-    tie = F.xxhash64(*[F.col(f.name) for f in docs.schema if isinstance(f.dataType, AtomicType)])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), tie.alias("tie"))
+    tie = F.xxhash64(*[F.col(quoted(f.name)) for f in docs.schema if isinstance(f.dataType, AtomicType)])
+    rows = docs.select(F.struct("*").alias("row"), src.alias("s"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("id"), tie.alias("tie"))
     rows = number_rows(rows, ["s"], ["h", "id", "tie"], "n", box, many=True)
     rows = rows.select("row", "s", F.expr(f"n div {block_rows}").alias("block"), F.expr(f"cast(n % {block_rows} as int)").alias("pos"))
     return rows.join(table, ["s", "block"]).select(

@@ -189,9 +189,11 @@ def _meet(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str],
     return dealt.join(held, ["p", *keys], how).drop("p")
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, pct: int = 80, keep_hash: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
+    With ``keep_hash`` also text_hash, xxhash64 of the text, which tells rows of one id apart.
+
     Two texts link when 100 * |intersection| >= ``pct`` * |union| of their sets of
     ``width``-word shingles.  component_id is the least id reachable by links.
 
@@ -245,9 +247,11 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = _meet(linked, linked.groupBy("root").agg(F.min("rep").alias("least")), ["root"], ["c"], box, "linked").select("c", "c2", "least")
     # Classes without links keep their own least id.
     reps = classes.select("c", "c2", "rep").join(linked, ["c", "c2"], "left").select("c", "c2", F.coalesce("least", "rep").alias("found"))
-    return _meet(told.select("id", "n", "c", "c2", "r"), reps, ["c", "c2"], ["r"], box, "dealt", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id")
-    )
+    found = _meet(told.select("id", "n", "c", "c2", "r", *["h"] * keep_hash), reps, ["c", "c2"], ["r"], box, "dealt", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")).alias("component_id"),
+        *[F.col("h").alias("text_hash")] * keep_hash,
+    )
+    return found
 
 
 def _shared(flat: DataFrame) -> DataFrame:

@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """A folder of one operator call. ``keep`` writes a table there and reads it."""
 

@@ -88,6 +88,37 @@ def test_toxicity_held_out(spark):
     assert r.tp >= 0.8 * r.p and r.fp <= 0.1 * r.p
 
 
+def test_toxicity_trains_where_the_bags_are(spark):
+    """The distributed fit is that of the same texts at hand; marks of other documents and copies change nothing."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    sample = toxicity.training_rows(docs, labels, F.lit(True)).join(docs, F.expr("id = doc_id")).orderBy("id", "h").collect()
+    there = docs.where("length(text) > 0").join(labels.where("toxic in (0, 1)"), "doc_id").count()
+    assert len(sample) == there > 50
+    local, model = toxicity.train([r.text for r in sample], [r.toxic for r in sample]), toxicity.fit(docs, labels)
+    assert np.array_equal(local.weights, model.weights) and local.bias == model.bias
+    foreign = spark.range(10**7, 10**7 + 40_000).selectExpr("id as doc_id", "0 as quality", "int(id % 2) as toxic")
+    copies = docs.where(F.col("doc_id") == sample[0].id).crossJoin(spark.range(2000)).drop("id")
+    again = toxicity.fit(docs.unionByName(copies).repartition(7), labels.unionByName(foreign, allowMissingColumns=True))
+    assert np.array_equal(again.weights, model.weights) and again.bias == model.bias
+    assert toxicity.fit(docs, labels.where("toxic = 0")) is None and toxicity.fit(docs.limit(0), labels) is None
+
+
+def test_toxicity_sample_is_bounded_and_drawn_from_what_exists(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(5, "text 5")] * 50 + [(None, "x"), (400, ""), (401, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, F.lit(True), max_bags=100).collect()
+    assert sorted(r.toxic for r in got) == [0] * 100 + [1] * 100 and len({r.id for r in got}) == 200
+    assert max(r.id for r in got) < 300
+    assert len(toxicity.training_rows(docs, labels, F.lit(True)).collect()) == 300
+
+
+def test_language_sample_is_not_thinned_by_copies(spark):
+    rows = [(7, words(7, 30), "en")] * 4000 + [(10 + k, words(10 + k, 30), "en") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.training_rows(docs, F.lit(True)).count() == language.MAX_DOCS == 400
+    assert language.training_rows(docs.where("doc_id < 200"), F.lit(True)).count() == 191
+
+
 def test_language_held_out(spark):
     d = DATA.replace("sf0.001", "sf0.01")
     got = queries.op9_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

@@ -1,10 +1,12 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestar.llm import queries
 from lodestar.llm.scratch import Scratch
 from tests.conftest import DATA
-from tests.llm.fixtures import awkward, empty
+from tests.llm.fixtures import awkward, empty, words
 from tests.llm.test_ngram_join import brute
 
 
@@ -30,6 +32,26 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert all(tuple(r) in same for r in corpus_pipeline.dedup_near(spark, docs, DATA).collect())
 
 
+def test_names_with_dots_pass_all_stages(spark):
+    docs = awkward(spark).withColumn("a.b", F.lit(1)).withColumn("tick`s", F.lit("x"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            docs = Scratch(spark, "test").keep(out, "stage")
+        else:
+            assert out.count() == docs.count() > 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    """A near copy of id 3 goes although another text of its id stays."""
+    one = words(3, 200)
+    rows = [(3, one), (5, one + " more"), (5, words(4, 200)), (5, words(4, 200)), (6, words(4, 200) + " end"), (None, one)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.dedup_near(spark, docs, DATA).collect())
+    assert got == [(0, one), (3, one), (5, words(4, 200))]
+
+
 def test_whole_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = corpus_pipeline.run(spark, DATA).collect()
