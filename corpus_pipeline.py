@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import line_windows, mixing, ngram_join, packing, toxicity
-from lodestar.llm.scratch import Scratch
+from lodestar.llm.scratch import Scratch, quoted
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +29,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = line_windows.line_dedup(docs)
     kept = found.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"\S"))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(quoted, docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies.
 
-    Repeated rows of one id and text stay once; documents without id stay.
+    Documents are told apart by id and text: repeated rows stay once, and of several
+    texts of one id just those that stand for their group.  Documents without id stay.
     """
-    groups = ngram_join.ngram_jaccard(docs, width=5, pct=80)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
+    groups = ngram_join.ngram_jaccard(docs, width=5, pct=80, keep_hash=True)
+    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash")).distinct()
     # Packed in one column, the documents' own columns cannot clash with those made here.
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
     # Repeats are dropped where they lie before they meet.
-    kept = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
+    kept = rows.join(first, F.expr("doc_id = first_id and h = first_hash"), "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
     return kept.union(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, interleaved; their order is that of the files and rows written."""
-    return mixing.in_order(mixing.mix_sources(docs, smoothing=0.7)).select(docs.columns)
+    return mixing.in_order(mixing.mix_sources(docs, smoothing=0.7)).select(*map(quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
