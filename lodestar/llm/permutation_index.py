@@ -207,10 +207,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     Every usable row of ``vectors`` is indexed; a query's own id is no candidate.  Ties
     go to smaller ids; ids that repeat count once, with the best score.  Of equal vectors
     the k + 1 smallest ids stand for all: no query can return others.  Vectors that are
-    null, zero or hold null or non-finite components take no part, on either side, nor do
-    those of another length than most have.  With no usable vectors or queries the result
-    is empty; a query with fewer than ``k`` candidates has them all as long as its files
-    hold them.
+    null, zero or hold null or non-finite components take no part, on either side.  Vectors
+    of each length are searched on their own, one index after the other.  With no usable
+    vectors or queries the result is empty; a query with fewer than ``k`` candidates has
+    them all as long as its files hold them.
 
     ``pivots`` and ``visited`` default to the rules above; ``rerank`` is about a quarter
     of what is scored exactly.  The exact search is ``visited`` = ``pivots`` with
@@ -224,12 +224,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     first = lambda df, by, most: df.withColumn("copy", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("copy") <= most)
     once = lambda df: first(df, ["h1", "h2", "id"], 1).drop("copy")
     rows = box.keep(first(once(pick(vectors)), ["h1", "h2"], k + 1).drop("h1", "h2"), "rows")
-    sizes = rows.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if sizes is None:
-        return nothing
-    dims, n = sizes["dims"], sizes["count"]
-    fits = F.size("vector") == dims
-    rows, asked = rows.where(fits), once(pick(queries).where(fits)).select("id", "vector")
+    asked = once(pick(queries))
+    found = None
+    # One index for each length of vector.
+    for dims, n in sorted(tuple(r) for r in rows.groupBy(F.size("vector")).count().collect()):
+        fits = F.size("vector") == dims
+        part = _nearest_of(rows.where(fits), asked.where(fits).select("id", "vector"), dims, n, k, pivots, visited, rerank, box)
+        found = part if found is None else found.union(part)
+    return nothing if found is None else found.select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _nearest_of(rows: DataFrame, asked: DataFrame, dims: int, n: int, k: int, pivots: int | None, visited: int | None, rerank: int, box: Scratch) -> DataFrame:
+    """``nearest`` among the ``n`` vectors of one length."""
+    spark = rows.sparkSession
     m = pivots or min(MAX_PIVOTS, max(MIN_PIVOTS, min(int(PIVOT_RATE * math.sqrt(n)), n // 4)))
     # At most 1.5 * MAX_PIVOTS + 4 * ORDER vectors, no two equal, come to the driver, and SAMPLE to judge distances by.
     order = [F.xxhash64("id"), F.col("id")]
@@ -245,8 +252,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     per_piece = max(PIECE_RERANK, rerank if SLACK * rerank >= n else 0)
 
     kind = f"id long, vector {rows.schema['vector'].dataType.simpleString()}, files array<int>, upto long"
-    index = box.keep(rows.select("id", "vector").mapInArrow(_post(share, dims, min(POSTED, m), None), kind), "index")
-    looks = box.keep(asked.mapInArrow(_post(share, dims, visited, near), kind), "looks")
+    index = box.keep(rows.select("id", "vector").mapInArrow(_post(share, dims, min(POSTED, m), None), kind), f"index{dims}")
+    looks = box.keep(asked.mapInArrow(_post(share, dims, visited, near), kind), f"looks{dims}")
     each = lambda df: df.withColumn("pivot", F.explode("files")).drop("files")
     cut = lambda df, size, name: each(df.select("files")).groupBy("pivot").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     # One row for each pivot, at most MAX_PIVOTS.
@@ -261,4 +268,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     found = met.mapInArrow(_search(share, dims, k, per_piece), "query_id long, id long, score double")
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

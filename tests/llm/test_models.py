@@ -483,7 +483,18 @@ def test_vectors_of_extreme_size_and_other_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in permutation_index.nearest(df, df.where("vec_id % 50 = 0")).collect())
     a, b = round(1 / math.sqrt(2), 9), round(1 / math.sqrt(1.04), 9)
-    assert got == [(0, 1, 3, 1.0), (0, 2, 1, b), (0, 3, 2, a), (0, 4, 50, 0.0), (50, 1, 2, a), (50, 2, 1, round(0.2 * b, 9)), (50, 3, 0, 0.0), (50, 4, 3, 0.0)]
+    assert got == [(0, 1, 3, 1.0), (0, 2, 1, b), (0, 3, 2, a), (0, 4, 50, 0.0), (50, 1, 2, a), (50, 2, 1, round(0.2 * b, 9)), (50, 3, 0, 0.0), (50, 4, 3, 0.0), (100, 1, 5, 1.0)]
+
+
+def test_each_length_of_vector_has_its_own_index(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8 if i % 3 else 5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(df, df.where("vec_id % 50 = 0"), pivots=20, visited=20, rerank=600).collect()
+    want = set()
+    for part in ([r for r in rows if len(r[1]) == d] for d in (5, 8)):
+        want |= brute_nearest(part)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == want and len({r.query_id for r in got}) == 12
 
 
 def test_nearest_recall_and_ties(spark):
