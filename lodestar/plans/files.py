@@ -47,18 +47,53 @@ def src1(spark, sf) -> DataFrame:
     return T.walk(spark, root).select("path", "size")
 
 
-@query("src2_braces", "SELECT 'n' || n_nationkey || '.ts' AS path, 'C' || n_nationkey || '.run' AS method, 'helper' || n_regionkey AS called, './r' || n_regionkey AS imported, 3::BIGINT AS symbols FROM nation")
+#: Source texts by language, made for a document: its number, its source and its text.
+SOURCES = {
+    "ts": """import { helper%1$s } from './%2$s' // class Not { no() {} }
+export class C%1$s extends Base {
+  private re = /['"{]/g
+  async run(x: number) { return this.s.helper%1$s(`${pick(x / 2 / 3)} { ' " %3$s`) }
+  field = (y) => { seen(y) }
+}
+const api = { go() { a().b() } }
+""",
+    "rs": """use crate::%2$s::x;
+/* outer /* inner { */ %3$s */
+impl<'a> C%1$s<'a> { fn run(&self) { let c = '{'; baz::helper%1$s(self.x.go::<u8>(1)) } }
+""",
+    "go": """package m
+import "%2$s"
+type C%1$s[T any] struct { n int }
+func (s *C%1$s[T]) run() { s.mu.Lock(); helper%1$s[T](raw) }
+var raw = `} " %3$s`
+""",
+    "java": """import a.%2$s;
+public class C%1$s extends Base<T> { C%1$s() { this(1); } void run() throws E { helper%1$s(new X(() -> work()) { void in() { deep(); } }); } }
+// %3$s
+""",
+}
+
+
+@query("src2_braces", r"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS k, source FROM documents)
+SELECT doc_id || '.' || ['ts', 'rs', 'go', 'java'][k + 1] AS path, 'C' || doc_id || '.run' AS method, ([4, 1, 2, 4][k + 1])::BIGINT AS symbols,
+  CASE k WHEN 0 THEN './' || source WHEN 1 THEN 'crate::' || source || '::x' WHEN 2 THEN source ELSE 'a.' || source END AS imported,
+  CASE k WHEN 0 THEN '().b,a,pick,seen,this.s.helper' || doc_id WHEN 1 THEN 'baz.helper' || doc_id || ',self.x.go' WHEN 2 THEN 'helper' || doc_id || ',s.mu.Lock' ELSE 'X,deep,helper' || doc_id || ',work' END AS called,
+  ([1, 0, 0, 1][k + 1])::BIGINT AS bases
+FROM d""")
 def src2_braces(spark, sf):
-    """A class with a method that calls an imported function, and an arrow function, for each nation."""
-    text = "import { helper%s } from './r%s' // class Not { no() {} }\nexport class C%s extends Base {\n  async run(x: number) { return helper%s(x + '{') }\n}\nconst go = () => 1\n"
-    files = table(spark, sf, "nation").select(
-        F.concat(F.lit("n"), "n_nationkey", F.lit(".ts")).alias("path"),
-        F.format_string(text, "n_regionkey", "n_regionkey", "n_nationkey", "n_regionkey").alias("content"),
-    )
-    rows, is_ = T.parse(files), lambda r: F.col("row") == r
+    """A file for each document, in four languages; its text stands in a template, a nested comment, a raw string or a comment."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[`*\\$\n\r  \x0B\x0C\x85/]", " ").alias("text"))
+    text, name = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (ending, form) in enumerate(SOURCES.items()):
+        mine = F.col("doc_id") % 4 == k
+        text = F.when(mine, F.format_string(form, F.col("doc_id").cast("string"), "source", "text")).otherwise(text)
+        name = F.when(mine, F.concat(F.col("doc_id").cast("string"), F.lit("." + ending))).otherwise(name)
+    rows, is_ = T.parse(docs.select(name.alias("path"), text.alias("content"))), lambda r: F.col("row") == r
     return rows.groupBy("path").agg(
-        F.max(F.when(F.col("kind") == "method", F.col("qualified_name"))).alias("method"), F.max(F.when(is_("call"), F.col("name"))).alias("called"),
-        F.max(F.when(is_("import"), F.col("name"))).alias("imported"), F.count_if(is_("symbol")).alias("symbols"),
+        F.max(F.when(F.col("qualified_name").rlike(r"^C\d+\.run$") & is_("symbol"), F.col("qualified_name"))).alias("method"), F.count_if(is_("symbol")).alias("symbols"),
+        F.max(F.when(is_("import"), F.col("name"))).alias("imported"), F.array_join(F.sort_array(F.collect_list(F.when(is_("call"), F.col("name")))), ",").alias("called"),
+        F.count_if(is_("type_ref")).alias("bases"),
     )
 
 

@@ -79,10 +79,10 @@ class Project:
         return first.groupBy("source", "target").agg(F.min("line").alias("line"))
 
     def _calls(self, calls: DataFrame) -> DataFrame:
-        """Calls as references: resolved in the file first, then over its imports."""
-        named = calls.select("path", "name", "line", F.concat_ws("#", "path", F.nullif("qualified_name", F.lit(""))).alias("source"))
-        local = self.nodes.groupBy("file_path", "name").agg(F.min("id").alias("own"))
-        refs = named.join(local.withColumnRenamed("file_path", "path"), ["path", "name"], "left").withColumn("ref_id", F.xxhash64("source", "name", "line"))
+        """Calls as references: resolved in the file first, by the last name of a chain, then over its imports."""
+        named = calls.select("path", "name", "line", F.concat_ws("#", "path", F.nullif("qualified_name", F.lit(""))).alias("source"), F.substring_index("name", ".", -1).alias("tail"))
+        local = self.nodes.groupBy(F.col("file_path").alias("path"), F.col("name").alias("tail")).agg(F.min("id").alias("own"))
+        refs = named.join(local, ["path", "tail"], "left").drop("tail").withColumn("ref_id", F.xxhash64("source", "name", "line"))
         open_ = refs.where("own is null").select("ref_id", F.col("path").alias("file_path"), "name", F.lit("call").alias("kind")).distinct()
         imports = self.file_edges.select(F.col("source").alias("file_path"), F.col("line").alias("ordinal"), F.col("target").alias("target_file"))
         found = J.resolve_in_order(open_, imports, self.nodes, BUILTINS).select("ref_id", "target", "status")
