@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import sequences
+
 
 def diversity_quota(sites: DataFrame, per_symbol: int = 3, per_file: int = 8) -> DataFrame:
     """WIN-1: at most so many sites (symbol, file, focus, score, id) of a symbol, then of a file.
@@ -74,23 +73,12 @@ def leak_verdict(samples: DataFrame, grow_rss: float = GROW_RSS) -> DataFrame:
 def accepted_quota(events: DataFrame, key: str, time_ms: str, most: int = 10, span_ms: int = 60_000) -> DataFrame:
     """WIN-5, WIN-7: whether each event is accepted under a sliding quota that counts accepted ones only.
 
-    With ``most`` = 1 this is a debounce.  The decision depends on earlier ones, so a key's
-    events are judged in one task, streamed in order by ties on all columns.
+    With ``most`` = 1 this is a debounce.  Events of one time come in order of all other
+    columns.  A key's events are dealt over many tasks.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time_ms, *[c for c in pdf.columns if c not in (key, time_ms)]], kind="stable")
-        taken: deque[int] = deque(maxlen=most)
-        ok = []
-        for t in pdf[time_ms]:
-            while taken and taken[0] <= t - span_ms:
-                taken.popleft()
-            ok.append(len(taken) < most)
-            if ok[-1]:
-                taken.append(t)
-        return pdf.assign(accepted=ok)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", accepted boolean"
-    return events.groupBy(key).applyInPandas(run, schema)
+    if most == 1:
+        return sequences.decided(events, key, time_ms, sequences.Debounce(span_ms))
+    return sequences.quota(events, key, time_ms, most, span_ms)
 
 
 def before_catch(events: DataFrame, last: int = 50) -> DataFrame:

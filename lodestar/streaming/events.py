@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.functions.scalars import log2_bucket
+from lodestar.operators import sequences
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 20) -> DataFrame:
@@ -63,15 +64,10 @@ def flush_changes(changes: DataFrame, window_ms: int = 150, max_wait_ms: int = 2
     """STR-1: (project, flush_ms, path, change, n) of changes (project, path, time_ms, change).
 
     A flush holds the last change of each path since the one before, and how many there
-    were.  When to flush depends on earlier flushes, so a project's times pass through
-    one task; the changes themselves are grouped by all.
+    were.  A project's times are dealt over many tasks, and so are the changes.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(set(pdf["time_ms"].tolist()))
-        return pd.DataFrame({"project": pdf["project"].iloc[0], "time_ms": times, "flush_ms": flush_times(times, window_ms, max_wait_ms)})
-
-    at = changes.select("project", "time_ms").distinct().groupBy("project").applyInPandas(run, "project string, time_ms long, flush_ms long")
-    grouped = changes.join(at, ["project", "time_ms"]).groupBy("project", "flush_ms", "path")
+    at = sequences.flush_points(changes, "project", "time_ms", sequences.Flush(window_ms, max_wait_ms))
+    grouped = changes.join(at.withColumnRenamed("flush", "flush_ms"), ["project", "time_ms"]).groupBy("project", "flush_ms", "path")
     return grouped.agg(F.max_by("change", F.struct("time_ms", "change")).alias("change"), F.count("*").alias("n"))
 
 
@@ -120,34 +116,24 @@ class TokenBucket(StatefulProcessor):
     """
 
     def __init__(self, rate: float = 200.0, burst: float | None = None, idle_ms: int | None = None):
-        self.rate, self.burst, self.idle_ms = rate, burst or rate, idle_ms
+        self.rule, self.idle_ms = sequences.Bucket(rate, burst or rate), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bucket = handle.getValueState("bucket", "tokens double, at_ms long", ttlDurationMs=self.idle_ms)
+        self.bucket = handle.getValueState("bucket", "tokens long, at_ms long", ttlDurationMs=self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        tokens, at = self.bucket.get() if self.bucket.exists() else (self.burst, None)
+        state = list(self.bucket.get()) if self.bucket.exists() else self.rule.start()
         pdf = pd.concat(list(rows)).sort_values("time_ms", kind="stable")
-        ok, tokens, at = bucket_accepts(list(pdf["time_ms"]), self.rate, self.burst, tokens, at)
-        self.bucket.update((tokens, at))
+        # A late event counts as one of the time up to which the bucket is known.
+        times = pdf["time_ms"].clip(lower=state[1]).to_numpy()
+        ok = self.rule.decide(state, times)
+        self.bucket.update(tuple(self.rule.follow(state, times)))
         yield pdf[ok][["probe", "time_ms"]]
 
     def close(self) -> None:
         pass
 
 
-def bucket_accepts(times: list[int], rate: float, burst: float, tokens: float, at: int | None):
-    """STR-8 for one probe: which events pass, and the bucket afterwards."""
-    ok = []
-    for t in times:
-        if at is not None:
-            tokens = min(burst, tokens + max(0, t - at) / 1000 * rate)
-        at = t if at is None else max(at, t)
-        ok.append(tokens >= 1)
-        tokens -= ok[-1]
-    return ok, float(tokens), int(at) if at is not None else 0
-
-
 def rate_limit(events: DataFrame, rate: float = 200.0, burst: float | None = None, idle_ms: int | None = None) -> DataFrame:
     """STR-8 on a stream (probe, time_ms).
 
@@ -160,12 +146,8 @@ def rate_limit(events: DataFrame, rate: float = 200.0, burst: float | None = Non
 
 
 def limit_batch(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """STR-8 on a table: adds ``accepted``; a probe's bucket passes over its events in order of time."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time_ms", "seq"], kind="stable")
-        return pdf.assign(accepted=bucket_accepts(list(pdf["time_ms"]), rate, burst, burst, None)[0])
-
-    return events.select("probe", "seq", "time_ms").groupBy("probe").applyInPandas(run, "probe string, seq long, time_ms long, accepted boolean")
+    """STR-8 on a table: adds ``accepted``; a probe's events, in order of time, are dealt over many tasks."""
+    return sequences.decided(events.select("probe", "seq", "time_ms"), "probe", "time_ms", sequences.Bucket(rate, burst))
 
 
 def recent_ring(events: DataFrame, most: int = 1000) -> DataFrame:
