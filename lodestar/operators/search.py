@@ -52,8 +52,11 @@ def semantic_search(nodes: DataFrame, query: str, vectors: DataFrame | None = No
 
     Columns id, score, provider, degraded.
     """
-    text = search_symbols(nodes, query, limit)
-    if _IDENTIFIER.match(query.strip()) and text.limit(1).count():
+    from lodestar.sources.store import checkpoint
+
+    # At most ``limit`` rows, searched once.
+    text = checkpoint(search_symbols(nodes, query, limit))
+    if _IDENTIFIER.match(query.strip()) and not text.isEmpty():
         return text.select("id", F.lit(1.0).alias("score"), F.lit("exact").alias("provider"), F.lit(False).alias("degraded"))
     if vectors is not None and query_vector is not None:
         found = vector_top_k(vectors, query_vector, limit)
@@ -124,11 +127,21 @@ def best_candidates(candidates: DataFrame, limit: int | None = None) -> DataFram
     return out if limit is None else out.limit(limit)
 
 
-def symbol_candidates(nodes: DataFrame, words: list[str], per_word: int = 5) -> DataFrame:
-    """SRCH-7: exact names score 1.0; phrase hits 0.8 for an equal name in any case, else 0.5."""
+def symbol_candidates(nodes: DataFrame, words: list[str], per_word: int = 5, index=None) -> DataFrame:
+    """SRCH-7: exact names score 1.0; phrase hits 0.8 for an equal name in any case, else 0.5.
+
+    With ``index`` (a ``TextIndex`` of the nodes) all words are one search of their
+    postings; without, each word is a scan.
+    """
     at = [F.col("qualified_name"), F.col("file_path").alias("file"), F.col("start_line").alias("line")]
     out = nodes.where(F.col("name").isin(words)).select(*at, F.lit(1.0).alias("score"), F.lit("exact").alias("source"), F.lit(0).alias("priority"))
-    for w in (w for w in words if len(w) >= 3):
+    long = [w for w in words if len(w) >= 3]
+    if index is not None:
+        hits = index.search(long, per_word)
+        word = F.get(F.array(*[F.lit(w.lower()) for w in long]), F.col("query")) if long else F.lit("")
+        found = nodes.join(F.broadcast(hits.select("id", "query")), "id")  # so many rows for each word
+        return out.union(found.select(*at, F.when(F.lower("name") == word, 0.8).otherwise(0.5), F.lit("text"), F.lit(1)))
+    for w in long:
         score = F.when(F.lower("name") == w.lower(), 0.8).otherwise(0.5)
         hit = search_symbols(nodes, w, per_word, [c for c in SYMBOL_COLUMNS if c in nodes.columns])
         out = out.union(hit.select(*at, score, F.lit("text"), F.lit(1)))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +39,14 @@ def upsert(table: DataFrame, rows: DataFrame, key: str | list[str], order: str |
     """SNK-1: the table with ``rows`` in place of those of equal key.
 
     Of rows with one key the last by ``order`` stays, by default the last as they come.
+    Null keys are equal to each other.
     """
     keys = [key] if isinstance(key, str) else key
     numbered = rows.select(F.struct(*rows.columns).alias("row"), (F.col(order) if order else F.monotonically_increasing_id()).alias("at"))
     fresh = numbered.groupBy(*[F.col("row")[k].alias(k) for k in keys]).agg(F.max_by("row", "at").alias("row")).select("row.*")
-    return table.join(fresh.select(keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    taken = fresh.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = [table[k].eqNullSafe(taken[f"_key{i}"]) for i, k in enumerate(keys)]
+    return table.join(taken, reduce(and_, same), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
 def replace_files(table: DataFrame, rows: DataFrame, changed: DataFrame, path: str = "file_path") -> DataFrame:
@@ -96,6 +102,80 @@ def get_text(spark: SparkSession, path: str) -> str | None:
         found.close()
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file in one step; False if it is there already."""
+    fs, target, make = _files(spark, path)
+    fs.mkdirs(target.getParent())
+    draft = make(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex[:12]}")
+    put_text(spark, draft.toString(), text)
+    try:
+        _rename(spark, draft, target, overwrite=False)
+    except Exception as e:  # the class of the exception is the store's
+        if fs.exists(target):
+            return False
+        raise e
+    finally:
+        fs.delete(draft, False)
+    return True
+
+
+def _rename(spark: SparkSession, source, target, overwrite: bool) -> None:
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(target.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    how = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    how[0] = jvm.Options.Rename.OVERWRITE if overwrite else jvm.Options.Rename.NONE
+    context.rename(source, target, how)
+
+
+class Lease:
+    """A right that one run holds at a time, and loses if it does not renew it.
+
+    Holders are numbered: each has a file ``<path>-<number>`` with the time up to which it
+    holds, made only by the first who asks for that number.  A run that dies leaves a
+    file whose time passes; then the next number may be taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lease_s: float = 600.0):
+        self.spark, self.path, self.lease_s, self.number = spark, path, lease_s, None
+
+    def _last(self) -> int:
+        fs, own, _ = _files(self.spark, self.path)
+        if not fs.exists(own.getParent()):
+            return 0
+        head = own.getName() + "-"
+        names = [s.getPath().getName() for s in fs.listStatus(own.getParent())]
+        return max((int(n[len(head) :]) for n in names if n.startswith(head) and n[len(head) :].isdigit()), default=0)
+
+    def take(self) -> bool:
+        last = self._last()
+        if last and float(get_text(self.spark, f"{self.path}-{last}") or "inf") > time.time():
+            return False
+        if not put_if_absent(self.spark, f"{self.path}-{last + 1}", repr(time.time() + self.lease_s)):
+            return False
+        self.number = last + 1
+        fs, _, make = _files(self.spark, self.path)
+        for k in range(max(1, last - 3), last):  # a taken-over file stays for the run that lost it to see
+            fs.delete(make(f"{self.path}-{k}"), False)
+        return True
+
+    def renew(self) -> None:
+        """Holds on; raises if another run has taken over."""
+        if self.number is None or self._last() != self.number:
+            raise RuntimeError(f"{self.path} was taken over")
+        self._write(time.time() + self.lease_s)
+
+    def release(self) -> None:
+        if self.number is not None and self._last() == self.number:
+            self._write(0.0)
+        self.number = None
+
+    def _write(self, until: float) -> None:
+        fs, target, make = _files(self.spark, f"{self.path}-{self.number}")
+        draft = make(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex[:12]}")
+        put_text(self.spark, draft.toString(), repr(until))
+        _rename(self.spark, draft, target, overwrite=True)
+
+
 def _slots(spark: SparkSession, path: str) -> list[tuple[int, int]]:
     """(number, bytes) of the slots of a log, oldest first."""
     fs, root, _ = _files(spark, path)
@@ -110,7 +190,8 @@ def append_ring(events: DataFrame, path: str, deviates: Column | None = None, sl
 
     A slot of ``slot_bytes`` or more is full, and the next append opens a new one.  Beyond
     ``keep`` slots the oldest go, but first those of their events that ``deviates`` marks
-    are appended to the log's deviations.  A batch is never split, so the last one may
+    are written to the log's deviations, under the slot's number, so that a run which
+    died before the slot went writes them anew and not twice.  A batch is never split, so the last one may
     fill a slot beyond its size.
     """
     spark = events.sparkSession
@@ -122,7 +203,7 @@ def append_ring(events: DataFrame, path: str, deviates: Column | None = None, sl
     for k in gone:
         slot = f"{path}/slot={k}"
         if deviates is not None:
-            spark.read.schema(events.schema).json(slot).where(deviates).write.mode("append").json(f"{path}/deviations")
+            spark.read.schema(events.schema).json(slot).where(deviates).write.mode("overwrite").json(f"{path}/deviations/slot={k}")
         fs.delete(make(slot), True)
     return gone
 
@@ -138,26 +219,34 @@ def swap(df: DataFrame, path: str) -> None:
     """Writes a new version of a snapshot below ``path`` and points readers to it in one step.
 
     The pointer is a small file that a rename replaces at once, so a reader sees the old
-    version or the new one, and a crash leaves the old.  The version before stays for
-    readers that have begun; older ones go.
+    version or the new one, and a crash leaves the old.  It names the version before too,
+    which stays for readers that have begun; the one before that goes.  What other
+    writers have under way is never touched; of two at once the last pointer counts.
     """
     spark = df.sparkSession
-    fs, root, make = _files(spark, path)
-    before, name = get_text(spark, f"{path}/current"), f"v-{uuid.uuid4().hex[:12]}"
+    fs, _, make = _files(spark, path)
+    name = f"v-{uuid.uuid4().hex[:12]}"
     df.write.parquet(f"{path}/{name}")
-    put_text(spark, f"{path}/next-{name}", name)
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
-    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(make(f"{path}/next-{name}"), make(f"{path}/current"), how)
-    for old in fs.listStatus(root):
-        if old.isDirectory() and old.getPath().getName() not in (name, before):
-            fs.delete(old.getPath(), True)
+    before, older = _pointer(spark, path)
+    draft = make(f"{path}/.next-{name}")
+    put_text(spark, draft.toString(), f"{name}\n{before or ''}")
+    try:
+        _rename(spark, draft, make(f"{path}/current"), overwrite=True)
+    finally:
+        fs.delete(draft, False)
+    if older:
+        fs.delete(make(f"{path}/{older}"), True)
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
+    """The version that readers see, and the one before."""
+    names = (get_text(spark, f"{path}/current") or "").split("\n")
+    return names[0] or None, names[1] or None if len(names) > 1 else None
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The version of a snapshot that ``swap`` wrote last."""
-    name = get_text(spark, f"{path}/current")
+    name = _pointer(spark, path)[0]
     if name is None:
         raise ValueError(f"no snapshot at {path}")
     return spark.read.parquet(f"{path}/{name}")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestar.functions.scalars import log2_bucket
 from lodestar.operators import sequences
+from lodestar.sources.store import Lease
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 20) -> DataFrame:
@@ -71,26 +72,75 @@ def flush_changes(changes: DataFrame, window_ms: int = 150, max_wait_ms: int = 2
     return grouped.agg(F.max_by("change", F.struct("time_ms", "change")).alias("change"), F.count("*").alias("n"))
 
 
-def backfill(files: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> bool:
-    """STR-7: runs a stream of files to its end, chunk by chunk; False if another run holds the flight.
+class ChangeFlusher(StatefulProcessor):
+    """STR-1 on a stream: the changes of a project are held, the last of each path, and flushed together.
 
-    The flight is a lock file beside the checkpoint, made in one step and removed at the end.
+    A change puts the flush off by ``window_ms`` of the clock, by a timer; when
+    ``max_wait_ms`` have gone by since the last flush it comes at once.  Time is that of
+    the batch, so a batch that fails comes again with the state as it was.
     """
-    from lodestar.sources.store import _files
 
-    fs, lock, make = _files(files.sparkSession, f"{checkpoint}.flight")
-    fs.mkdirs(lock.getParent())
-    try:
-        if not fs.createNewFile(lock):
-            return False
-    except Exception as e:  # some stores raise instead
-        if "exist" not in str(e).lower():
-            raise
+    def __init__(self, window_ms: int = 150, max_wait_ms: int = 2000):
+        self.window_ms, self.max_wait_ms = window_ms, max_wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "path string", "change string, time_ms long, n long")
+        self.times = handle.getValueState("times", "due_ms long, last_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
+        due, last = self.times.get() if self.times.exists() else (0, -1)
+        for pdf in rows:
+            for r in pdf.sort_values("time_ms", kind="stable").itertuples():
+                change, at, n = self.held.getValue((r.path,)) if self.held.containsKey((r.path,)) else (r.change, r.time_ms, 0)
+                self.held.updateValue((r.path,), (r.change if r.time_ms >= at else change, max(at, r.time_ms), n + 1))
+        if due:
+            self.handle.deleteTimer(due)
+        if last >= 0 and now - last >= self.max_wait_ms:
+            yield from self._flush(key, now)
+        else:
+            self.times.update((now + self.window_ms, last))
+            self.handle.registerTimer(now + self.window_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._flush(key, timerValues.getCurrentProcessingTimeInMs())
+
+    def _flush(self, key, now: int) -> Iterator[pd.DataFrame]:
+        held = [(key[0], now, path[0], *value) for path, value in self.held.iterator()]
+        self.held.clear()
+        self.times.update((0, now))
+        if held:
+            yield pd.DataFrame(held, columns=["project", "flush_ms", "path", "change", "time_ms", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def flush_stream(changes: DataFrame, window_ms: int = 150, max_wait_ms: int = 2000) -> DataFrame:
+    """STR-1: flushes (project, flush_ms, path, change, time_ms, n) of a stream (project, path, change, time_ms)."""
+    schema = "project string, flush_ms long, path string, change string, time_ms long, n long"
+    return changes.groupBy("project").transformWithStateInPandas(ChangeFlusher(window_ms, max_wait_ms), schema, "append", "processingTime")
+
+
+def backfill(files: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, lease_s: float = 600.0) -> bool:
+    """STR-7: runs a stream of files to its end, chunk by chunk; False if another run holds the flight.
+
+    The flight is a lease beside the checkpoint, renewed with each chunk.  A run that was
+    killed loses it after ``lease_s``; the next one goes on from the checkpoint.
+    """
+    flight = Lease(files.sparkSession, f"{checkpoint}.flight", lease_s)
+    if not flight.take():
         return False
+
+    def held(df: DataFrame, batch: int) -> None:
+        flight.renew()
+        handle(df, batch)
+
     try:
-        run_to_end(files, handle, checkpoint)
+        run_to_end(files, held, checkpoint)
     finally:
-        fs.delete(lock, False)
+        flight.release()
     return True
 
 
@@ -150,6 +200,50 @@ def limit_batch(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return sequences.decided(events.select("probe", "seq", "time_ms"), "probe", "time_ms", sequences.Bucket(rate, burst))
 
 
+class ByteRing(StatefulProcessor):
+    """STR-9: the last events of a probe within a budget of bytes; the oldest give way.
+
+    Events stand under running numbers, so a batch writes those it adds and removes those
+    it evicts, whatever the ring holds.  An event beyond the whole budget is held alone.
+    """
+
+    def __init__(self, budget: int):
+        self.budget = budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getMapState("events", "number long", "seq long, bytes long")
+        self.ends = handle.getValueState("ends", "head long, tail long, bytes long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        head, tail, held = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        sizes = pdf["bytes"].to_numpy()
+        # Of a large batch only the end can stay.
+        after = sizes[::-1].cumsum()[::-1] - sizes
+        keep = (after + sizes <= self.budget) | (after == 0)
+        if not keep.all():
+            for k in range(head, tail):
+                self.events.removeKey((k,))
+            head, held = tail, 0
+        for seq, size in zip(pdf["seq"][keep].tolist(), sizes[keep].tolist(), strict=True):
+            self.events.updateValue((tail,), (seq, size))
+            tail, held = tail + 1, held + size
+            while held > self.budget and tail - head > 1:
+                held -= self.events.getValue((head,))[1]
+                self.events.removeKey((head,))
+                head += 1
+        self.ends.update((head, tail, held))
+        yield pd.DataFrame({"probe": [key[0]], "held": [tail - head], "bytes": [held], "oldest": [self.events.getValue((head,))[0]], "newest": [self.events.getValue((tail - 1,))[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def byte_ring(events: DataFrame, budget: int = 64 << 20) -> DataFrame:
+    """STR-9 on a stream (probe, seq, bytes): what each probe's ring holds after a batch."""
+    return events.groupBy("probe").transformWithStateInPandas(ByteRing(budget), "probe string, held long, bytes long, oldest long, newest long", "update", "none")
+
+
 def recent_ring(events: DataFrame, most: int = 1000) -> DataFrame:
     """STR-9 on a stream (probe, seq): per probe the sequence numbers of the last ``most`` events."""
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
