@@ -7,6 +7,7 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FLOW = "path string, function string, source string, target string, label string, kind string"
 
@@ -113,23 +114,29 @@ def data_traces(nodes: DataFrame, edges: DataFrame, entry: str, value: str, most
     on.  edges (graph, edge, source, target, kind): chain edges are followed, the first by
     edge name, until a node repeats; branch edges add no step but a note.  One graph is one task.
     """
-    import pandas as pd
-
-    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        outs = dict(zip(n["node"], n["out"], strict=True))
-        e = e.sort_values("edge")
-        chain = {k: g["target"].iloc[0] for k, g in e[e["kind"] == "chain"].groupby("source")}
-        jumps = {k: sorted(g["target"]) for k, g in e[e["kind"] == "branch"].groupby("source")}
-        at, held, seen, rows = entry, value, set(), []
-        while at in outs and at not in seen and len(rows) < most:
-            seen.add(at)
-            given = outs[at] if isinstance(outs[at], str) else held
-            note = "to " + ", ".join(jumps[at]) if at in jumps else None
-            rows.append((key[0], len(rows) + 1, at, held, given, note))
-            at, held = chain.get(at), given
-        return pd.DataFrame(rows, columns=["graph", "step", "node", "in_value", "out_value", "note"])
-
-    return nodes.groupBy("graph").cogroup(edges.groupBy("graph")).applyInPandas(run, "graph string, step int, node string, in_value string, out_value string, note string")
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for graph, n, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                outs, chain, jumps = {x["node"]: x["out"] for x in n}, {}, {}
+                for x in e or ():  # by edge name
+                    if x["kind"] == "chain":
+                        chain.setdefault(x["source"], x["target"])
+                    elif x["kind"] == "branch":
+                        jumps.setdefault(x["source"], []).append(x["target"])
+                at, held, seen = entry, value, set()
+                while at in outs and at not in seen and len(seen) < most:
+                    seen.add(at)
+                    given = held if outs[at] is None else outs[at]
+                    note = "to " + ", ".join(sorted(jumps[at])) if at in jumps else None
+                    rows.append((graph, len(seen), at, held, given, note))
+                    at, held = chain.get(at), given
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int32(), *[pa.string()] * 4], strict=True)], ["graph", "step", "node", "in_value", "out_value", "note"])
+
+    n = nodes.groupBy("graph").agg(F.collect_list(F.struct("node", "out")).alias("n"))
+    e = edges.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("edge", "source", "target", "kind"))).alias("e"))
+    return n.join(e, "graph", "left").select("graph", "n", "e").mapInArrow(run, "graph string, step int, node string, in_value string, out_value string, note string")
 
 
 def choose_branch(judgements: list[dict], scope: dict) -> list[dict]:

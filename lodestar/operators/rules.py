@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -62,12 +64,40 @@ def match_tokens(text: str, pattern: str) -> list[Match]:
             held.append(i)
         elif w in _CLOSERS and held and words[held[-1]] == _CLOSERS[w]:
             closes[held.pop()] = i
+        elif w in _CLOSERS:
+            held.clear()  # brackets around a stray one are no pairs
+    # Runs of tokens that steps can pass: what lies within one pair of brackets, cut at stray ones.
+    run, places, ends, around, ended, last_run = [-1] * len(words), {}, {}, [0], set(closes.values()), 0
+    for i, w in enumerate(words):
+        if i in ended:
+            ends[around.pop()] = i
+        elif w in ("(", "[", "{") and i not in closes or w in _CLOSERS:
+            ends[around[-1]] = i
+            last_run += 1
+            around[-1] = last_run
+        else:
+            run[i] = around[-1]
+            places.setdefault((run[i], w), []).append(i)
+            if i in closes:
+                last_run += 1
+                around.append(last_run)
 
     def step(i: int) -> int | None:
         """The token after the one at ``i``, with its brackets; none at a bracket's end."""
-        if i >= len(words) or words[i] in _CLOSERS:
+        if i >= len(words) or run[i] < 0:
             return None
-        return i + 1 if words[i] not in ("(", "[", "{") else closes[i] + 1 if i in closes else None
+        return closes[i] + 1 if i in closes else i + 1
+
+    def reach(i: int, word: str, least: int) -> Iterator[int]:
+        """Where ``word`` stands, ``least`` tokens or more from ``i`` on, with whole brackets between."""
+        if not least and i < len(words) and words[i] == word and run[i] < 0:
+            yield i
+        if i < len(words) and run[i] >= 0:
+            found = places.get((run[i], word), ())
+            yield from found[bisect.bisect_left(found, i + least) :]
+            end = ends.get(run[i])
+            if end is not None and words[end] == word:
+                yield end
 
     def longest(start: int) -> tuple[int, dict[str, tuple[int, int]]] | None:
         # States are (token, place in the pattern, holes); each is tried once.
@@ -93,13 +123,16 @@ def match_tokens(text: str, pattern: str) -> list[Match]:
                 if words[i : i + n] == words[known[0] : known[1]]:
                     todo.append((i + n, k + 1, holes))
                 continue
+            put = lambda at: todo.append((at, k + 1, holes if kind == "rest" else (*holes, (value, (i, at)))))  # noqa: B023, E731
+            if k + 1 < len(want) and want[k + 1][0] == "word":
+                # Only places where the next word stands can go on.
+                for at in reach(i, want[k + 1][1], int(kind == "hole")):
+                    put(at)
+                continue
             at = i if kind == "rest" else step(i)
-            last = k + 1 == len(want)
             while at is not None:
-                # Only places where the next word stands can go on.
-                if last or want[k + 1][0] != "word" or (at < len(words) and words[at] == want[k + 1][1]):
-                    todo.append((at, k + 1, holes if kind == "rest" else (*holes, (value, (i, at)))))
-                if last and kind == "hole":
+                put(at)
+                if k + 1 == len(want) and kind == "hole":
                     break  # nothing ends a last hole: it takes one token
                 at = step(at)
         return best

@@ -392,13 +392,19 @@ def rule_regex(pattern: str) -> str:
 
 
 def match_rules(sources: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """SRCH-16: (rule, path, line, text) of every non-overlapping match."""
+    """SRCH-16 on text: (rule, path, line, text) of every non-overlapping match; ``rules.match_rules`` works on tokens."""
     compiled = {k: rule_regex(v) for k, v in rules.items()}
 
     def run(batches):
         tests = {k: re.compile(v) for k, v in compiled.items()}
         for pdf in batches:
-            rows = [(k, p, (c or "").count("\n", 0, m.start()) + 1, m.group()) for p, c in zip(pdf["path"], pdf["content"], strict=True) for k, t in tests.items() for m in t.finditer(c or "")]
+            rows = []
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                for k, t in tests.items():
+                    line, at = 1, 0
+                    for m in t.finditer(c or ""):
+                        line, at = line + c.count("\n", at, m.start()), m.start()
+                        rows.append((k, p, line, m.group()))
             yield pd.DataFrame(rows, columns=["rule", "path", "line", "text"])
 
     return sources.select("path", "content").mapInPandas(run, "rule string, path string, line int, text string")

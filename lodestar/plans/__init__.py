@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by section."""
 
-from lodestar.plans import advanced, files, relational
+from lodestar.plans import advanced, files, needs, relational
 from lodestar.plans.standins import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "advanced", "files", "relational"]
+__all__ = ["ORACLE", "QUERIES", "advanced", "files", "needs", "relational"]

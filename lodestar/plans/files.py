@@ -128,15 +128,18 @@ def src6(spark, sf):
     return good.select("name", "verified", F.lit(bad.first()["corrupt"]).cast("long").alias("corrupt"))
 
 
-@query("src7_dependencies", "SELECT 'r' || n_regionkey || '/package.json' AS path, lower(n_name) AS package, '^' || n_nationkey AS version, CASE WHEN n_nationkey % 2 = 0 THEN 'dependencies' ELSE 'devDependencies' END AS grp FROM nation WHERE n_regionkey <> 3")
+@query("src7_dependencies", """
+WITH p AS (SELECT l_orderkey, l_partkey, max(l_linenumber) AS v, bool_or(l_returnflag = 'R') AS dev FROM lineitem WHERE l_orderkey % 7 <> 3 GROUP BY 1, 2)
+SELECT 'o' || l_orderkey || '/package.json' AS path, 'p' || l_partkey AS package, '^' || v AS version, CASE WHEN dev THEN 'devDependencies' ELSE 'dependencies' END AS grp FROM p""")
 def src7(spark, sf):
-    """A manifest for each region, one of them corrupt; packages are nations."""
-    nations = _nations(spark, sf)
-    rows = []
-    for region in sorted({r for _, _, r in nations}):
-        doc = {g: {n.lower(): f"^{k}" for k, n, r in nations if r == region and k % 2 == odd} for odd, g in enumerate(("dependencies", "devDependencies"))}
-        rows += [(f"r{region}/package.json", json.dumps(doc)[: -1 if region == 3 else None]), (f"r{region}/readme.md", "x")]
-    return T.dependencies(spark.createDataFrame(rows, "path string, content string"))
+    """A manifest for each order, its parts as packages; those of every seventh order are cut off."""
+    parts = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_linenumber").alias("v"), F.bool_or(F.col("l_returnflag") == "R").alias("dev"))
+    entry = F.struct(F.concat(F.lit("p"), "l_partkey").alias("key"), F.concat(F.lit("^"), "v").alias("value"))
+    group = lambda dev: F.map_from_entries(F.collect_list(F.when(F.col("dev") == dev, entry)))
+    doc = parts.groupBy("l_orderkey").agg(F.to_json(F.struct(group(False).alias("dependencies"), group(True).alias("devDependencies"))).alias("doc"))
+    cut = F.when(F.col("l_orderkey") % 7 == 3, F.expr("left(doc, length(doc) - 1)")).otherwise(F.col("doc"))
+    manifests = doc.select(F.concat(F.lit("o"), "l_orderkey", F.lit("/package.json")).alias("path"), cut.alias("content"))
+    return T.dependencies(manifests.union(manifests.select(F.replace("path", F.lit("package.json"), F.lit("readme.md")), "content")))
 
 
 @query("src8_ledger", "SELECT n_name AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'violated' ELSE 'ok' END AS status, n_nationkey::BIGINT AS matched_seq, 'r' || n_regionkey AS file FROM nation WHERE n_regionkey <> 2")
@@ -171,12 +174,13 @@ def snk6(spark, sf):
     return back.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("ok").alias("good"))
 
 
-@query("src9_changed_paths", "SELECT DISTINCT n_name AS path FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 3 = 0")
+@query("src9_changed_paths", """
+SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 1 THEN 'deleted' WHEN doc_id % 10 = 2 THEN 'added' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 IN (1, 2) OR (doc_id % 10 = 3 AND coalesce(text, '') <> '')""")
 def src9(spark, sf):
-    """Paths that changed, as a listing gives them, met with what is indexed."""
-    changed = spark.createDataFrame([(n,) for k, n, _ in _nations(spark, sf) if k % 3 == 0], "path string")
-    indexed = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path")).distinct()
-    return indexed.join(changed, "path", "left_semi")
+    """Paths that differ between two states of the documents, by the hash of their content."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    after = docs.where("doc_id % 10 <> 1").withColumn("content", F.when(F.col("doc_id") % 10 == 3, F.concat("content", "content")).otherwise(F.col("content")))
+    return T.tree_diff(docs.where("doc_id % 10 <> 2"), after)
 
 
 @query("str1_flushes", """
@@ -217,31 +221,29 @@ def str9(spark, sf):
     return last.select("probe", "x.*")
 
 
-@query("graph18_control_flow", "SELECT 'n' || n_nationkey || '.py' AS path, (CASE WHEN n_regionkey = 0 THEN 0 ELSE 6 END)::BIGINT AS edges, (CASE WHEN n_regionkey = 0 THEN 0 ELSE 2 END)::BIGINT AS exits FROM nation")
+@query("graph18_control_flow", "SELECT 'n' || doc_id || '.py' AS path, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 6 END)::BIGINT AS edges, (CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END)::BIGINT AS exits FROM documents")
 def graph18(spark, sf):
-    """One function for each nation: a branch with a return, a step, a return; one region's do not parse."""
-    files = table(spark, sf, "nation").select(
-        F.concat(F.lit("n"), "n_nationkey", F.lit(".py")).alias("path"),
-        F.concat(F.when(F.col("n_regionkey") == 0, "def (").otherwise("def f(x):"), F.lit("\n    if x > "), "n_nationkey", F.lit(":\n        return 1\n    x += 1\n    return x\n")).alias("content"),
+    """One function for each document, with its words as a comment: a branch with a return, a step, a return; every fifth does not parse."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\w ]", " ").alias("text"))
+    files = docs.select(
+        F.concat(F.lit("n"), "doc_id", F.lit(".py")).alias("path"),
+        F.concat(F.when(F.col("doc_id") % 5 == 0, "def (").otherwise("def f(x):"), F.lit("\n    # "), "text", F.lit("\n    if x > "), "doc_id", F.lit(":\n        return 1\n    x += 1\n    return x\n")).alias("content"),
     )
     found = flows.control_flows(files).groupBy("path").agg(F.count("*").alias("edges"), F.count_if(F.col("target") == "exit").alias("exits"))
     return files.select("path").join(found, "path", "left").na.fill(0, ["edges", "exits"])
 
 
 @query("graph19_data_trace", """
-WITH RECURSIVE n AS (SELECT n_regionkey AS g, n_nationkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
-r AS (SELECT g, 1 AS step, k, 'start' AS in_value, CASE WHEN k % 2 = 0 THEN k::VARCHAR ELSE 'start' END AS out_value FROM n WHERE i = 1
-UNION ALL SELECT n.g, r.step + 1, n.k, r.out_value, CASE WHEN n.k % 2 = 0 THEN n.k::VARCHAR ELSE r.out_value END FROM r JOIN n ON n.g = r.g AND n.i = r.step + 1)
-SELECT g::VARCHAR AS graph, step, CASE WHEN step = 1 THEN 'entry' ELSE 'k' || k END AS node, in_value, out_value FROM r""")
+WITH n AS (SELECT l_orderkey AS g, row_number() OVER w AS k, row_number() OVER w AS step, CASE WHEN l_partkey % 2 = 0 THEN l_partkey::VARCHAR END AS given FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)),
+o AS (SELECT *, coalesce(last_value(given IGNORE NULLS) OVER (PARTITION BY g ORDER BY k), 'start') AS out_value FROM n)
+SELECT g::VARCHAR AS graph, step, CASE WHEN step = 1 THEN 'entry' ELSE 'k' || k END AS node, coalesce(lag(out_value) OVER (PARTITION BY g ORDER BY k), 'start') AS in_value, out_value FROM o""")
 def graph19(spark, sf):
-    """Each region's nations as a chain from the first on; even ones give their own value."""
-    nations = _nations(spark, sf)
-    nodes, edges = [], []
-    for region in sorted({r for _, _, r in nations}):
-        keys = [k for k, _, r in nations if r == region]
-        names = ["entry", *[f"k{k}" for k in keys[1:]]]
-        nodes += [(str(region), name, str(k) if k % 2 == 0 else None) for name, k in zip(names, keys, strict=True)]
-        edges += [(str(region), f"e{i}", a, b, "chain") for i, (a, b) in enumerate(zip(names, names[1:], strict=False))]
-    n = spark.createDataFrame(nodes, "graph string, node string, out string")
-    e = spark.createDataFrame(edges, "graph string, edge string, source string, target string, kind string")
-    return flows.data_traces(n, e, "entry", "start").drop("note")
+    """Each order's lines as a chain from the first on; those of even parts give their own value."""
+    from pyspark.sql import Window
+
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    name = lambda k: F.when(k == 1, "entry").otherwise(F.concat(F.lit("k"), k))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("graph"), F.row_number().over(along).alias("k"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey").cast("string")).alias("out"))
+    lines = lines.withColumn("node", name(F.col("k")))
+    edges = lines.where("k > 1").select("graph", F.concat(F.lit("e"), "k").alias("edge"), name(F.col("k") - 1).alias("source"), F.col("node").alias("target"), F.lit("chain").alias("kind"))
+    return flows.data_traces(lines.select("graph", "node", "out"), edges, "entry", "start").drop("note")

@@ -10,7 +10,7 @@ import tomllib
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import file_kind, norm_path
@@ -114,6 +114,21 @@ def changed_files(spark: SparkSession, root: str, since: str = "HEAD") -> DataFr
     return spark.createDataFrame([(x,) for x in sorted(names)], "path string")
 
 
+def blob_hash(content: Column) -> Column:
+    """The name that git gives a file's content."""
+    data = content.cast("binary")
+    head = F.concat(F.lit("blob "), F.octet_length(data).cast("string"))
+    return F.sha1(F.concat(F.encode(head, "UTF-8"), F.unhex(F.lit("00")), data))
+
+
+def tree_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """SRC-9 on tables (path, content): (path, change) of files that are added, deleted or modified, by their hashes."""
+    a, b = (x.select("path", blob_hash(F.col("content")).alias("hash")) for x in (before, after))
+    both = a.withColumnRenamed("hash", "was").join(b.withColumnRenamed("hash", "is"), "path", "full_outer")
+    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(F.col("was") != F.col("is"), "modified")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
 def parse_python(path: str, content: str) -> list[dict]:
     """Symbols, imports and calls of Python source; nothing for what does not parse."""
     try:

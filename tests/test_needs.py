@@ -131,6 +131,58 @@ def test_rules_match_tokens():
     assert len(U.match_tokens(big, "f($x)")) == 1
 
 
+def test_rules_against_a_plain_search():
+    """All splits of all starts, on random tokens with stray brackets."""
+
+    def plain(words, want, start):
+        out = []
+
+        def whole(i, j):
+            held = []
+            for w in words[i:j]:
+                if w in "([":
+                    held.append(w)
+                elif w in ")]" and (not held or held.pop() != {")": "(", "]": "["}[w]):
+                    return False
+            return not held
+
+        def go(i, k, holes):
+            if k == len(want):
+                out.append((i, holes))
+                return
+            kind, value = want[k]
+            if kind == "word":
+                if i < len(words) and words[i] == value:
+                    go(i + 1, k + 1, holes)
+            elif value in holes and kind == "hole":
+                if words[i : i + len(holes[value])] == holes[value]:
+                    go(i + len(holes[value]), k + 1, holes)
+            else:
+                last = k + 1 == len(want) and kind == "hole"
+                for j in range(i + (kind == "hole"), len(words) + 1):
+                    if whole(i, j):
+                        go(j, k + 1, holes if kind == "rest" else {**holes, value: words[i:j]})
+                        if last:
+                            break
+
+        go(start, 0, {})
+        return max((e for e, _ in out), default=None)
+
+    rng = random.Random(11)
+    for _ in range(1500):
+        words = [rng.choice("aab=()[]") for _ in range(rng.randrange(1, 14))]
+        pattern = [rng.choice(["a", "b", "=", "(", ")", "$x", "$y", "..."]) for _ in range(rng.randrange(1, 6))]
+        want, at, spans = U._parts(" ".join(pattern)), 0, []
+        while at < len(words):
+            end = plain(words, want, at)
+            if end is not None and end > at:
+                spans.append(" ".join(words[at:end]))
+                at = end
+            else:
+                at += 1
+        assert [m.text for m in U.match_tokens(" ".join(words), " ".join(pattern))] == spans, (words, pattern)
+
+
 def test_rules_over_files(spark):
     files = frame(spark, [("a", "x\nlog(e, {\n a: 1 })\nlog(e)"), ("b", "log ( e )"), ("c", None), ("d", "nothing")], "path string, content string")
     got = U.match_rules(files, {"one": "log($x)", "two": "log($x, $y)"}).collect()
