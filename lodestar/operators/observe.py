@@ -89,10 +89,19 @@ def needles(events: DataFrame, pattern: str = "(?i)error|fail|panic") -> DataFra
 
 
 def incidents(events: DataFrame, last: int = 50) -> DataFrame:
-    """STR-15: for each error the events of its trace up to it, at most ``last``, oldest first."""
-    w = Window.partitionBy("trace_id").orderBy("time", "seq").rowsBetween(-(last - 1), 0)
-    out = events.withColumn("window", F.collect_list(F.struct("seq", "probe")).over(w))
-    return out.where(silent_error())
+    """STR-15: for each error the events of its trace up to it, at most ``last``, oldest first.
+
+    Events are numbered along their trace; only errors fetch the blocks of events that
+    their windows reach into.
+    """
+    numbered = events.withColumn("_k", F.row_number().over(Window.partitionBy("trace_id").orderBy("time", "seq")))
+    errors = numbered.where(silent_error())
+    block = lambda c: F.floor(c / last).cast("int")
+    asked = errors.select(F.col("trace_id").alias("t"), F.col("_k").alias("to"), F.explode(F.array_distinct(F.array(block(F.col("_k")), block(F.col("_k") - (last - 1))))).alias("b"))
+    pool = numbered.select("trace_id", "_k", block(F.col("_k")).alias("_b"), "seq", "probe")
+    met = pool.join(asked, F.col("trace_id").eqNullSafe(F.col("t")) & (F.col("_b") == F.col("b")) & F.col("_k").between(F.col("to") - (last - 1), F.col("to")))
+    held = met.groupBy("t", "to").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "seq", "probe"))), lambda x: F.struct(x["seq"].alias("seq"), x["probe"].alias("probe"))).alias("window"))
+    return errors.join(held, F.col("trace_id").eqNullSafe(F.col("t")) & (F.col("_k") == F.col("to"))).drop("_k", "t", "to")
 
 
 def inbox(alerts: DataFrame, cursor: int, most: int = 10) -> DataFrame:

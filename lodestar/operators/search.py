@@ -155,17 +155,30 @@ def suggest_names(wanted: DataFrame, known: DataFrame, most: int = 3, distance:
     one stands in the other, so names meet by (length, piece) keys, never all with all.
     Names of d characters or fewer have an empty piece and meet all of such lengths.
     """
-    def keys(df: DataFrame, name: str, side: bool) -> DataFrame:
-        grams = _pieces(F.col(name), distance, F.length(name)) if side else F.flatten(F.transform(F.sequence(F.length(name) - distance, F.length(name) + distance), lambda n: _windows(F.col(name), distance, n)))
-        return df.select(name, F.explode(F.array_distinct(grams)).alias("piece"))
-
     w, k = wanted.select(F.col("name").alias("wanted")).distinct(), known.select(F.col("name").alias("known")).distinct()
-    met = keys(w, "wanted", True).join(keys(k, "known", False), "piece").select("wanted", "known").distinct()
+    met = _piece_keys(w, "wanted", distance, True).join(_piece_keys(k, "known", distance, False), "piece").select("wanted", "known").distinct()
     scored = met.withColumn("distance", F.levenshtein("wanted", "known", distance)).where("distance >= 0")
     by = Window.partitionBy("wanted").orderBy("distance", "known")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
 
 
+def near_names(names: DataFrame, distance: int = 2) -> DataFrame:
+    """SRCH-9: pairs (scope, a, b, distance), a < b, of names of a scope within ``distance`` edits.
+
+    Names meet by their pieces, as in ``suggest_names``, never all with all.
+    """
+    n = names.select("scope", "name").where("name is not null").distinct()
+    a, b = n.withColumnRenamed("name", "a"), n.withColumnRenamed("name", "b")
+    met = _piece_keys(a, "a", distance, True).join(_piece_keys(b, "b", distance, False), ["scope", "piece"]).where("a < b").select("scope", "a", "b").distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", distance).cast("long")).where("distance >= 0")
+
+
+def _piece_keys(df: DataFrame, name: str, distance: int, own: bool) -> DataFrame:
+    """The rows with the keys of the name's own pieces, or of those that it may hold."""
+    grams = _pieces(F.col(name), distance, F.length(name)) if own else F.flatten(F.transform(F.sequence(F.length(name) - distance, F.length(name) + distance), lambda n: _windows(F.col(name), distance, n)))
+    return df.select("*", F.explode(F.array_distinct(grams)).alias("piece"))
+
+
 def _pieces(s: Column, d: int, n: Column) -> Column:
     """(length, number, piece) keys of a name cut into d + 1 pieces."""
     return F.transform(F.sequence(F.lit(0), F.lit(d)), lambda i: F.struct(n.alias("n"), i.alias("i"), F.substr(s, (i * n / (d + 1)).cast("int") + 1, ((i + 1) * n / (d + 1)).cast("int") - (i * n / (d + 1)).cast("int")).alias("p")))

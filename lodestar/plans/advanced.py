@@ -92,8 +92,7 @@ NAMES = "n AS (SELECT DISTINCT p_brand AS scope, replace(p_name, ' ', '_') AS na
 @query("srch9_levenshtein", f"WITH {NAMES} SELECT a.scope, a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance FROM n a JOIN n b ON a.scope = b.scope AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 2")
 def srch9(spark, sf):
     n = table(spark, sf, "part").select(F.col("p_brand").alias("scope"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).distinct()
-    a, b = n.toDF("scope", "a"), n.toDF("scope", "b")
-    return a.join(b, "scope").where("a < b").withColumn("distance", F.levenshtein("a", "b", 2).cast("long")).where("distance >= 0")
+    return R.near_names(n)
 
 
 @query("srch10_suggestions", "WITH n AS (SELECT DISTINCT p_name AS known FROM part), w AS (SELECT known[2:] AS wanted FROM n) SELECT wanted, known, distance, rank FROM (SELECT wanted, known, levenshtein(wanted, known) AS distance, row_number() OVER (PARTITION BY wanted ORDER BY levenshtein(wanted, known), known) AS rank FROM w, n WHERE levenshtein(wanted, known) <= 2) WHERE rank <= 3")

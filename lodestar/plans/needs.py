@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import closure as C
 from lodestar.operators import graph as G
+from lodestar.operators import members as M
 from lodestar.operators import points as P
 from lodestar.operators import rules as U
 from lodestar.operators import search as R
@@ -128,3 +129,47 @@ SELECT doc_id AS id, min(start)::INTEGER AS start, max(e)::INTEGER AS "end", fir
 def srch18_splits(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return U.dictionary_splits(docs, spark.createDataFrame(FORMS, "term string, form string"))
+
+
+# -- fields and features ------------------------------------------------------
+
+FIELDS = """interface T%1$s { name: string; size?: number
+  run(x: number): void }
+const a = { name: `%2$s`, size: 2, other: 3 }
+const { name, size: s } = a
+function f({ size }: T%1$s) { return size / a.size + a?.name }
+"""
+
+
+@query("srch20_fields", """SELECT doc_id || '.ts' AS path, line, kind FROM documents, (VALUES (1, 'decl'), (3, 'key'), (4, 'destructure'), (5, 'destructure'), (5, 'read')) AS v(line, kind)""")
+def srch20_fields(spark, sf) -> DataFrame:
+    """Where a field is declared, set, taken apart and read; a file for each document, its text in a template."""
+    return M.field_references(M.members(_field_files(spark, sf)), "size")
+
+
+def _field_files(spark, sf) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[`\\$\s\x0B\x85\u2028\u2029]", " ")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), text.alias("text"))
+    return docs.select(F.concat("id", F.lit(".ts")).alias("path"), F.format_string(FIELDS, "id", "text").alias("content"))
+
+
+@query("srch20_types", """SELECT doc_id || '.ts' AS path, 3 AS line, 2::BIGINT AS hits, 'name,size' AS keys FROM documents""")
+def srch20_types(spark, sf) -> DataFrame:
+    """Literals in all files that could be of the type that the first one declares."""
+    fields = M.members(_field_files(spark, sf))
+    first = table(spark, sf, "documents").agg(F.min("doc_id").cast("string").alias("id")).first()["id"]
+    return M.constructions(fields, f"{first}.ts", f"T{first}")
+
+
+@query("graph20_feature_tree", """
+WITH p AS (SELECT CASE WHEN doc_id % 9 = 0 THEN lang || '/' || doc_id ELSE lang || '/x/' || source || '/' || doc_id % 7 || '/' || doc_id END || '.ts' AS path FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+u AS (SELECT path, string_split(path, '/') AS s, k FROM p, UNNEST(range(0, len(string_split(path, '/')))) AS r(k)), d AS (SELECT path, k, s, array_to_string(s[1:k], '/') AS dir, k = len(s) - 1 AS direct, CASE WHEN k < len(s) - 1 THEN s[k + 1] END AS child FROM u),
+g AS (SELECT dir, k, count(*) AS files, count(*) FILTER (direct) AS own, count(DISTINCT child) AS kids FROM d GROUP BY dir, k), kept AS (SELECT dir, k, files FROM g WHERE dir = '' OR (files >= 6 AND NOT (own = 0 AND kids = 1))),
+near AS (SELECT path, arg_max(d.dir, d.k) AS dir FROM d JOIN kept USING (dir) GROUP BY path)
+SELECT dir AS feature, (SELECT arg_max(o.dir, o.k) FROM kept o WHERE o.k < t.k AND (o.dir = '' OR starts_with(t.dir, o.dir || '/'))) AS parent, files, (SELECT count(*) FROM near n WHERE n.dir = t.dir) AS own FROM kept t""")
+def graph20_feature_tree(spark, sf) -> DataFrame:
+    """Documents as files below language and source; every ninth lies beside them."""
+    id_ = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 9 == 0, F.concat_ws("/", "lang", id_)).otherwise(F.concat_ws("/", "lang", F.lit("x"), "source", (F.col("doc_id") % 7).cast("string"), id_))
+    docs = table(spark, sf, "documents").where("lang is not null and source is not null")
+    return M.feature_tree(docs.select(F.concat(path, F.lit(".ts")).alias("path")), 6)

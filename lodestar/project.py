@@ -19,7 +19,10 @@ from lodestar.operators import diffs as D
 from lodestar.operators import filters as P
 from lodestar.operators import graph as G
 from lodestar.operators import joins as J
+from lodestar.operators import members as M
 from lodestar.operators import observe as O
+from lodestar.operators import points as N
+from lodestar.operators import rules as U
 from lodestar.operators import search as R
 from lodestar.operators import windows as W
 from lodestar.sources import events as EV
@@ -118,6 +121,25 @@ class Project:
         near = G.bfs(self.file_edges, homes, 1, "in").select(F.col("node").alias("path"))
         return R.find_references(self.files, name, near)
 
+    def field_references(self, field: str, within: list[str] | None = None) -> DataFrame:
+        """Where scripts read, set, take apart and declare a field, in the import closure of files if given."""
+        return M.field_references(M.members(self.files), field, self._near(within))
+
+    def constructions(self, path: str, type_name: str, min_hit: int = 2, within: list[str] | None = None) -> DataFrame:
+        """Object literals that could be of the type that a file declares, by the keys they share."""
+        return M.constructions(M.members(self.files), path, type_name, min_hit, self._near(within))
+
+    def _near(self, within: list[str] | None) -> DataFrame | None:
+        return None if within is None else self.closure(within, callers=True).select(F.col("node").alias("path"))
+
+    def rules(self, rules: dict[str, str]) -> DataFrame:
+        """Matches of patterns with holes in all files."""
+        return U.match_rules(self.files, rules)
+
+    def feature_tree(self, least: int = 5) -> DataFrame:
+        """The folders that stand for features, small and pass-through ones merged into those above."""
+        return M.feature_tree(self.files, least)
+
     def similar_names(self) -> DataFrame:
         n = self.nodes.select(F.col("file_path").alias("scope"), "name", F.col("start_line").alias("ordinal"), F.lit(1).alias("refs"))
         return R.similar_names(n)
@@ -166,12 +188,16 @@ class Project:
         pick = lambda p: p.nodes.select("file_path", "qualified_name", "sym_hash")
         return D.symbol_cdc(pick(earlier), pick(self))
 
-    def observe_points(self, focus: list[str] | None = None, most: int = 20) -> DataFrame:
-        """Functions worth observing: called often, focused files first, spread over files."""
-        n = A.in_degree(self.calls)
-        sites = self.nodes.join(n, F.col("id") == F.col("target"), "left")
-        sites = sites.select("id", F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("file_path").isin(focus or []).alias("focus"), F.coalesce("n", F.lit(0).cast("long")).alias("score"))
-        return W.diversity_quota(sites).orderBy(F.desc("focus"), F.desc("score"), "id").limit(most)
+    def observe_points(self, focus: list[str] | None = None, most: int = 20, changed: DataFrame | None = None, now_ms: int | None = None) -> DataFrame:
+        """Functions worth observing, with evidence: focused files first, spread over files.
+
+        ``changed`` (qualified_name) are symbols that changed on record; ``now_ms`` tells which
+        files are hot, by default none.
+        """
+        none = self.spark.createDataFrame([], "qualified_name string")
+        files = self.files.select("path", "content", F.unix_millis("modified_at").alias("modified_at"))
+        points = N.observe_points(self.nodes, self.calls, files, none if changed is None else changed, now_ms or 1 << 62, focus_paths=focus)
+        return N.recommend(points, most)
 
 
 class Observations:
@@ -179,7 +205,8 @@ class Observations:
 
     def __init__(self, spark: SparkSession, paths: list[str]):
         self.events, self.skipped = EV.load_events(spark, paths)
-        self.events = self.events.withColumn("seq", F.xxhash64("probe", "time", "fields", "frame_id"))
+        # Lines are numbered as they lie in their files, and stored, so that numbers stay.
+        self.events = store.checkpoint(self.events.withColumn("seq", F.monotonically_increasing_id()))
 
     def log(self, files: list[str] | None = None, show_all: bool = False) -> tuple[DataFrame, DataFrame]:
         return P.log_pool(self.events, O.silent_error(), files, show_all)

@@ -72,6 +72,23 @@ def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     return [x for x in lines if x]
 
 
+def ignored_by(rules: list[tuple[str, bool]], path: str) -> bool:
+    """Whether ignore rules take a file out: a folder on its way that is ignored, or the file itself.
+
+    The last rule that fits decides; what lies in an ignored folder is never taken back in.
+    """
+    at = 0
+    while at >= 0:
+        at = path.find("/", at + 1)
+        own, ignores = path if at < 0 else path[:at], False
+        for pattern, says in rules:
+            if re.fullmatch(pattern, own) or (at >= 0 and pattern.endswith("/") and re.fullmatch(pattern, own + "/")):
+                ignores = says
+        if ignores:
+            return True
+    return False
+
+
 EXCLUDED = {"node_modules", "vendor", "dist", "build", "out"}
 
 
@@ -88,15 +105,23 @@ def walk(spark: SparkSession, root: str, ignored: list[str] | None = None, tests
     files = raw.select(norm_path(tail).alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     kept = files.where(F.col("path").rlike(SOURCE_NAMES)).withColumn("kind", file_kind(F.col("path")))
     kept = kept.where(F.col("kind").isin("main", "test") if tests else F.col("kind") == "main")
-    rules = F.lit(False)
-    for pattern, ignores in ignore_rules(spark, root):
-        rules = F.when(F.col("path").rlike(pattern), ignores).otherwise(rules)
-    kept = kept.where(~rules)
+    if rules := ignore_rules(spark, root):
+        kept = kept.where(~_ignored(rules)(F.col("path")))
     for pattern in ignored or []:
         kept = kept.where(~F.col("path").rlike(pattern))
     return kept.drop("kind")
 
 
+def _ignored(rules: list[tuple[str, bool]]):
+    """Tests paths against all rules at once, however many they are."""
+
+    @F.pandas_udf("boolean")
+    def test(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: ignored_by(rules, p))
+
+    return test
+
+
 def changed_files(spark: SparkSession, root: str, since: str = "HEAD") -> DataFrame:
     """SRC-9: (path) of files that git says differ from ``since``, untracked ones too; none outside a repository."""
     import subprocess

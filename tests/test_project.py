@@ -51,6 +51,18 @@ def test_questions(project, rows):
     assert ("ghost", 1) in rows(project.integrity(disk))
 
 
+def test_questions_about_fields_rules_and_features(spark, tmp_path, rows):
+    files = {"t.ts": "export interface Opt { name: string; size: number }\n", "u.ts": "import { Opt } from './t'\nexport const o = { name: 'x', size: 1 }\nexport const n = o.size\n", "far/v.ts": "const p = { size: 1, name: 2 }\n", "far/deep/only/w.ts": "log(1, {\n a: 2 })\n"}
+    p = Project(spark, write(tmp_path, files))
+    assert rows(p.field_references("size"), "path", "line", "kind") == [("far/v.ts", 1, "key"), ("t.ts", 1, "decl"), ("u.ts", 2, "key"), ("u.ts", 3, "read")]
+    assert rows(p.field_references("size", ["t.ts"]), "path") == [("t.ts",), ("u.ts",), ("u.ts",)]
+    assert rows(p.constructions("t.ts", "Opt"), "path", "hits") == [("far/v.ts", 2), ("u.ts", 2)] and rows(p.constructions("t.ts", "Opt", within=["t.ts"]), "path") == [("u.ts",)]
+    assert [(r.path, r.line, r.holes["x"]) for r in p.rules({"l": "log($x)"}).collect()] == [("far/deep/only/w.ts", 1, "1, {\n a: 2 }")]
+    assert rows(p.feature_tree(2), "feature", "files", "own") == [("", 4, 2), ("far", 2, 2)]
+    points = p.observe_points(now_ms=0).collect()  # all files are newer than that
+    assert {e.signal for r in points for e in r.evidence} <= {"hot_file", "called"}
+
+
 def test_two_states(spark, project, tmp_path, rows):
     other = Project(spark, write(tmp_path, FILES | {"b.py": "def helper(x):\n    return 2\n\ndef new():\n    pass\n"}))
     assert rows(other.changes(project)) == [("b.py", "helper", "changed"), ("b.py", "new", "added")]
