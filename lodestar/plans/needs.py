@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import closure as C
 from lodestar.operators import graph as G
 from lodestar.operators import members as M
+from lodestar.operators import monolith as O
 from lodestar.operators import points as P
 from lodestar.operators import rules as U
 from lodestar.operators import search as R
@@ -173,3 +174,36 @@ def graph20_feature_tree(spark, sf) -> DataFrame:
     path = F.when(F.col("doc_id") % 9 == 0, F.concat_ws("/", "lang", id_)).otherwise(F.concat_ws("/", "lang", F.lit("x"), "source", (F.col("doc_id") % 7).cast("string"), id_))
     docs = table(spark, sf, "documents").where("lang is not null and source is not null")
     return M.feature_tree(docs.select(F.concat(path, F.lit(".ts")).alias("path")), 6)
+
+
+# -- monoliths ----------------------------------------------------------------
+
+ROLED = "CASE key % 7 WHEN 0 THEN name || 'Service' WHEN 1 THEN 'get' || name || 'Store' WHEN 2 THEN 'a.' || name || 'client' ELSE name END"
+GOES = "CASE key % 3 WHEN 0 THEN replace(file_path, '.ts', '.go') WHEN 1 THEN replace(file_path, '.ts', '.py') ELSE file_path END"
+
+
+@query("graph8_anchors", f"""
+WITH f AS (SELECT key AS node, CASE WHEN key % 2 = 0 THEN upper(n) ELSE n END AS name, file FROM (SELECT key, kind, {ROLED} AS n, {GOES} AS file FROM nodes) WHERE kind IN ('function', 'method')),
+d AS (SELECT target AS node, count(*) AS n FROM calls WHERE source <> target AND source IN (SELECT node FROM f) AND target IN (SELECT node FROM f) GROUP BY 1), m AS (SELECT greatest(1, max(n)) AS most FROM d),
+s AS (SELECT node, name, coalesce(n, 0) AS in_degree, most, regexp_matches(name, '(?i)(service|store|client)$') AS role, regexp_matches(name, '(?i)^(get|set)\\w*$') AS getter, contains(name, '.') AS dotted, ends_with(file, '.go') AS go, ends_with(file, '.py') AS py FROM f LEFT JOIN d USING (node), m)
+SELECT node, in_degree, round(in_degree / most + role::INTEGER + CASE WHEN go THEN (CASE WHEN regexp_matches(name, '^[A-Z]') THEN 1.0 ELSE 0 END) WHEN py THEN (CASE WHEN starts_with(name, '_') THEN 0 ELSE 0.5 END) ELSE 0.3 END, 9)::DOUBLE AS score,
+ (((role AND NOT getter AND NOT dotted) OR (go AND regexp_matches(name, '^[A-Z]'))) AND NOT dotted) OR (in_degree = most AND most >= 3 AND role AND NOT getter AND NOT dotted) AS anchor FROM s""", "nodes", "calls")
+def graph8_anchors(spark, sf) -> DataFrame:
+    """Parts as functions of three languages, some named for a role; line items as calls."""
+    n = role(spark, sf, "nodes").select("key", "kind", F.expr(ROLED).alias("n"), F.expr(GOES).alias("file_path"))
+    n = n.select(F.col("key").alias("id"), "kind", F.when(F.col("key") % 2 == 0, F.upper("n")).otherwise(F.col("n")).alias("name"), "file_path")
+    return O.anchor_scores(n, role(spark, sf, "calls").select("source", "target"))
+
+
+@query("graph11_sub_splits", """
+WITH o AS (SELECT p_partkey AS node, p_type AS community, CASE WHEN p_size % 4 > 0 THEN 'T' || p_size % 4 END AS owner FROM part),
+g AS (SELECT community, owner FROM o WHERE owner IS NOT NULL GROUP BY ALL HAVING count(*) >= 3), h AS (SELECT o.* FROM o JOIN g ON o.community = g.community AND o.owner = g.owner),
+e AS (SELECT row_number() OVER () AS e, source, target FROM calls WHERE source IN (SELECT node FROM o) AND target IN (SELECT node FROM o)),
+s AS (SELECT community, e, count(DISTINCT owner) AS k FROM (SELECT e, community, owner FROM e JOIN h ON h.node = source UNION ALL SELECT e, community, owner FROM e JOIN h ON h.node = target) GROUP BY ALL),
+c AS (SELECT community, count(*) AS calls, count(*) FILTER (k = 2) AS crossing FROM s GROUP BY 1), n AS (SELECT community, count(*) AS groups FROM g GROUP BY 1)
+SELECT community, coalesce(groups, 0) AS groups, coalesce(calls, 0) AS calls, coalesce(crossing, 0) AS crossing, CASE WHEN coalesce(groups, 0) >= 2 AND coalesce(calls, 0) > 0 THEN round(crossing / calls, 9) ELSE 0 END::DOUBLE AS ratio,
+ coalesce(groups, 0) >= 2 AND (coalesce(calls, 0) = 0 OR crossing / calls <= 0.4) AS splittable FROM (SELECT DISTINCT community FROM o) LEFT JOIN n USING (community) LEFT JOIN c USING (community)""", "calls")
+def graph11_sub_splits(spark, sf) -> DataFrame:
+    """Part types as communities, of parts that three owners hold."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("community"), F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("T"), F.col("p_size") % 4)).alias("owner"))
+    return O.sub_splits(parts.select("node", "community"), parts.select("node", "owner"), role(spark, sf, "calls").select("source", "target"))

@@ -3,6 +3,7 @@
 import random
 
 from lodestar.operators import members as M
+from lodestar.operators import monolith as O
 
 CODE = """interface Opt { name: string; size?: number
   run(x: Opt): void
@@ -70,3 +71,19 @@ def test_feature_tree(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     for least in (1, 3, 10, 1000):
         assert {tuple(r) for r in M.feature_tree(df, least).collect()} == plain_tree(paths, least)
+
+
+def test_anchors_and_sub_splits(spark):
+    n = spark.createDataFrame(
+        [("a", "userService", "function", "a.ts"), ("b", "getStore", "function", "a.ts"), ("c", "helper", "method", "a.ts"), ("d", "Open", "function", "m.go"), ("e", "x.Client", "function", "m.py"), ("f", "_p", "function", "m.py"), ("g", "F", "file", "m.go")],
+        "id string, name string, kind string, file_path string",
+    )
+    calls = spark.createDataFrame([("a", "c")] * 2 + [("b", "c"), ("c", "c"), ("g", "c"), ("c", "a"), ("b", "zz")], "source string, target string")
+    got = {r.node: (r.in_degree, r.score, r.anchor) for r in O.anchor_scores(n, calls).collect()}
+    assert got == {"a": (1, round(1 / 3 + 1.3, 9), True), "b": (0, 1.3, False), "c": (3, 1.3, False), "d": (0, 1.0, True), "e": (0, 1.5, False), "f": (0, 0.0, False)}
+    members = spark.createDataFrame([(f"{o}{k}", "one") for o in "xy" for k in range(3)] + [("z0", "one"), ("q0", "two")], "node string, community string")
+    owners = spark.createDataFrame([(f"{o}{k}", o.upper()) for o in "xy" for k in range(3)] + [("z0", "Z"), ("q0", None)], "node string, owner string")
+    inner = [("x0", "x1"), ("y0", "y1"), ("x0", "z0"), ("z0", "q0"), ("x2", "gone")]
+    for more, ratio, can in (([("x0", "y0")], 0.25, True), ([("x0", "y0")] * 3, 0.5, False)):
+        got = {r.community: tuple(r)[1:] for r in O.sub_splits(members, owners, spark.createDataFrame(inner + more, "source string, target string")).collect()}
+        assert got == {"one": (2, 3 + len(more), len(more), ratio, can), "two": (0, 0, 0, 0.0, False)}
