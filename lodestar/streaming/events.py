@@ -245,15 +245,22 @@ def byte_ring(events: DataFrame, budget: int = 64 << 20) -> DataFrame:
 
 
 def recent_ring(events: DataFrame, most: int = 1000) -> DataFrame:
-    """STR-9 on a stream (probe, seq): per probe the sequence numbers of the last ``most`` events."""
+    """STR-9 on a stream (probe, seq): per probe the sequence numbers of the last ``most`` events.
+
+    Last by number, however the rows of a batch, or of several, come in.  Events without
+    a number are held while there are too few others.
+    """
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = list(state.get[0]) if state.exists else []
+        ring, bare = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         for pdf in batches:
-            ring = (ring + sorted(int(x) for x in pdf["seq"]))[-most:]
-        state.update((ring,))
-        yield pd.DataFrame({"probe": [key[0]], "held": [len(ring)], "oldest": [ring[0]], "newest": [ring[-1]]})
-
-    return events.groupBy("probe").applyInPandasWithState(run, "probe string, held long, oldest long, newest long", "ring array<long>", "update", GroupStateTimeout.NoTimeout)
+            none = pdf["none"].to_numpy(bool)
+            ring = sorted(ring + pdf["seq"][~none].nlargest(most).tolist())[-most:]
+            bare = min(most, bare + int(none.sum()))
+        state.update((ring, bare))
+        yield pd.DataFrame({"probe": [key[0]], "held": [min(most, len(ring) + bare)], "oldest": pd.array(ring[:1] or [None], "Int64"), "newest": pd.array(ring[-1:] or [None], "Int64")})
+
+    told = events.select("probe", F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.col("seq").isNull().alias("none"))
+    return told.groupBy("probe").applyInPandasWithState(run, "probe string, held long, oldest long, newest long", "ring array<long>, bare long", "update", GroupStateTimeout.NoTimeout)
 
 
 class Simulation:

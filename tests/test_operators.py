@@ -247,6 +247,16 @@ def test_ring_stream(spark, tmp_path):
     assert out == [("p", 4, 6, 9)]
 
 
+def test_ring_stream_holds_the_last_by_number_in_any_order(spark, tmp_path):
+    """More rows than an Arrow batch holds, latest first, then a file of earlier ones and some without a number."""
+    down = [("p", 30_000 - i) for i in range(25_000)]
+    for rows in (down, [("p", i) for i in range(9)] + [("q", None), ("q", 1 << 60), (None, None)]):
+        frame(spark, rows, "probe string, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last = {}
+    V.run_to_end(V.recent_ring(V.stream_files(spark, str(tmp_path / "in"), "probe string, seq long", files_per_batch=1), 4), lambda df, n: last.update({r[0]: tuple(r)[1:] for r in df.collect()}), str(tmp_path / "s"), "update")
+    assert last == {"p": (4, 29_997, 30_000), "q": (2, 1 << 60, 1 << 60), None: (1, None, None)}
+
+
 def test_simulation(spark):
     m = V.Simulation({"go": [("increment", "n", 2), ("emit", "next", None)], "next": [("push", "q", "x"), ("move", "q", "done")]}, {"n": 1})
     m.fire("go")
