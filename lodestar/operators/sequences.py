@@ -148,6 +148,56 @@ class Bucket:
         return ok
 
 
+class RealBucket:
+    """Tokens as doubles, added up event by event: min(burst, tokens + seconds * rate), less 1 where that is 1 or more.
+
+    The sum depends on the rounding of every step, so whole numbers give other decisions
+    where it comes near 1.  State: tokens, and the time they were counted at.
+    """
+
+    def __init__(self, rate: float, burst: float):
+        self.rate, self.burst = rate, float(burst)
+
+    def start(self) -> list[float]:
+        return [self.burst, float(NEVER)]
+
+    def sure(self, t: np.ndarray) -> bool:
+        """Whether a pause between these events fills the bucket, whatever it held."""
+        return bool((np.diff(t) / 1000 * self.rate >= self.burst).any())
+
+    def run(self, state: list[float], t: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        """Which events are accepted, and the state after them."""
+        ok, (tokens, at) = np.zeros(len(t), bool), state
+        if not len(t):
+            return ok, state
+        seconds = np.maximum(np.diff(t, prepend=t[0] if at == NEVER else int(at)), 0) / 1000
+        gain, least, burst = seconds * self.rate, min(1.0, self.burst), self.burst
+        each, k, size = gain.tolist(), 0, 16
+        while k < len(t):
+            for k in range(k, min(k + 16, len(t))):
+                tokens = min(burst, tokens + each[k])
+                if tokens >= 1:
+                    tokens -= 1
+                    ok[k], size = True, 16
+            k += 1
+            # While all are refused the sum is a plain one, in the same order.
+            while tokens < least and k < len(t) and not ok[max(k - 16, 0) : k].any():
+                sums = np.add.accumulate(np.concatenate([[tokens], gain[k : k + size]]))[1:]
+                n = int(np.argmax(sums >= least)) if sums[-1] >= least else len(sums)
+                if n:
+                    tokens, k = float(sums[n - 1]), k + n
+                if n < len(sums):
+                    break
+                size = min(2 * size, 1 << 16)
+        return ok, [tokens, float(t[-1])]
+
+    def decide(self, state: list[float], t: np.ndarray) -> np.ndarray:
+        return self.run(state, t)[0]
+
+    def follow(self, state: list[float], t: np.ndarray) -> list[float]:
+        return self.run(state, t)[1]
+
+
 @dataclass(frozen=True)
 class Flush:
     """State: the time of the last flush, and that of the event before.
@@ -275,10 +325,59 @@ def states(dealt: DataFrame, key: str, time: str, machine) -> DataFrame:
     return checkpoint(tables.union(ends).groupBy("key").applyInPandas(fold, f"key {kind}, _piece int, state array<long>"))
 
 
+def chained_states(dealt: DataFrame, key: str, time: str, machine: RealBucket) -> DataFrame:
+    """(key, _piece, state): the state that enters each piece, where it depends on every event before.
+
+    A piece with a sure pause passes on the same state whatever entered.  It and the
+    pieces up to the next such one are a chain, whose times alone are followed in order,
+    batch by batch; chains run side by side, and no task holds one.
+    """
+    kind = dealt.schema[key].dataType.simpleString()
+    rows = dealt.select(F.col(key).alias("key"), "_piece", F.col(time).cast("long").alias("t"))
+
+    def told(keys, group):
+        sure = machine.sure(np.sort(group.column("t").to_numpy().astype(np.int64)))
+        return pa.table({"key": group.column("key").slice(0, 1), "_piece": group.column("_piece").slice(0, 1), "sure": [sure]})
+
+    # A row for each piece; ``own`` numbers them all, ``chain`` is the first of a chain.
+    along = Window.partitionBy("key").orderBy("_piece")
+    own = F.col("_piece").cast("long") * (1 << 32) + F.row_number().over(Window.partitionBy("_piece").orderBy("key"))
+    edges = rows.groupBy("key", "_piece").applyInArrow(told, f"key {kind}, _piece int, sure boolean")
+    edges = edges.withColumns({"own": own, "nth": F.sum(F.col("sure").cast("int")).over(along), "tail": F.lead("_piece").over(along).isNull()})
+    edges = checkpoint(edges.withColumn("chain", F.min("own").over(Window.partitionBy("key", "nth"))))
+
+    def follow(batches):
+        at, chain, state = None, None, None
+        for batch in batches:
+            chains, owns, times = (batch.column(c).to_numpy() for c in ("chain", "own", "t"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(owns)) + 1, [len(owns)]])
+            left = []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                if at is not None and owns[a] != at:
+                    left.append((at, state))
+                if chains[a] != chain:
+                    chain, state = int(chains[a]), machine.start()
+                at, state = int(owns[a]), machine.follow(state, times[a:b])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in left], pa.int64()), pa.array([x[1] for x in left], pa.list_(pa.float64()))], ["own", "left"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([state], pa.list_(pa.float64()))], ["own", "left"])
+
+    # Nothing follows a key's last piece: what leaves it is not asked.
+    needed = edges.where("not tail").select(F.col("key").alias("k"), F.col("_piece").alias("p"), "own", "chain")
+    asked = rows.join(needed, F.col("key").eqNullSafe(F.col("k")) & (F.col("_piece") == F.col("p"))).select("chain", "own", "t")
+    left = asked.repartition("chain").sortWithinPartitions("chain", "own", "t").mapInArrow(follow, "own long, left array<double>")
+    start = F.array(*[F.lit(x) for x in machine.start()])
+    found = edges.select("key", "_piece", "own").join(left, "own", "left")
+    return checkpoint(found.select("key", "_piece", F.coalesce(F.lag("left").over(along), start).alias("state")))
+
+
 def decided(events: DataFrame, key: str, time: str, machine, name: str = "accepted", kind: str = "boolean") -> DataFrame:
     """The events with the machine's decision in ``name``; a null key is a key like others."""
     dealt = pieces(events, key, time)
-    entering = states(dealt, key, time, machine).withColumnRenamed("key", key)
+    entering = (chained_states if isinstance(machine, RealBucket) else states)(dealt, key, time, machine).withColumnRenamed("key", key)
     order = [time, *[c for c in events.columns if c not in (key, time)]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + f", {name} {kind}"
     run = _group(machine.decide, order, pa.bool_() if kind == "boolean" else pa.int64(), name)

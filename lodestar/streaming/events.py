@@ -195,9 +195,14 @@ def rate_limit(events: DataFrame, rate: float = 200.0, burst: float | None = Non
     return events.groupBy("probe").transformWithStateInPandas(bucket, "probe string, time_ms long", "append", "processingTime" if idle_ms else "none")
 
 
-def limit_batch(events: DataFrame, rate: float, burst: float) -> DataFrame:
-    """STR-8 on a table: adds ``accepted``; a probe's events, in order of time, are dealt over many tasks."""
-    return sequences.decided(events.select("probe", "seq", "time_ms"), "probe", "time_ms", sequences.Bucket(rate, burst))
+def limit_batch(events: DataFrame, rate: float, burst: float, whole: bool = True) -> DataFrame:
+    """STR-8 on a table: adds ``accepted``; a probe's events, in order of time, are dealt over many tasks.
+
+    Tokens are whole numbers of the smallest step, or, without ``whole``, doubles added
+    up event by event, as a plain loop or SQL does.
+    """
+    bucket = (sequences.Bucket if whole else sequences.RealBucket)(rate, burst)
+    return sequences.decided(events.select("probe", "seq", "time_ms"), "probe", "time_ms", bucket)
 
 
 class ByteRing(StatefulProcessor):

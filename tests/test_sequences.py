@@ -109,6 +109,41 @@ def test_bucket_of_a_hot_key(hot):
     assert {r.seq: r.accepted for r in V.limit_batch(hot, 5.0, 8.0).collect()} == want
 
 
+def doubles(times, rate, burst):
+    tokens, at, ok = burst, None, []
+    for t in times:
+        tokens = burst if at is None else min(burst, tokens + (t - at) / 1000 * rate)
+        ok.append(tokens >= 1)
+        tokens, at = tokens - ok[-1], t
+    return ok
+
+
+def test_bucket_in_doubles_is_the_plain_sum():
+    rng = np.random.default_rng(9)
+    for _ in range(1000):
+        t = np.sort(rng.integers(0, int(rng.choice([30, 1000, 20_000, 10**6])), int(rng.integers(1, 150))))
+        rate, burst = float(rng.choice([0.5, 7, 1 / 3, 100, 1 / 3600])), float(rng.choice([0.5, 1, 2, 2.5, 10]))
+        bucket, got = S.RealBucket(rate, burst), []
+        state = bucket.start()
+        for p in cut(rng, t):
+            ok, state = bucket.run(state, p)
+            got += ok.tolist()
+        assert got == doubles(t.tolist(), rate, burst)
+
+
+@pytest.mark.parametrize(("rate", "burst", "rest"), [(1000 / 70, 3.0, 0), (1 / 7, 2.0, 0), (1000 / 700, 2.0, 7_000)])
+def test_bucket_in_doubles_of_a_hot_key(hot, rate, burst, rest):
+    """As SQL counts: sums that come near 1 are rounded, step by step; with rests, and without any."""
+    events = hot.withColumn("time_ms", F.col("time_ms") + F.expr(f"{rest} * (time_ms div 20000)"))
+    want, whole = {}, {}
+    for probe in {r.probe for r in events.select("probe").distinct().collect()}:
+        mine = sorted((r.time_ms, r.seq) for r in events.where(F.col("probe").eqNullSafe(F.lit(probe))).collect())
+        times, rule = [t for t, _ in mine], S.Bucket(rate, burst)
+        want |= {seq: ok for (_, seq), ok in zip(mine, doubles(times, rate, burst), strict=True)}
+        whole |= {seq: ok for (_, seq), ok in zip(mine, plain_bucket(times, rule.unit, rule.refill, rule.cap), strict=True)}
+    assert {r.seq: r.accepted for r in V.limit_batch(events, rate, burst, whole=False).collect()} == want != whole
+
+
 def test_flushes_of_a_hot_project(hot):
     changes = hot.select(F.col("probe").alias("project"), F.concat(F.lit("f"), F.col("seq") % 4).alias("path"), "time_ms", F.lit("changed").alias("change")).where("project is not null")
     want = {}
