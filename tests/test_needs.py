@@ -188,3 +188,16 @@ def test_rules_over_files(spark):
     got = U.match_rules(files, {"one": "log($x)", "two": "log($x, $y)"}).collect()
     assert sorted((r.rule, r.path, r.line, r.end_line, r.holes["x"]) for r in got) == [("one", "a", 2, 3, "e, {\n a: 1 }"), ("one", "a", 4, 4, "e"), ("one", "b", 1, 1, "e"), ("two", "a", 2, 3, "e")]
     assert U.windows({"one": "log($x)"}) == {"one": ["(", ")", "log"]}
+
+
+def test_rules_cut_tokens_only_as_far_as_a_match_can_reach(spark):
+    """Plain words after the last match are not cut into tokens, brackets are; content is computed once for all rules."""
+    code = "a = a + 1; log(b)"
+    tokens = U._Tokens(code + " word" * 1000, U._bound(code, "log($x)"))
+    assert len(tokens.words) == 10
+    assert [m.text for m in U.match_tokens("f(x [ y) z" + " w" * 9, "f($x)")] == [] == U.match_tokens("{ f(x) ) w", "{ $x }")
+    assert [m.text for m in U.match_tokens("f(x [ y) z ] )", "f($x)")] == []
+    files = spark.createDataFrame([("p", code), ("n", None), ("e", "")], "path string, text string").select("path", F.regexp_replace("text", "b", "c").alias("content"))
+    found = U.match_rules(files, {"log": "log($x)", "same": "$x = $x + 1"})
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1
+    assert sorted((r["rule"], r.path, r.holes["x"]) for r in found.collect()) == [("log", "p", "c"), ("same", "p", "a")]
